@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skewmatch.functions.keys import resolve_key, source_partition
-from skewmatch.operators.ordinal import group_positions, ordinal
+from skewmatch.operators.ordinal import ordinal, positions
 
 
 def keyed_entities(entities: DataFrame, key="prefix", parts: int = 4, id_col: str = "id",
@@ -122,7 +122,7 @@ def block_members(keyed: DataFrame, chunk: int = 1024) -> DataFrame:
     ``(block, chunk, ids, n)``. A block never becomes one unbounded list: its
     members are numbered (without a per-block task) and cut into chunks.
     """
-    pos = group_positions(keyed.select("block", "id"), ["block"], [F.col("id")], "pos")
+    pos = positions(keyed.select("block", "id"), ["block"], "id", "pos")
     return (pos.withColumn("chunk", F.floor(F.col("pos") / chunk).cast("long"))
                .groupBy("block", "chunk")
                .agg(F.array_sort(F.collect_list("id")).alias("ids"))

@@ -107,8 +107,8 @@ def slice_match(entities: DataFrame, key="prefix", parts: int = 4, reducers: int
     """BlockSlicer matching: own entities of a slice against every later
     entity of the slice (own or copied)."""
     keyed = keyed_entities(entities, key, parts)
-    _, assigned = slice_plan_assigned(keyed, reducers)
-    routed = slice_route(entity_positions(keyed), assigned)
+    stats, assigned = slice_plan_assigned(keyed, reducers)
+    routed = slice_route(entity_positions(keyed, stats.select("block", "n")), assigned)
     task = ["reducer", "block", "slice"]
     left = routed.filter(~F.col("replicated"))
     a = _side(place_by_reducer(left, reducers), task, ["id", "text", "pos"], "_a")

@@ -1,22 +1,32 @@
-"""Positions and running sums over a total order, without a global window.
-
-``row_number() over (order by ...)`` with no partition moves every row into a
-single task. Here the rows are range-partitioned and sorted instead; each
-partition counts (or sums) its rows, a table with one row per partition gives
-the offsets, and every row adds its offset to its place inside the partition.
-The offsets table is bounded by the partition count, so broadcasting it is
-safe at any data size.
-
-The order columns must identify a row: the two uses of the sorted data (the
-per-partition totals and the rows) then agree however the shuffle is read.
+"""Positions and running sums without a single-task window.
+
+Two tools:
+
+* :func:`ordinal` / :func:`running_sum` give a rank (or running sum) in a
+  total order, for tables of aggregated size (one row per block or per
+  task). The rows are range-partitioned and sorted; each partition counts
+  its rows; a table with one row per partition gives the offsets. Range
+  bounds come from sampling, so the sorted table is checkpointed (in the
+  shared checkpoint folder) before it is read twice: both reads then see the
+  same partitions, also after a lost executor.
+
+* :func:`positions` numbers the rows of each group of a large table. A group
+  is cut into cells of about ``cell_rows`` rows by ``pmod(order, cells)``,
+  where ``cells`` follows from the group size; a small window per group
+  gives each cell its offset and a window per cell numbers its rows. No
+  sampling, so every evaluation gives the same numbers, and no task holds
+  more than about one cell, however large the group.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from skewmatch.session import checkpoint_dir
+
 _ROW_BITS = 33  # monotonically_increasing_id keeps the row number in the low 33 bits
+CELL_ROWS = 1_000_000
 
 
 def _partitions(df: DataFrame, partitions: int | None) -> int:
@@ -26,26 +36,27 @@ def _partitions(df: DataFrame, partitions: int | None) -> int:
 
 
 def _sorted_tagged(df: DataFrame, order: list, partitions: int | None) -> DataFrame:
+    checkpoint_dir(df.sparkSession)
     n = _partitions(df, partitions)
-    rid = F.monotonically_increasing_id()
-    return (df.repartitionByRange(n, *order)
-              .sortWithinPartitions(*order)
-              .withColumn("_rid", rid)
-              .withColumn("_pid", F.shiftright(F.col("_rid"), _ROW_BITS))
-              .withColumn("_local", F.col("_rid") - F.shiftleft(F.col("_pid"), _ROW_BITS)))
+    tagged = (df.repartitionByRange(n, *order)
+                .sortWithinPartitions(*order)
+                .withColumn("_rid", F.monotonically_increasing_id()))
+    tagged = tagged.checkpoint(eager=True)
+    return (tagged.withColumn("_pid", F.shiftright(F.col("_rid"), _ROW_BITS))
+                  .withColumn("_local", F.col("_rid") - F.shiftleft(F.col("_pid"), _ROW_BITS)))
 
 
-def _offsets(tagged: DataFrame, value: Column) -> DataFrame:
+def _offsets(tagged: DataFrame, value) -> DataFrame:
     per_part = tagged.groupBy("_pid").agg(F.sum(value).alias("_part_total"))
     before = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
-    # One row per partition: a single-task window here is bounded by the partition count.
+    # One row per partition: this single-task window is bounded by the partition count.
     return per_part.select(
         "_pid", F.coalesce(F.sum("_part_total").over(before), F.lit(0)).cast("long").alias("_offset"))
 
 
 def ordinal(df: DataFrame, order: list, name: str = "ordinal",
             partitions: int | None = None) -> DataFrame:
-    """Add the 0-based position of each row in the order of ``order``."""
+    """Add the 0-based position of each row in the order of ``order`` (a total order)."""
     tagged = _sorted_tagged(df, order, partitions)
     offsets = _offsets(tagged, F.lit(1))
     return (tagged.join(F.broadcast(offsets), "_pid")
@@ -65,15 +76,30 @@ def running_sum(df: DataFrame, order: list, value: str, name: str = "running",
                   .drop("_rid", "_pid", "_local", "_offset", "_inside"))
 
 
-def group_positions(df: DataFrame, group: list[str], order: list, name: str = "pos",
-                    partitions: int | None = None) -> DataFrame:
-    """0-based position of each row inside its group, in the order of ``order``.
+def cell_count(n, cell_rows: int = CELL_ROWS):
+    """Cells of a group of ``n`` rows: ``max(1, ceil(n / cell_rows))``."""
+    return F.greatest(F.lit(1), F.ceil(n / F.lit(cell_rows))).cast("long")
+
+
+def positions(df: DataFrame, group: list[str], order: str, name: str = "pos",
+              sizes: DataFrame | None = None, cell_rows: int = CELL_ROWS) -> DataFrame:
+    """0-based position of each row in its group, ordered by ``(cell, order)``
+    with ``cell = pmod(order, cells)``; ``order`` must be a unique integer
+    column inside the group (an id).
 
-    A hot group is spread over many range partitions, so no task holds a
-    whole group; the group start is a partial-then-final ``min``.
+    ``sizes`` (group columns and ``n``) can be passed when already known.
     """
-    ranked = ordinal(df, [F.col(g) for g in group] + list(order), "_ord", partitions)
-    starts = ranked.groupBy(*group).agg(F.min("_ord").alias("_start"))
-    return (ranked.join(starts, group)
-                  .withColumn(name, F.col("_ord") - F.col("_start"))
-                  .drop("_ord", "_start"))
+    if sizes is None:
+        sizes = df.groupBy(*group).agg(F.count(F.lit(1)).alias("n"))
+    cells = sizes.select(*group, cell_count(F.col("n"), cell_rows).alias("_cells"))
+    tagged = (df.join(cells, group)
+                .withColumn("_cell", F.pmod(F.col(order), F.col("_cells")))
+                .drop("_cells"))
+    counts = tagged.groupBy(*group, "_cell").agg(F.count(F.lit(1)).alias("_c"))
+    before = Window.partitionBy(*group).orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select(*group, "_cell",
+                            F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_off"))
+    inside = Window.partitionBy(*group, "_cell").orderBy(order)
+    return (tagged.join(offsets, [*group, "_cell"])
+                  .withColumn(name, (F.col("_off") + F.row_number().over(inside) - 1).cast("long"))
+                  .drop("_cell", "_off"))

@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skewmatch.operators.ordinal import group_positions
+from skewmatch.operators.ordinal import positions
 
 
 def plan_lookup(keyed: DataFrame, blocks: DataFrame) -> DataFrame:
@@ -48,12 +48,13 @@ def split_route(keyed: DataFrame, stats: DataFrame, assigned: DataFrame) -> Data
                     F.col("t.j").alias("j"), "part", "oversized", "id", "text"))
 
 
-def entity_positions(keyed: DataFrame) -> DataFrame:
-    """Add ``pos``: the place of each entity in its block, ordered by (part, id).
+def entity_positions(keyed: DataFrame, sizes: DataFrame | None = None) -> DataFrame:
+    """Add ``pos``: the place of each entity in its block (0..n-1).
 
-    Computed over a range-partitioned sort, never one task per block.
+    Ordered by id inside cells of a hot block (see
+    :func:`skewmatch.operators.ordinal.positions`), never one task per block.
     """
-    return group_positions(keyed, ["block"], [F.col("part"), F.col("id")], "pos")
+    return positions(keyed, ["block"], "id", "pos", sizes)
 
 
 def slice_tasks_by_block(assigned: DataFrame) -> DataFrame:

@@ -79,8 +79,10 @@ slice_plan as (
          (case when u = 0 then rem * (rem - 1) // 2 else u * (u - 1) // 2 + (rem - u) * u end)::BIGINT
   from (select *, {_usize('rem', 'target')} as u from sl where not done) y)"""
 
-POSITIONS = """posd as (select *, (row_number() over (partition by block order by part, id) - 1)::BIGINT as pos
-                 from keyed)"""
+CELL_ROWS = 1_000_000
+CELLS = f"greatest(1, ceil(n / {CELL_ROWS}))::BIGINT"
+POSITIONS = f"""posd as (select k.*, (row_number() over (partition by k.block order by k.id % {CELLS}, k.id) - 1)::BIGINT
+                 as pos from keyed k join stats s on s.block = k.block)"""
 
 
 def _with(*ctes: str, recursive: bool = False) -> str:
@@ -155,9 +157,10 @@ ORACLE = {
     "block_sizes": _with(DOCS, KEYED, STATS) + "select block, n, comps from bsz",
     "block_totals": _with(DOCS, KEYED, STATS) + "select * from tot",
     "oversized_blocks": _with(DOCS, KEYED, STATS) + "select block, n, comps, target from stats where oversized",
-    "block_members": _with(DOCS, KEYED) + """select block, chunk, string_agg(id::VARCHAR, ',' order by id) as ids,
-        count(*)::BIGINT as n from (select block, id,
-          ((row_number() over (partition by block order by id) - 1) // 256)::BIGINT as chunk from keyed) x
+    "block_members": _with(DOCS, KEYED, STATS) + f"""select block, chunk, string_agg(id::VARCHAR, ',' order by id) as ids,
+        count(*)::BIGINT as n from (select k.block, k.id,
+          ((row_number() over (partition by k.block order by k.id % {CELLS}, k.id) - 1) // 256)::BIGINT as chunk
+          from keyed k join bsz s on s.block = k.block) x
         group by block, chunk""",
     "block_cogroup": _with(BENCH) + """select coalesce(a.block, b.block) as block, coalesce(a.n, 0)::BIGINT as n_left,
         coalesce(b.n, 0)::BIGINT as n_right

@@ -233,8 +233,8 @@ def q_split_route(spark, d):
 
 def q_slice_route(spark, d):
     keyed = _keyed_docs(spark, d)
-    _, assigned = match.slice_plan_assigned(keyed, REDUCERS)
-    routed = slice_route(entity_positions(keyed), assigned)
+    stats, assigned = match.slice_plan_assigned(keyed, REDUCERS)
+    routed = slice_route(entity_positions(keyed, stats.select("block", "n")), assigned)
     return _long(routed.select("reducer", "block", "slice", "pos", "replicated", "id"), "reducer", "slice")
 
 
