@@ -62,7 +62,7 @@ def assign_reducers(tasks: DataFrame, reducers: int, key: list[str],
     caps = F.transform("loads", lambda x: F.array_max("loads") - x + share)
     bounds = F.aggregate(caps, F.array().cast("array<long>"),
                          lambda acc, c: F.array_append(
-                             acc, F.coalesce(F.element_at(acc, -1), F.lit(0).cast("long")) + c))
+                             acc, F.coalesce(F.try_element_at(acc, F.lit(-1)), F.lit(0).cast("long")) + c))
     plan_row = one.select(bounds.alias("_bounds"))
     tail_pos = running_sum(tail, [F.col("rank")], "comps", "_before")
     assigned_tail = (with_totals(tail_pos, plan_row)
