@@ -70,19 +70,21 @@ def match_similarity(a: str, b: str, threshold: float = DEFAULT_THRESHOLD) -> Co
     :func:`with_match_features` under suffixes ``a`` and ``b``.
 
     Equal to :func:`similarity` whenever that is >= threshold; for a pair
-    that cannot match the value is above 1 or below the threshold, so
-    :func:`is_match` drops it.
+    that cannot match the value is negative, so one comparison with the
+    threshold (:func:`is_match`) keeps exactly the matches.
     """
     longer = F.greatest(F.col(f"len{a}"), F.col(f"len{b}"))
     limit = distance_limit(longer, threshold)
     low_a, low_b = F.col(f"low{a}"), F.col(f"low{b}")
-    # The limited distance returns -1 above the limit: the value then becomes
-    # (L + 1) / L > 1, which is_match rejects.
+    # -1 means "above the limit" (the limited distance returns it too).
     dist = (F.when(F.abs(F.col(f"llen{a}") - F.col(f"llen{b}")) > limit, F.lit(-1))
              .when(low_a == low_b, F.lit(0))
              .otherwise(F.call_function("levenshtein", low_a, low_b, limit)))
-    return F.when(longer == 0, F.lit(1.0)).otherwise((longer - dist).cast("double") / longer)
+    # pmod keeps a real distance (<= limit < L + 2) and turns -1 into L + 1,
+    # a negative similarity: the distance is referenced once, so it runs once.
+    return F.when(longer == 0, F.lit(1.0)).otherwise(
+        (longer - F.pmod(dist, longer + 2)).cast("double") / longer)
 
 
 def is_match(sim: Column, threshold: float = DEFAULT_THRESHOLD) -> Column:
-    return (sim >= F.lit(threshold)) & (sim <= F.lit(1.0))
+    return sim >= F.lit(threshold)

@@ -88,10 +88,14 @@ def block_totals(sizes: DataFrame, reducers: int) -> DataFrame:
 
 
 def with_totals(df: DataFrame, totals: DataFrame) -> DataFrame:
-    """Attach the one-row totals to every row (equi-join on a constant; the
-    one-row side is broadcast)."""
-    one = totals.withColumn("_one", F.lit(1))
-    return df.withColumn("_one", F.lit(1)).join(F.broadcast(one), "_one").drop("_one")
+    """Attach the columns of a one-row table to every row.
+
+    The row is a scalar subquery: computed once, shipped as a value, no join.
+    """
+    packed = totals.select(F.struct(*totals.columns).alias("_t")).scalar()
+    return (df.withColumn("_t", packed)
+              .select("*", *[F.col("_t")[c].alias(c) for c in totals.columns])
+              .drop("_t"))
 
 
 def block_stats(keyed: DataFrame, reducers: int) -> DataFrame:

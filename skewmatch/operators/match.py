@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from skewmatch.functions.keys import key_first_char, resolve_key
 from skewmatch.functions.similarity import (DEFAULT_THRESHOLD, is_match, match_similarity,
                                             with_match_features)
-from skewmatch.operators.distribution import block_stats, keyed_entities
+from skewmatch.operators.distribution import block_stats, keyed_entities, with_totals
 from skewmatch.operators.route import (entity_positions, place_by_reducer, slice_route,
                                        split_route)
 from skewmatch.plans.assign import assign_reducers
@@ -137,8 +137,7 @@ def two_source_match(left_words: DataFrame, right_words: DataFrame, reducers: in
                    .join(wr.groupBy("block").agg(F.count(F.lit(1)).alias("dr")), "block")
                    .withColumn("pairs", F.col("dl") * F.col("dr")))
     total = per_block.agg(F.sum("pairs").alias("total"))
-    grid = (per_block.withColumn("_one", F.lit(1))
-            .join(F.broadcast(total.withColumn("_one", F.lit(1))), "_one")
+    grid = (with_totals(per_block, total)
             .withColumn("target", F.greatest(F.lit(1), F.ceil(F.col("total") / reducers)))
             .withColumn("ga", F.least(F.col("dl"), F.ceil(F.sqrt(F.col("pairs") / F.col("target")))))
             .withColumn("gb", F.least(F.col("dr"), F.ceil(F.col("pairs") / F.col("target") / F.col("ga"))))

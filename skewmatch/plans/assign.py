@@ -54,8 +54,7 @@ def assign_reducers(tasks: DataFrame, reducers: int, key: list[str],
 
     tail = ranked.filter(F.col("rank") >= exact_limit)
     tail_total = tail.agg(F.coalesce(F.sum("comps"), F.lit(0)).cast("long").alias("tail_total"))
-    one = (greedy.select("loads").withColumn("_one", F.lit(1))
-                 .join(tail_total.withColumn("_one", F.lit(1)), "_one").drop("_one"))
+    one = with_totals(greedy.select("loads"), tail_total)
     # Capacity of reducer r: lift it to the highest greedy load, then an equal
     # share of the tail. Bounds are the running sums of the capacities.
     share = F.expr(f"(tail_total + {reducers} - 1) div {reducers}")
