@@ -4,11 +4,12 @@ Two tools:
 
 * :func:`ordinal` / :func:`running_sum` give a rank (or running sum) in a
   total order, for tables of aggregated size (one row per block or per
-  task). The rows are range-partitioned and sorted; each partition counts
-  its rows; a table with one row per partition gives the offsets. Range
-  bounds come from sampling, so the sorted table is checkpointed (in the
-  shared checkpoint folder) before it is read twice: both reads then see the
-  same partitions, also after a lost executor.
+  task). The rows are range-partitioned and sorted and get a row id that
+  holds the partition number; each partition counts its rows; a table with
+  one row per partition gives the offsets. Range bounds come from sampling,
+  so the tagged table is written once to the shared checkpoint folder and
+  read back: both uses see the same ids, also after a lost executor, and the
+  input is computed only once.
 
 * :func:`positions` numbers the rows of each group of a large table. A group
   is cut into cells of about ``cell_rows`` rows by ``pmod(order, cells)``,
@@ -24,6 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from skewmatch.session import checkpoint_dir
+from skewmatch.sources.paths import new_output_path
 
 _ROW_BITS = 33  # monotonically_increasing_id keeps the row number in the low 33 bits
 CELL_ROWS = 1_000_000
@@ -35,13 +37,19 @@ def _partitions(df: DataFrame, partitions: int | None) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
+def materialize(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` to a fresh folder under the shared checkpoint folder and read it back."""
+    path = new_output_path(checkpoint_dir(df.sparkSession), name)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def _sorted_tagged(df: DataFrame, order: list, partitions: int | None) -> DataFrame:
-    checkpoint_dir(df.sparkSession)
     n = _partitions(df, partitions)
     tagged = (df.repartitionByRange(n, *order)
                 .sortWithinPartitions(*order)
                 .withColumn("_rid", F.monotonically_increasing_id()))
-    tagged = tagged.checkpoint(eager=True)
+    tagged = materialize(tagged, "ordinal")
     return (tagged.withColumn("_pid", F.shiftright(F.col("_rid"), _ROW_BITS))
                   .withColumn("_local", F.col("_rid") - F.shiftleft(F.col("_pid"), _ROW_BITS)))
 

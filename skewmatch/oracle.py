@@ -118,6 +118,11 @@ def _next_pairs(table: str, id_col: str, text_col: str, where: str = "") -> str:
 from {table} a join {table} b on b.{id_col} = a.{id_col} + 1) p {where}"""
 
 
+PARTS_E = ("parts_e as (select id, text, " + KEY4 + " as block from (select p_partkey as id, p_name as text from part) p)")
+PARTS_E5 = ("parts_e as (select id, text, " + KEY5 + " as block from (select p_partkey as id, p_name as text from part) p)")
+PART_MATCHES = (_with(PARTS_E) + "select * from (" + _pairs_by_block("parts_e") + ") p where similarity >= 0.7")
+PART_MATCHES_BASIC = (_with(PARTS_E5) + "select * from (" + _pairs_by_block("parts_e") + ") p where similarity >= 0.7")
+
 CONV = "conv as (" + _lines("(select conv_id * 1000 + turn as rid, text from conversations)", "rid", "text", False) + ")"
 
 SPLIT_ASSIGNED = _greedy("split_plan", "block, i, j", "split_assigned")
@@ -208,4 +213,13 @@ ORACLE = {
         select k.id, k.block, k.part, s.n, s.comps, s.oversized, t.n_tasks
         from keyed k join stats s on s.block = k.block
         join (select block, count(*)::BIGINT as n_tasks from split_assigned group by block) t on t.block = k.block""",
+    "split_match_pages": PAGE_MATCHES,
+    "slice_match_pages": PAGE_MATCHES,
+    "basic_match_parts": PART_MATCHES_BASIC,
+    "split_match_parts": PART_MATCHES,
+    "slice_match_parts": PART_MATCHES,
+    "assign_reducers_slices": _with(DOCS, KEYED, STATS, SLICE_PLAN, SLICE_ASSIGNED, recursive=True)
+        + "select * from slice_assigned",
+    "reducer_load_slices": _with(DOCS, KEYED, STATS, SLICE_PLAN, SLICE_ASSIGNED, recursive=True)
+        + "select reducer, sum(comps)::BIGINT as comps, count(*)::BIGINT as tasks from slice_assigned group by reducer",
 }

@@ -53,6 +53,8 @@ def assign_reducers(tasks: DataFrame, reducers: int, key: list[str],
     assigned_head = head.join(F.broadcast(picks), "rank")
 
     tail = ranked.filter(F.col("rank") >= exact_limit)
+    if tail.isEmpty():  # cheap: ranked is a written table
+        return assigned_head
     tail_total = tail.agg(F.coalesce(F.sum("comps"), F.lit(0)).cast("long").alias("tail_total"))
     one = with_totals(greedy.select("loads"), tail_total)
     # Capacity of reducer r: lift it to the highest greedy load, then an equal

@@ -27,7 +27,8 @@ from skewmatch.plans.slicer import slice_cost, slice_plan, slice_size
 from skewmatch.plans.split import TASK_KEY as SPLIT_KEY
 from skewmatch.plans.split import split_plan
 from skewmatch.session import checkpoint_dir
-from skewmatch.sources.lines import (drop_empty_lines, entity_lines, new_output_path, read_matches,
+from skewmatch.sources.paths import new_output_path
+from skewmatch.sources.lines import (drop_empty_lines, entity_lines, read_matches,
                                      write_matches)
 from skewmatch.sources.tables import (benchmark_sources, distinct_lines, document_lines, page_urls,
                                       part_names, table, tokenize_words)
@@ -280,6 +281,43 @@ def q_two_source_match(spark, d):
     return match.two_source_match(left, right, REDUCERS, THRESHOLD)
 
 
+# --- the same operators on other inputs ------------------------------------------
+# pages: all urls share one block (the hottest possible key); parts: 8 blocks.
+
+def q_split_match_pages(spark, d):
+    return match.split_match(page_urls(spark, d), "prefix", PARTS, REDUCERS, THRESHOLD)
+
+
+def q_slice_match_pages(spark, d):
+    return match.slice_match(page_urls(spark, d), "prefix", PARTS, REDUCERS, THRESHOLD)
+
+
+def q_basic_match_parts(spark, d):
+    return match.basic_match(part_names(spark, d), "prefix_lower", THRESHOLD)
+
+
+def q_split_match_parts(spark, d):
+    return match.split_match(part_names(spark, d), "prefix", PARTS, REDUCERS, THRESHOLD)
+
+
+def q_slice_match_parts(spark, d):
+    return match.slice_match(part_names(spark, d), "prefix", PARTS, REDUCERS, THRESHOLD)
+
+
+def _slice_assigned(spark, d):
+    return match.slice_plan_assigned(_keyed_docs(spark, d), REDUCERS)
+
+
+def q_assign_reducers_slices(spark, d):
+    _, assigned = _slice_assigned(spark, d)
+    return _long(assigned, "slice", "reducer")
+
+
+def q_reducer_load_slices(spark, d):
+    _, assigned = _slice_assigned(spark, d)
+    return _long(reducer_load(assigned), "reducer")
+
+
 QUERIES = {
     "entity_lines": q_entity_lines,
     "drop_empty_lines": q_drop_empty_lines,
@@ -319,4 +357,11 @@ QUERIES = {
     "slice_match": q_slice_match,
     "two_source_match": q_two_source_match,
     "plan_lookup": q_plan_lookup,
+    "split_match_pages": q_split_match_pages,
+    "slice_match_pages": q_slice_match_pages,
+    "basic_match_parts": q_basic_match_parts,
+    "split_match_parts": q_split_match_parts,
+    "slice_match_parts": q_slice_match_parts,
+    "assign_reducers_slices": q_assign_reducers_slices,
+    "reducer_load_slices": q_reducer_load_slices,
 }

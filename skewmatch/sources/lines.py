@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -68,8 +66,3 @@ def read_matches(spark: SparkSession, path: str, fmt: str = "parquet",
     if fmt == "csv":
         reader = reader.option("header", "true")
     return reader.format(fmt).load(path)
-
-
-def new_output_path(base: str, name: str = "matches") -> str:
-    """A fresh folder name under ``base`` (the shared checkpoint folder)."""
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"

@@ -1,0 +1,6 @@
+"""Intentionally empty.
+
+The matching this library rebuilds reads bounded inputs only: there is no
+stream, watermark or state in it, so there is nothing to express with
+Structured Streaming here.
+"""
