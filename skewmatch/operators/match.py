@@ -5,8 +5,8 @@ All return ``(id_a, id_b, text_a, text_b, similarity)`` with ``id_a < id_b``
 is a candidate; pairs that provably cannot match skip the edit distance
 (see :func:`skewmatch.functions.similarity.match_similarity`).
 
-* :func:`basic_match` joins a block with itself. A hot block is split over
-  several tasks by adaptive execution (skew join), by bytes.
+* :func:`basic_match` joins a block with itself; a hot block is salted
+  into groups and joined per pair of groups, so no task holds it whole.
 * :func:`split_match` and :func:`slice_match` plan the work by pair count:
   blocks above the per-reducer target are cut into tasks, the tasks are
   assigned to reducers by load, and each reducer's tasks are placed on one
@@ -58,14 +58,54 @@ def _oriented(df: DataFrame, extra: dict[str, tuple[str, str]] | None = None) ->
     return df.select(*cols)
 
 
-def basic_match(entities: DataFrame, key="prefix_lower", threshold: float = DEFAULT_THRESHOLD) -> DataFrame:
-    """All pairs inside a block (self-join on the key), scored and filtered."""
+PAIRS_PER_TASK = 250_000
+CELLS_PER_TASK = 200_000_000
+
+
+def _placed(df: DataFrame, keys: list[str], partitions: int | None) -> DataFrame:
+    """Hash-place rows on their task key with a fixed partition count.
+
+    The pair work is quadratic while the bytes are small, so adaptive
+    coalescing (by bytes) would squeeze the join into a few tasks; a fixed
+    count keeps it spread, and the join on the same keys reuses the placement.
+    """
+    n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(n, *keys)
+
+
+def basic_match(entities: DataFrame, key="prefix_lower", threshold: float = DEFAULT_THRESHOLD,
+                pairs_per_task: int = PAIRS_PER_TASK, cells_per_task: int = CELLS_PER_TASK,
+                partitions: int | None = None) -> DataFrame:
+    """All pairs inside a block, scored and filtered.
+
+    A block is salted into ``S`` groups by ``pmod(id, S)`` and the pairs are
+    computed per pair of salts ``x <= y``. ``S`` is chosen so that a task
+    holds about ``pairs_per_task`` pairs and ``cells_per_task`` edit-distance
+    cells (a pair costs about the product of its lengths): ``S = ceil(max(
+    n / sqrt(pairs_per_task), total_length / sqrt(cells_per_task)))``.
+    Small blocks keep one salt, a plain block self-join.
+    """
     key_fn = resolve_key(key)
     keyed = entities.select("id", "text", key_fn(F.col("text")).alias("block"))
-    a = _side(keyed, ["block"], ["id", "text"], "_a")
-    b = _side(keyed, ["block"], ["id", "text"], "_b")
-    joined = a.join(b, "block").filter(F.col("id_a") < F.col("id_b"))
-    return _scored(joined, threshold).select(*MATCH_COLUMNS)
+    by_pairs = F.col("n") / F.lit(float(pairs_per_task) ** 0.5)
+    by_cells = F.col("chars") / F.lit(float(cells_per_task) ** 0.5)
+    salts = (keyed.groupBy("block").agg(F.count(F.lit(1)).alias("n"),
+                                        F.sum(F.length("text")).alias("chars"))
+                  .select("block", F.greatest(F.lit(1), F.ceil(F.greatest(by_pairs, by_cells)))
+                          .cast("int").alias("salts")))
+    salted = (keyed.join(salts, "block")
+                   .withColumn("salt", F.pmod(F.col("id"), F.col("salts")).cast("int")))
+    every = F.sequence(F.lit(0), F.col("salts") - 1)
+    # Left copy of an entity with salt s goes to tasks (s, y >= s), right copy to (x <= s, s).
+    left = salted.select("block", "id", "text", F.col("salt").alias("x"),
+                         F.explode(F.filter(every, lambda y: y >= F.col("salt"))).alias("y"))
+    right = salted.select("block", "id", "text", F.col("salt").alias("y"),
+                          F.explode(F.filter(every, lambda x: x <= F.col("salt"))).alias("x"))
+    task = ["block", "x", "y"]
+    a = _side(_placed(left, task, partitions), task, ["id", "text"], "_a")
+    b = _side(_placed(right, task, partitions), task, ["id", "text"], "_b")
+    joined = a.join(b, task).filter((F.col("x") != F.col("y")) | (F.col("id_a") < F.col("id_b")))
+    return _oriented(_scored(joined, threshold))
 
 
 def split_plan_assigned(keyed: DataFrame, reducers: int):
@@ -118,7 +158,7 @@ def slice_match(entities: DataFrame, key="prefix", parts: int = 4, reducers: int
 
 
 def two_source_match(left_words: DataFrame, right_words: DataFrame, reducers: int = 4,
-                     threshold: float = DEFAULT_THRESHOLD) -> DataFrame:
+                     threshold: float = DEFAULT_THRESHOLD, partitions: int | None = None) -> DataFrame:
     """Every word of one source against every word of the other with the same
     first character: ``(word_a, word_b, similarity)``, one row per occurrence
     pair (multiplicity kept).
@@ -149,8 +189,8 @@ def two_source_match(left_words: DataFrame, right_words: DataFrame, reducers: in
     b = (wr.join(grid, "block")
            .select("block", F.col("word").alias("text_b"), "n_b", salt(F.col("gb")).alias("y"),
                    F.explode(F.sequence(F.lit(0), F.col("ga") - 1)).alias("x")))
-    a = with_match_features(a, "text_a", "_a")
-    b = with_match_features(b, "text_b", "_b")
+    a = with_match_features(_placed(a, ["block", "x", "y"], partitions), "text_a", "_a")
+    b = with_match_features(_placed(b, ["block", "x", "y"], partitions), "text_b", "_b")
     scored = _scored(a.join(b, ["block", "x", "y"]), threshold)
     return (scored.select(F.col("text_a").alias("word_a"), F.col("text_b").alias("word_b"), "similarity",
                           F.explode(F.array_repeat(F.lit(0), (F.col("n_a") * F.col("n_b")).cast("int")))

@@ -120,3 +120,10 @@ def test_tagged_split_match(spark, sf_dir):
             assert {r.part_a, r.part_b} == {r.i, r.j}
         elif r.i != 0:  # self task of an oversized block
             assert r.part_a == r.part_b == r.i
+
+
+def test_basic_match_salted_hot_blocks(spark, sf_dir):
+    # A tiny pair budget salts every block into many groups: same pairs.
+    from skewmatch.functions.keys import key_prefix_lower
+    ents = document_lines(spark, sf_dir)
+    assert _set(match.basic_match(ents, pairs_per_task=10)) == _set(_brute(spark, ents, key_prefix_lower))
