@@ -127,3 +127,15 @@ def test_basic_match_salted_hot_blocks(spark, sf_dir):
     from skewmatch.functions.keys import key_prefix_lower
     ents = document_lines(spark, sf_dir)
     assert _set(match.basic_match(ents, pairs_per_task=10)) == _set(_brute(spark, ents, key_prefix_lower))
+
+
+def test_task_keys_never_collide(spark):
+    # Two oversized blocks cut into 12 parts each: tasks such as (block 1,
+    # i 11, j 0) and (block 11, i 1, j 0) exist side by side on few reducers.
+    # Typed task keys keep the blocks apart: every result pair is in-block.
+    texts = ["aaa%03d" % i for i in range(60)] + ["bbb%03d" % i for i in range(60)]
+    ents = entities(spark, texts)
+    want = _set(_brute(spark, ents, threshold=0.0))
+    for fn in (match.split_match, match.slice_match):
+        got = fn(ents, parts=12, reducers=2, threshold=0.0)
+        assert _set(got) == want
