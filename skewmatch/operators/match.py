@@ -23,6 +23,7 @@ from skewmatch.functions.keys import key_first_char, resolve_key
 from skewmatch.functions.similarity import (DEFAULT_THRESHOLD, is_match, match_similarity,
                                             with_match_features)
 from skewmatch.operators.distribution import block_stats, keyed_entities, with_totals
+from skewmatch.operators.ordinal import materialize
 from skewmatch.operators.route import (entity_positions, place_by_reducer, slice_route,
                                        split_route)
 from skewmatch.plans.assign import assign_reducers
@@ -108,9 +109,19 @@ def basic_match(entities: DataFrame, key="prefix_lower", threshold: float = DEFA
     return _oriented(_scored(joined, threshold))
 
 
+def planned_stats(keyed: DataFrame, reducers: int) -> DataFrame:
+    """Block statistics, written once to the shared checkpoint folder.
+
+    One row per block: small next to the entities. Every planning step and
+    the routing join read this table instead of scanning the entities again,
+    and its lineage is cut before the (sequential) planning starts.
+    """
+    return materialize(block_stats(keyed, reducers), "block-stats")
+
+
 def split_plan_assigned(keyed: DataFrame, reducers: int):
     """Block statistics and the split tasks with their reducers."""
-    stats = block_stats(keyed, reducers)
+    stats = planned_stats(keyed, reducers)
     return stats, assign_reducers(split_plan(stats), reducers, SPLIT_KEY)
 
 
@@ -138,7 +149,8 @@ def split_match(entities: DataFrame, key="prefix", parts: int = 4, reducers: int
 
 
 def slice_plan_assigned(keyed: DataFrame, reducers: int):
-    stats = block_stats(keyed, reducers)
+    """Block statistics and the slices with their reducers."""
+    stats = planned_stats(keyed, reducers)
     return stats, assign_reducers(slice_plan(stats), reducers, SLICE_KEY)
 
 
