@@ -72,9 +72,15 @@ def q_entity_lines(spark, d):
     return _long(entity_lines(docs, "doc_id", "text"), "line_no")
 
 
+def _turns(spark, d) -> DataFrame:
+    """Conversation turns keyed by ``conv_id * 1000 + turn`` (a turn >= 1000 is rejected)."""
+    turn = F.when(F.col("turn") < 1000, F.col("turn")).otherwise(
+        F.raise_error(F.lit("turn number 1000 or more")).cast("long"))
+    return table(spark, d, "conversations").select((F.col("conv_id") * 1000 + turn).alias("rid"), "text")
+
+
 def q_drop_empty_lines(spark, d):
-    conv = table(spark, d, "conversations").select(
-        (F.col("conv_id") * 1000 + F.col("turn")).alias("rid"), "text")
+    conv = _turns(spark, d)
     return _long(drop_empty_lines(entity_lines(conv, "rid", "text")), "line_no")
 
 
@@ -117,8 +123,7 @@ def q_source_partition(spark, d):
 
 
 def q_mark_empty_entities(spark, d):
-    conv = table(spark, d, "conversations").select(
-        (F.col("conv_id") * 1000 + F.col("turn")).alias("rid"), "text")
+    conv = _turns(spark, d)
     lines = entity_lines(conv, "rid", "text").withColumn("text", fold_ascii("text"))
     return lines.select("id", key_prefix("text").alias("block"), mark_empty("text").alias("text"))
 
