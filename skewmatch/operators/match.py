@@ -79,7 +79,7 @@ def basic_match(entities: DataFrame, key="prefix_lower", threshold: float = DEFA
                 partitions: int | None = None) -> DataFrame:
     """All pairs inside a block, scored and filtered.
 
-    A block is salted into ``S`` groups by ``pmod(id, S)`` and the pairs are
+    A block is salted into ``S`` groups by a hash of the id and the pairs are
     computed per pair of salts ``x <= y``. ``S`` is chosen so that a task
     holds about ``pairs_per_task`` pairs and ``cells_per_task`` edit-distance
     cells (a pair costs about the product of its lengths): ``S = ceil(max(
@@ -95,7 +95,7 @@ def basic_match(entities: DataFrame, key="prefix_lower", threshold: float = DEFA
                   .select("block", F.greatest(F.lit(1), F.ceil(F.greatest(by_pairs, by_cells)))
                           .cast("int").alias("salts")))
     salted = (keyed.join(salts, "block")
-                   .withColumn("salt", F.pmod(F.col("id"), F.col("salts")).cast("int")))
+                   .withColumn("salt", F.pmod(F.xxhash64("id"), F.col("salts")).cast("int")))
     every = F.sequence(F.lit(0), F.col("salts") - 1)
     # Left copy of an entity with salt s goes to tasks (s, y >= s), right copy to (x <= s, s).
     left = salted.select("block", "id", "text", F.col("salt").alias("x"),

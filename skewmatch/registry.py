@@ -10,7 +10,7 @@ Parameters: 4 source parts, 4 reducers, threshold 0.7.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skewmatch.functions.keys import (key_first_char, key_prefix, key_prefix_lower, mark_empty,
@@ -21,8 +21,7 @@ from skewmatch.operators import distribution as dist
 from skewmatch.operators import match
 from skewmatch.operators.route import (entity_positions, place_by_reducer, plan_lookup,
                                        slice_route, split_route, split_tasks_by_block)
-from skewmatch.plans.assign import assign_reducers, reducer_load, tasks_by_cost
-from skewmatch.plans.slicer import TASK_KEY as SLICE_KEY
+from skewmatch.plans.assign import reducer_load, tasks_by_cost
 from skewmatch.plans.slicer import slice_cost, slice_plan, slice_size
 from skewmatch.plans.split import TASK_KEY as SPLIT_KEY
 from skewmatch.plans.split import split_plan

@@ -3,7 +3,6 @@
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import entities
 from skewmatch.functions.keys import key_first_char, key_prefix, key_prefix_lower, mark_empty
 from skewmatch.functions.similarity import is_match, match_similarity, similarity, with_match_features
 from skewmatch.functions.text import split_lines, split_words
