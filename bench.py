@@ -21,7 +21,7 @@ from skewmatch.operators import match  # noqa: E402
 from skewmatch.plans.assign import reducer_load  # noqa: E402
 from skewmatch.registry import QUERIES  # noqa: E402
 from skewmatch.session import local_session  # noqa: E402
-from skewmatch.sources.tables import page_urls, part_names  # noqa: E402
+from skewmatch.sources.tables import document_lines, page_urls, part_names  # noqa: E402
 
 PARTS = 8
 REDUCERS = 16
@@ -73,7 +73,8 @@ def main() -> None:
         times[name] = round(time.time() - t0, 3)
     balance = {
         f"{src}_{kind}": _balance(spark, sf_dir, kind, fn)
-        for src, fn in (("pages", page_urls), ("parts", part_names)) for kind in ("split", "slice")
+        for src, fn in (("pages", page_urls), ("parts", part_names), ("documents", document_lines))
+        for kind in ("split", "slice")
     }
     sf = os.path.basename(sf_dir.rstrip("/")).replace("sf", "")
     print(json.dumps({"metric": "total_query_seconds", "value": round(sum(times.values()), 3), "unit": "sec",
