@@ -57,12 +57,14 @@ def with_match_features(df: DataFrame, text: str = "text", suffix: str = "") ->
 
 
 def distance_limit(longer: Column, threshold: float) -> Column:
-    """An upper bound on the distance of any pair with similarity >= threshold.
+    """The largest distance a pair with similarity >= threshold can have.
 
-    Rounded up, so floating error can only loosen it; the exact test on the
-    similarity value is still applied afterwards.
+    ``(L - d) / L >= t`` means ``d <= (1 - t) * L``; the product is rounded
+    down after a tiny upward nudge that covers floating error, so the bound is
+    never below the true one. The exact test on the similarity value is still
+    applied afterwards.
     """
-    return F.ceil(F.lit(1.0 - threshold) * longer).cast("int")
+    return F.floor(F.lit(1.0 - threshold) * longer * F.lit(1 + 1e-12) + F.lit(1e-9)).cast("int")
 
 
 def match_similarity(a: str, b: str, threshold: float = DEFAULT_THRESHOLD) -> Column:

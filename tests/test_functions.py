@@ -81,3 +81,15 @@ def test_split_lines_like_java(spark, text, lines):
 def test_split_words_drops_empty(spark):
     got = spark.createDataFrame([("a  b ",)], "t string").select(split_words("t").alias("w")).first().w
     assert got == ["a", "b"]
+
+
+@pytest.mark.parametrize("threshold", [0.7, 0.5, 0.9, 0.75, 0.0])
+def test_distance_limit_never_cuts_a_match(spark, threshold):
+    from skewmatch.functions.similarity import distance_limit
+    lengths = spark.range(1, 5001).select(F.col("id").cast("int").alias("L"))
+    got = {r.L: r.lim for r in lengths.select("L", distance_limit(F.col("L"), threshold).alias("lim")).collect()}
+    for length, lim in got.items():
+        # the largest distance whose similarity, computed in doubles, still passes
+        best = max(d for d in range(length + 1) if (length - d) / length >= threshold)
+        assert lim >= best, (length, lim, best)
+        assert lim <= best + 1, (length, lim, best)
