@@ -159,3 +159,11 @@ def test_task_keys_never_collide(spark):
     for fn in (match.split_match, match.slice_match):
         got = fn(ents, parts=12, reducers=2, threshold=0.0)
         assert _set(got) == want
+
+
+def test_more_reducers_than_tasks(spark):
+    texts = ["abcd%d" % i for i in range(12)] + ["wxyz%d" % i for i in range(5)]
+    ents = entities(spark, texts)
+    want = _set(_brute(spark, ents, threshold=0.0))
+    for fn in (match.split_match, match.slice_match):
+        assert _set(fn(ents, parts=3, reducers=50, threshold=0.0)) == want
