@@ -5,8 +5,8 @@ key) and give each to the reducer with the least load so far, the lowest
 reducer id on a tie. It is sequential by nature, so it runs exactly for the
 ``exact_limit`` costliest tasks in one bounded fold. Any further tasks (all
 cheaper than those) are dealt without a single group: their costs are summed
-in rank order, and each reducer takes a run of them sized to level the loads
-left by the greedy part.
+in rank order, and each reducer takes a run of them that fills it up to the
+common water level above the loads left by the greedy part.
 """
 
 from __future__ import annotations
@@ -57,14 +57,25 @@ def assign_reducers(tasks: DataFrame, reducers: int, key: list[str],
         return assigned_head
     tail_total = tail.agg(F.coalesce(F.sum("comps"), F.lit(0)).cast("long").alias("tail_total"))
     one = with_totals(greedy.select("loads"), tail_total)
-    # Capacity of reducer r: lift it to the highest greedy load, then an equal
-    # share of the tail. Bounds are the running sums of the capacities.
-    share = F.expr(f"(tail_total + {reducers} - 1) div {reducers}")
-    caps = F.transform("loads", lambda x: F.array_max("loads") - x + share)
-    bounds = F.aggregate(caps, F.array().cast("array<long>"),
+    # Water level T with sum(max(0, T - load)) = tail_total: walk the loads in
+    # ascending order; while the next load is below the level that the tail
+    # would fill up to with the reducers seen so far, that level is the answer.
+    ascending = F.array_sort("loads")
+    level = F.aggregate(
+        F.sequence(F.lit(1), F.lit(reducers)),
+        F.struct(F.lit(0).cast("double").alias("sum"), F.lit(0.0).alias("t")),
+        lambda acc, k: F.struct(
+            (acc["sum"] + F.element_at(ascending, k)).alias("sum"),
+            F.when(F.element_at(ascending, k) <= (F.col("tail_total") + acc["sum"] + F.element_at(ascending, k)) / k,
+                   (F.col("tail_total") + acc["sum"] + F.element_at(ascending, k)) / k)
+             .otherwise(acc["t"]).alias("t")))["t"]
+    # Capacity of reducer r: up to the level. Bounds are running sums of the
+    # capacities; a tail task goes to the reducer whose range holds its start.
+    caps = F.transform("loads", lambda x: F.greatest(F.lit(0.0), F.col("_level") - x))
+    bounds = F.aggregate(caps, F.array().cast("array<double>"),
                          lambda acc, c: F.array_append(
-                             acc, F.coalesce(F.try_element_at(acc, F.lit(-1)), F.lit(0).cast("long")) + c))
-    plan_row = one.select(bounds.alias("_bounds"))
+                             acc, F.coalesce(F.try_element_at(acc, F.lit(-1)), F.lit(0.0)) + c))
+    plan_row = one.withColumn("_level", level).select(bounds.alias("_bounds"))
     tail_pos = running_sum(tail, [F.col("rank")], "comps", "_before")
     assigned_tail = (with_totals(tail_pos, plan_row)
                      .withColumn("reducer", F.least(
