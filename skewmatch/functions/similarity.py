@@ -10,7 +10,7 @@ For matching, :func:`match_similarity` gives the same value for every
 matching pair but skips the quadratic distance where it can: the distance is
 at least the difference of the lower-cased lengths, it is 0 for equal texts,
 and otherwise it runs with a limit (the largest distance that can still
-match), inside a band of that width.
+match), which confines it to a diagonal band.
 """
 
 from __future__ import annotations
