@@ -113,3 +113,23 @@ def test_positions_with_many_cells(spark, sf_dir):
         by_block.setdefault(r.block, []).append(r.pos)
     for block, ps in by_block.items():
         assert sorted(ps) == list(range(len(ps))), block
+
+
+def test_slice_size_exact_for_huge_blocks(spark):
+    from decimal import Decimal
+    from skewmatch.plans.slicer import slice_size
+    cases = [(10, 4), (114, 2294), (92, 2294), (63, 2294), (5, 10), (10**8, 10**15),
+             (3 * 10**9, 10**18), (123456789, 987654321098765), (2 * 10**9, 123456789012345678)]
+    df = spark.createDataFrame(cases, "n long, t long")
+    got = {(r.n, r.t): r.u for r in df.select("n", "t", slice_size(F.col("n"), F.col("t")).alias("u")).collect()}
+    for n, t in cases:
+        u = got[(n, t)]
+        b = 2 * n - 1
+        if b * b - 8 * t < 0:
+            assert u == 0
+            continue
+        # largest u <= n - 1 with u(b - u) <= 2t, in exact integers
+        assert Decimal(u) * (b - u) <= 2 * t and u <= n - 1
+        assert u + 1 > n - 1 or Decimal(u + 1) * (b - u - 1) > 2 * t
+    # the first slice of the fixture block (114 entities, target 2,294) takes 22
+    assert got[(114, 2294)] == 22 and got[(92, 2294)] == 29
