@@ -25,8 +25,12 @@ def spread(df: DataFrame, key: str) -> DataFrame:
 
     An input read from many files or row groups is returned unchanged.
     """
-    parallelism = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= parallelism:
+    try:
+        parallelism = df.sparkSession.sparkContext.defaultParallelism
+        splits = df.rdd.getNumPartitions()
+    except Exception:  # no RDD view of the plan (e.g. a remote session): read as is
+        return df
+    if splits >= parallelism:
         return df
     return df.repartition(parallelism, key)
 
