@@ -9,21 +9,21 @@ from skewmatch.llm.common import hot_join, written
 
 
 def _neighbour_min(edges: DataFrame) -> DataFrame:
-    return edges.groupBy("u").agg(F.min("v").alias("m"))
+    return edges.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("rows"))
 
 
-def large_star(edges: DataFrame) -> DataFrame:
+def large_star(edges: DataFrame, total: int) -> DataFrame:
     """Every neighbour larger than ``u`` is linked to the smallest of ``u`` and its neighbours."""
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     low = _neighbour_min(both).withColumn("m", F.least("m", "u"))
-    return (hot_join(both, low, ["u"], "inner").filter("v > u and v != m")
+    return (hot_join(both, low, ["u"], "inner", total=2 * total, rows_col="rows").filter("v > u and v != m")
             .select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
 
 
-def small_star(edges: DataFrame) -> DataFrame:
+def small_star(edges: DataFrame, total: int) -> DataFrame:
     """``u`` and its smaller neighbours are linked to the smallest of them (``u > v`` in every edge)."""
     low = _neighbour_min(edges)
-    near = hot_join(edges, low, ["u"], "inner").filter("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    near = hot_join(edges, low, ["u"], "inner", total=total, rows_col="rows").filter("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return near.unionByName(low.select("u", F.col("m").alias("v"))).distinct()
 
 
@@ -42,6 +42,6 @@ def components(edges: DataFrame, u: str = "u", v: str = "v") -> DataFrame:
         if tuple(now) == state or not now[0]:
             break
         state = tuple(now)
-        edges = written(small_star(large_star(edges)))
+        edges = written(small_star(written(large_star(edges, now[0])), now[0]))
     stars = edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
     return stars.unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("component"))).distinct()

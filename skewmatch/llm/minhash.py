@@ -8,10 +8,11 @@ shingle sets, and connected components by alternating large-star and small-star.
    (1 - 0.8**4)**32 = 5e-8.
 3. Candidates. A bucket of at most ``SMALL`` nodes gives its pairs. A larger one is cut in blocks; each block
    links its nodes to the node nearest to the block's majority signature, and those centres meet one level up, so
-   the links stay linear in the bucket. After the first components, buckets that still hold several
-   components compare their blocks pairwise (skipping pairs already joined; only pairs whose
-   signatures pass leave the task, once per pair): the exact way for the rest.
-4. ``confirm``: signature estimate >= the threshold minus 5 deviations, then the full sets.
+   the links stay linear in the bucket.
+4. ``likely`` and ``confirm``: signature estimate >= the threshold minus 5 deviations, then the full sets; the
+   links' components.
+5. Buckets that still hold several components compare their blocks pairwise inside tasks (pairs already
+   joined are skipped, only new links leave a task): the exact way for the rest.
 """
 
 from __future__ import annotations
@@ -30,6 +31,7 @@ from skewmatch.llm.components import components
 HASHES, BANDS, ROWS = 256, 32, 4
 SMALL = 8
 BLOCK = 512
+BLOCK_SHINGLES = 1 << 20
 
 _rng = np.random.default_rng(8_191)
 _MUL = (_rng.integers(0, 1 << 31, HASHES, dtype=np.uint32) * np.uint32(2) + np.uint32(1))[:, None]
@@ -135,28 +137,41 @@ def centre_links(frame: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"bucket": frame["bucket"], "a": node[centre], "b": node, "sig": [bytes(frame["sig"].iloc[centre])] * len(node)})
 
 
-def block_pairs(floor: float):
+def block_links(floor: float, percent: int):
     """One pair of blocks (sides 0 and 1, or a block with itself) of a bucket that holds several
-    components: pairs of different components whose signatures agree enough, and for which no earlier
-    band would show them too."""
+    components: links between different components. A pair is tested by signature and then on the full sets, in
+    the first band that shows it; components that a link has joined are not compared again, so at
+    most one link less than the number of components leaves the task."""
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         sig = np.frombuffer(b"".join(frame["sig"]), np.uint16).reshape(len(frame), HASHES)
-        node, comp, side = (frame[c].to_numpy() for c in ("node", "comp", "side"))
-        keys, bucket = band_keys(sig), np.uint64(np.int64(frame["bucket"].iloc[0]).view(np.uint64))
+        node, comp, side = frame["node"].to_numpy(), frame["comp"].to_numpy().copy(), frame["side"].to_numpy()
+        sets = [np.frombuffer(x, np.uint64) for x in frame["shingles"]]
+        size = np.array([len(x) for x in sets])
+        codes = np.unique(np.concatenate(sets), return_inverse=True)[1].astype(np.int32)
+        parts = np.split(codes, np.cumsum(size)[:-1])
+        mark = np.zeros(int(codes.max()) + 1, np.int32)
+        keys, bucket = band_keys(sig), np.uint64(int(frame["bucket"].iloc[0]) % (1 << 64))
         left = np.flatnonzero(side == 0)
-        right = np.flatnonzero(side == 1) if (side == 1).any() else left
+        right = np.flatnonzero(side == 1)
         a, b = [], []
         for i in left.tolist():
-            other = right[(comp[right] != comp[i])]
-            if (side == 1).sum() == 0:
-                other = other[node[other] > node[i]]
+            other = right if len(right) else left[node[left] > node[i]]
+            other = other[comp[other] != comp[i]]
+            other = other[(sig[other] == sig[i]).mean(axis=1) >= floor] if len(other) else other
             if not len(other):
                 continue
-            other = other[(sig[other] == sig[i]).mean(axis=1) >= floor]
-            shared = keys[other] == keys[i]
-            other = other[keys[i][shared.argmax(axis=1)] == bucket] if len(other) else other
-            a += [node[i]] * len(other)
-            b += node[other].tolist()
+            other = other[keys[i][(keys[other] == keys[i]).argmax(axis=1)] == bucket]
+            if not len(other):
+                continue
+            mark[parts[i]] = 1
+            same = np.add.reduceat(mark[np.concatenate([parts[j] for j in other.tolist()])],
+                                   np.concatenate(([0], np.cumsum(size[other])[:-1])))
+            mark[parts[i]] = 0
+            for j in other[100 * same >= percent * (size[other] + size[i] - same)].tolist():
+                if comp[j] != comp[i]:
+                    a.append(node[i])
+                    b.append(node[j])
+                    comp[comp == comp[j]] = comp[i]
         a, b = np.array(a, np.int64), np.array(b, np.int64)
         return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)})
     return run
@@ -187,20 +202,33 @@ def exact_links(percent: int):
     return run
 
 
-def confirm(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, shingle: int, percent: int, floor: float) -> DataFrame:
-    """The pairs ``(a, b)`` that are links, by signature first and full sets after."""
+def likely(pairs: DataFrame, nodes: DataFrame, floor: float) -> DataFrame:
+    """The distinct pairs ``(a, b)`` whose signatures agree in at least ``floor`` of the minima."""
     sigs = nodes.select("node", "sig")
-    near = written(hot_join(hot_join(pairs.distinct().withColumnRenamed("a", "node"), sigs, ["node"], "inner")
-                            .withColumnRenamed("node", "a").withColumnRenamed("b", "node"),
-                            sigs.withColumnRenamed("sig", "sig_b"), ["node"], "inner")
-                   .withColumnRenamed("node", "b").mapInArrow(estimates(floor), "a long, b long"))
-    wanted = near.select(F.col("a").alias("node")).union(near.select("b")).distinct()
-    sets = written(texts.join(wanted, texts["doc_id"] == wanted["node"], "inner").select("node", "text")
-                   .mapInArrow(shingle_sets(shingle), "node long, shingles binary").dropDuplicates(["node"]))
-    both = hot_join(near.withColumnRenamed("a", "node"), sets, ["node"], "inner").select(
+    pairs = written(pairs.distinct())
+    half = hot_join(pairs.withColumnRenamed("a", "node"), sigs, ["node"], "inner").select(
+        F.col("node").alias("a"), F.col("b").alias("node"), "sig")
+    return hot_join(half, sigs.withColumnRenamed("sig", "sig_b"), ["node"], "inner").withColumnRenamed(
+        "node", "b").mapInArrow(estimates(floor), "a long, b long")
+
+
+def full_sets(texts: DataFrame, wanted: DataFrame, shingle: int, slots: int = 1 << 20) -> DataFrame:
+    """``(node, shingles)`` of the wanted nodes. Before texts are shuffled, those whose hashed id is in no
+    wanted slot are left out; the broadcast list has at most ``slots`` numbers at any size of the input."""
+    slot = lambda c: F.pmod(F.xxhash64(c), F.lit(slots))
+    some = wanted.select(slot("node").alias("_slot")).distinct()
+    near = texts.withColumn("_slot", slot("doc_id")).join(F.broadcast(some), "_slot", "left_semi")
+    return (near.join(wanted, near["doc_id"] == wanted["node"], "inner").select("node", "text")
+                .mapInArrow(shingle_sets(shingle), "node long, shingles binary").dropDuplicates(["node"]))
+
+
+def confirm(near: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs ``(a, b)`` that are links on their full sets."""
+    half = hot_join(near.withColumnRenamed("a", "node"), sets, ["node"], "inner").select(
         F.col("node").alias("a"), F.col("b").alias("node"), "shingles")
-    both = hot_join(both, sets.withColumnRenamed("shingles", "shingles_b"), ["node"], "inner").select("a", F.col("node").alias("b"), "shingles", "shingles_b")
-    return both.mapInArrow(exact_links(percent), "a long, b long")
+    both = hot_join(half, sets.withColumnRenamed("shingles", "shingles_b"), ["node"], "inner")
+    return both.select("a", F.col("node").alias("b"), "shingles", "shingles_b").mapInArrow(
+        exact_links(percent), "a long, b long")
 
 
 def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5,
@@ -214,7 +242,7 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows = id_text(docs, id_col, text_col)
     signed = written(rows.mapInArrow(sign(shingle), "doc_id long, n long, digest binary, sig binary"))
     nodes = written(signed.filter("digest is not null and doc_id is not null").groupBy("digest")
-                    .agg(F.min("doc_id").alias("node"), F.first("sig").alias("sig")))
+                    .agg(F.min("doc_id").alias("node"), F.first("n").alias("n"), F.first("sig").alias("sig")))
     share = percent / 100
     floor = share - 5 * (share * (1 - share) / HASHES) ** 0.5
 
@@ -224,8 +252,7 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     pairs = (members.filter(F.col("size") <= SMALL).repartition("bucket").sortWithinPartitions("bucket", "node")
              .select("bucket", "node").mapInArrow(small_pairs, "a long, b long"))
 
-    sigs = nodes.select("node", "sig")
-    large = written(hot_join(members.filter(F.col("size") > SMALL), sigs, ["node"], "inner"))
+    large = written(hot_join(members.filter(F.col("size") > SMALL), nodes.select("node", "n", "sig"), ["node"], "inner"))
     block = F.pmod(F.xxhash64("node"), F.ceil(F.col("size") / BLOCK)).cast("int")
     level = large.select("bucket", "node", "sig", block.alias("block"))
     links = level.groupBy("bucket", "block").applyInPandas(centre_links, "bucket long, a long, b long, sig binary")
@@ -241,29 +268,28 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                         .groupBy("bucket", "block").applyInPandas(centre_links, "bucket long, a long, b long, sig binary"))
         pairs = pairs.unionByName(links.filter("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
 
-    texts = rows.filter("doc_id is not null")
-    first = written(confirm(pairs, nodes, texts, shingle, percent, floor))
-    found = written(components(first, "a", "b"))
-
-    if large.select("node").isEmpty():
-        edges, joined = first, found
-    else:
-        placed = (hot_join(large.select("bucket", "node", "sig", "size"), found, ["node"], "left")
-                  .withColumn("comp", F.coalesce("component", "node")))
-        placed = written(placed.select("bucket", "node", "comp", "sig", "size"))
-        split = (placed.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"))
-                       .filter("lo != hi").select("bucket"))
-        open_rows = hot_join(placed, split, ["bucket"], "inner")
-        blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-        mine = F.pmod(F.xxhash64("node"), blocks).cast("int")
-        dealt = (open_rows.withColumn("blocks", blocks).withColumn("mine", mine)
+    near = written(likely(pairs, nodes, floor))
+    wanted = written(near.select(F.col("a").alias("node")).union(near.select("b")).union(large.select("node")).distinct())
+    sets = written(full_sets(rows.filter("doc_id is not null"), wanted, shingle))
+    links = written(confirm(near, sets, percent))
+    joined = written(components(links, "a", "b"))
+
+    if not large.isEmpty():
+        placed = written(hot_join(large.select("bucket", "node", "n", "sig", "size"), joined, ["node"], "left")
+                         .withColumn("comp", F.coalesce("component", "node")).drop("component"))
+        split = (placed.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.sum("n").alias("all"),
+                                              F.count(F.lit(1)).alias("rows")).filter("lo != hi")
+                 .select("bucket", "rows", F.greatest(F.ceil(F.col("rows") / BLOCK), F.ceil(F.col("all") / BLOCK_SHINGLES))
+                         .cast("int").alias("blocks")))
+        still = hot_join(placed, split, ["bucket"], "inner", rows_col="rows")
+        dealt = (still.withColumn("mine", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
                  .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
                  .select("bucket", "node", "comp", "sig", F.least("mine", "other").alias("i"),
                          F.greatest("mine", "other").alias("j"), (F.col("mine") > F.col("other")).cast("int").alias("side")))
-        more = dealt.groupBy("bucket", "i", "j").applyInPandas(block_pairs(floor), "a long, b long")
-        second = written(confirm(more, nodes, texts, shingle, percent, floor))
-        edges = first.unionByName(second)
-        joined = found if second.isEmpty() else written(components(edges, "a", "b"))
+        dealt = hot_join(written(dealt), sets, ["node"], "inner")
+        more = written(dealt.groupBy("bucket", "i", "j").applyInPandas(block_links(floor, percent), "a long, b long"))
+        if not more.isEmpty():
+            joined = written(components(links.unionByName(more), "a", "b"))
 
     labels = (nodes.select("digest", "node").join(joined, "node", "left")
               .select("digest", F.coalesce("component", "node").alias("component_id")))
