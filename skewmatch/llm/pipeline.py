@@ -1,30 +1,55 @@
-"""The stages of the corpus pipeline: quality, exact dedup, near dedup, mixing, packing."""
+"""The stages of the corpus pipeline: quality, exact dedup, near dedup, mixing, packing.
+
+Every stage takes ``(spark, docs, sf_dir)``; all but the last return the columns of ``documents``.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skewmatch.llm import exact, minhash
-from skewmatch.llm.common import documents, hot_join, written
+from skewmatch.llm import exact, minhash, mixing, packing, quality
+from skewmatch.llm.common import documents, written
 
 ORACLE_SQL = None
 
 
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier rejects go."""
+    return quality.good_documents(docs, spark.read.parquet(f"{sf_dir.rstrip('/')}/labels.parquet"))
+
+
+def _stay(docs: DataFrame, keys: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose doc_id is among ``keys`` (one column ``_doc``, no hot key: each row is one document)."""
+    return docs.join(keys, docs["doc_id"].cast("long").eqNullSafe(keys["_doc"]), "left_semi")
+
+
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each group of equal texts stays: the one with the smallest doc_id."""
-    kept = exact.exact_dedup(docs).filter("kept").select(F.col("doc_id").alias("_doc"), "text_sha256")
-    one = docs.withColumn("_doc", F.col("doc_id")).withColumn("text_sha256", exact.text_digest(F.coalesce("text", F.lit(""))))
-    keys = written(kept.distinct())
-    cols = docs.columns
-    return (one.join(keys, F.col("_doc").eqNullSafe(keys["_doc"]) & (one["text_sha256"] == keys["text_sha256"]), "left_semi")
-            .select(*cols))
+    """Of equal texts the row with the smallest doc_id stays."""
+    return _stay(docs, written(exact.exact_dedup(docs).filter("kept").select(F.col("doc_id").alias("_doc"))))
+
+
+def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates (five words, similarity 0.8) stays: the smallest doc_id."""
+    return _stay(docs, written(minhash.near_components(docs).filter("kept").select(F.col("doc_id").alias("_doc"))))
+
+
+def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The mix of the sources: each copy of a document holds the words that the mix takes."""
+    return mixing.mixed_documents(docs)
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of the documents in sequences of 2048 ids."""
+    return packing.pack(docs)
 
 
-STAGES = [("exact dedup", exact_stage)]
+STAGES = [("quality classifier", quality_stage), ("exact dedup", exact_stage), ("MinHash near-dedup", near_stage),
+          ("mixing to target weights", mixing_stage), ("packing", packing_stage)]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``; each result is written and read again."""
     docs = documents(spark, sf_dir)
     for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from skewmatch.llm import exact, minhash
+from skewmatch.llm import exact, minhash, mixing, packing, quality
 from skewmatch.llm.common import documents
 
 
@@ -14,5 +14,17 @@ def op2_exact_dedup(spark, sf_dir):
     return exact.exact_dedup(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_minhash_near_dedup, op2_exact_dedup)}
+def op4_packing(spark, sf_dir):
+    return packing.pack(documents(spark, sf_dir))
+
+
+def op6_quality_classifier(spark, sf_dir):
+    return quality.quality(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir.rstrip('/')}/labels.parquet"))
+
+
+def op10_mixing(spark, sf_dir):
+    return mixing.mix(documents(spark, sf_dir))
+
+
+QUERIES = {f.__name__: f for f in (op1_minhash_near_dedup, op2_exact_dedup, op4_packing, op6_quality_classifier, op10_mixing)}
 ORACLE = {"op2_exact_dedup": exact.ORACLE}
