@@ -44,27 +44,27 @@ def partitions(spark: SparkSession) -> int:
 
 def hot_join(big: DataFrame, small: DataFrame, keys: list[str], how: str = "left",
              salts: int = 32, total: int | None = None, rows_col: str | None = None) -> DataFrame:
-    """``big`` joined with ``small`` (unique on ``keys``) where a key may own a large share of ``big``.
+    """``big`` joined with ``small`` (unique on ``keys[0]``) where a key may own a large share of ``big``.
 
-    Keys with at least 1/(4 * partitions) of the rows are hot: there are at most 4 * partitions of
-    them, so their list may be broadcast. A hot key is dealt over ``salts`` parts and its row of
-    ``small`` is copied to each; all other keys join plainly. Null keys match nothing. ``rows_col``:
-    the column of ``small`` that has the rows of ``big`` per key, where the caller knows them.
+    A key with at least 1/partitions of the rows is hot; there are at most as many of them as partitions, and
+    only they reach the driver. A hot key is dealt over ``salts`` parts and its row of ``small`` is copied
+    to each; without one the join is a plain one. Null keys match nothing. ``rows_col``: the column of
+    ``small`` that has the rows of ``big`` per key, where the caller knows them.
     """
+    (key,) = keys
     total = big.count() if total is None else total
-    floor = max(16, total // (4 * partitions(big.sparkSession)))
-    counted = (small.select(*keys, F.col(rows_col).alias("_rows")) if rows_col else
-               big.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows")))
-    hot = counted.filter(F.col("_rows") >= floor).select(*keys, F.lit(True).alias("_hot"))
+    floor = max(16, total // partitions(big.sparkSession))
+    counted = (small.select(key, F.col(rows_col).alias("_rows")) if rows_col else
+               big.groupBy(key).agg(F.count(F.lit(1)).alias("_rows")))
+    found = [r[0] for r in counted.filter((F.col("_rows") >= floor) & F.col(key).isNotNull()).select(key).collect()]
+    if not found:
+        return big.join(small, keys, how)
+    hot = F.col(key).isin([F.lit(bytes(x)) if isinstance(x, (bytes, bytearray)) else x for x in found])
     pick = F.pmod(F.xxhash64(*big.columns), F.lit(salts)).cast("int")
-    left = (big.join(F.broadcast(hot), keys, "left")
-               .withColumn("_salt", F.when(F.col("_hot"), pick).otherwise(F.lit(0)))
-               .drop("_hot"))
-    right = (small.join(F.broadcast(hot), keys, "left")
-                  .withColumn("_salt", F.explode(F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1)))
-                                                 .otherwise(F.array(F.lit(0)))))
-                  .drop("_hot"))
-    return left.join(right, [*keys, "_salt"], how).drop("_salt")
+    left = big.withColumn("_salt", F.when(hot, pick).otherwise(F.lit(0)))
+    right = small.withColumn("_salt", F.lit(0)).unionByName(
+        small.filter(hot).withColumn("_salt", F.explode(F.sequence(F.lit(1), F.lit(salts - 1)))))
+    return left.join(right, [key, "_salt"], how).drop("_salt")
 
 
 # --- vectorised words ---------------------------------------------------------
@@ -104,7 +104,7 @@ def mix64(x: np.ndarray) -> np.ndarray:
 
 def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The UTF-8 bytes of a string column without nulls, and the row offsets."""
-    column = column.cast(pa.large_string())
+    column = column if pa.types.is_large_binary(column.type) else column.cast(pa.large_string())
     off = np.frombuffer(column.buffers()[1], np.int64)[column.offset:column.offset + len(column) + 1]
     data = column.buffers()[2]
     return (np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)), off

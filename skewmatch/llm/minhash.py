@@ -30,7 +30,7 @@ from skewmatch.llm.components import components
 
 HASHES, BANDS, ROWS = 256, 32, 4
 SMALL = 8
-BLOCK = 512
+BLOCK = 1024
 BLOCK_SHINGLES = 1 << 20
 
 _rng = np.random.default_rng(8_191)

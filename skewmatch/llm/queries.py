@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from skewmatch.llm import exact, minhash, mixing, packing, quality
+from skewmatch.llm import brown, exact, fingerprint, minhash, mixing, packing, quality, secrets, suffix
 from skewmatch.llm.common import documents
 
 
@@ -14,17 +14,35 @@ def op2_exact_dedup(spark, sf_dir):
     return exact.exact_dedup(documents(spark, sf_dir))
 
 
+def op3_fingerprints(spark, sf_dir):
+    return fingerprint.document_fingerprints(documents(spark, sf_dir))
+
+
 def op4_packing(spark, sf_dir):
     return packing.pack(documents(spark, sf_dir))
 
 
+def op5_brown_ngrams(spark, sf_dir):
+    return brown.language_scores(documents(spark, sf_dir))
+
+
 def op6_quality_classifier(spark, sf_dir):
     return quality.quality(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir.rstrip('/')}/labels.parquet"))
 
 
+def op8_secret_scan(spark, sf_dir):
+    return secrets.secrets(documents(spark, sf_dir))
+
+
+def op9_suffix_dedup(spark, sf_dir):
+    return suffix.remove_repeats(documents(spark, sf_dir))
+
+
 def op10_mixing(spark, sf_dir):
     return mixing.mix(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_minhash_near_dedup, op2_exact_dedup, op4_packing, op6_quality_classifier, op10_mixing)}
+QUERIES = {f.__name__: f for f in (
+    op1_minhash_near_dedup, op2_exact_dedup, op3_fingerprints, op4_packing, op5_brown_ngrams, op6_quality_classifier,
+    op8_secret_scan, op9_suffix_dedup, op10_mixing)}
 ORACLE = {"op2_exact_dedup": exact.ORACLE}
