@@ -27,7 +27,7 @@ from skewmatch.llm.common import id_text, scans, word_hashes, written
 
 CLASSES = 64  # 0 is the end of a text, the last one is for words not placed yet
 END = 0x1F3D5B79A1C2E3F4  # the end token's number
-BLOCK_TOKENS = 3_000_000
+BLOCK_TOKENS = 2_500_000
 DISCOUNT = 0.75
 
 

@@ -1,7 +1,7 @@
 """Suffix-array dedup: threshold-bounded interval expansion on a Burrows-Wheeler transform.
 
 Every byte that lies in a ``width``-byte string which also starts elsewhere is removed. To deal the work out,
-each window of ``width`` bytes is assigned to its anchor, the smallest hashed 32-gram in it (leftmost on ties): equal
+each window of ``width`` bytes is assigned to its anchor, the smallest hashed 96-gram in it (leftmost on ties): equal
 windows have equal anchors at equal places, so windows meet exactly where their anchors are equal. The windows of one
 anchor in one text form a context (their bytes together).
 
@@ -28,9 +28,9 @@ from pyspark.sql import functions as F
 
 from skewmatch.llm.common import _powers, hot_join, id_text, mix64, scans, text_buffers, written
 
-WIDTH, GRAM = 400, 32
+WIDTH, GRAM = 400, 96
 LIMIT = 4 << 20
-TASK_BYTES = 1 << 20
+TASK_BYTES = 1 << 18
 _rng = np.random.default_rng(5_003)
 _RAW = _rng.integers(1, 1 << 63, (2, 256), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -128,16 +128,25 @@ def suffix_order(text: np.ndarray, width: int) -> np.ndarray:
     key = np.zeros(n, np.uint64)
     for k in range(8):
         key = (key << np.uint64(8)) | around[k:k + n].astype(np.uint64)
+    order = np.argsort(key)
+    ranked = key[order]
+    new = np.concatenate(([True], ranked[1:] != ranked[:-1]))
     done = 8
-    while True:
-        order = np.argsort(key)
-        ranked = key[order]
+    while done < width:
+        # rank: the first place of a suffix's group of ties; only ties are sorted again
         rank = np.empty(n, np.uint64)
-        rank[order] = np.concatenate(([0], np.cumsum(ranked[1:] != ranked[:-1]))).astype(np.uint64)
-        if done >= width or rank[order[-1]] == n - 1:
-            return order
-        key = (rank << np.uint64(32)) | np.roll(rank, -done % n if done % n else 0)
+        rank[order] = np.maximum.accumulate(np.where(new, np.arange(n), 0)).astype(np.uint64)
+        tied = np.flatnonzero(~new | np.append(~new[1:], False))
+        if not len(tied):
+            break
+        some = order[tied]
+        key = (rank[some] << np.uint64(32)) | rank[(some + done) % n]
+        sort = np.argsort(key)
+        order[tied] = some[sort]
+        key = key[sort]
+        new[tied[1:]] |= key[1:] != key[:-1]
         done *= 2
+    return order
 
 
 def short_prefixes(text: np.ndarray, order: np.ndarray, width: int) -> np.ndarray:
