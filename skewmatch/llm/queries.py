@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from skewmatch.llm import brown, exact, fingerprint, minhash, mixing, packing, quality, secrets, suffix
+from pyspark.sql import functions as F
+
+from skewmatch.llm import brown, exact, fingerprint, licenses, minhash, mixing, packing, quality, secrets, suffix
 from skewmatch.llm.common import documents
 
 
@@ -30,6 +32,14 @@ def op6_quality_classifier(spark, sf_dir):
     return quality.quality(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir.rstrip('/')}/labels.parquet"))
 
 
+def op7_license_scan(spark, sf_dir):
+    """Documents as files: every fifth in ``source/lang``, the others in one of 16 folders below. A document that opens
+    with a statement licenses its directory."""
+    folder = F.when(F.col("doc_id") % 5 != 0, F.concat(F.lit("d"), F.pmod("doc_id", F.lit(16)).cast("string")))
+    path = F.concat_ws("/", "source", "lang", folder, F.concat(F.col("doc_id").cast("string"), F.lit(".txt")))
+    return licenses.scan_licenses(documents(spark, sf_dir), path, stands=F.col("first_line") == 0)
+
+
 def op8_secret_scan(spark, sf_dir):
     return secrets.secrets(documents(spark, sf_dir))
 
@@ -44,5 +54,5 @@ def op10_mixing(spark, sf_dir):
 
 QUERIES = {f.__name__: f for f in (
     op1_minhash_near_dedup, op2_exact_dedup, op3_fingerprints, op4_packing, op5_brown_ngrams, op6_quality_classifier,
-    op8_secret_scan, op9_suffix_dedup, op10_mixing)}
+    op7_license_scan, op8_secret_scan, op9_suffix_dedup, op10_mixing)}
 ORACLE = {"op2_exact_dedup": exact.ORACLE}
