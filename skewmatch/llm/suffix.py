@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from skewmatch.llm.common import _powers, hot_join, id_text, mix64, scans, text_buffers, written
 
 WIDTH, GRAM = 400, 96
-LIMIT = 4 << 20
+LIMIT = 2 << 20
 TASK_BYTES = 1 << 18
 _rng = np.random.default_rng(5_003)
 _RAW = _rng.integers(1, 1 << 63, (2, 256), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -128,7 +128,7 @@ def suffix_order(text: np.ndarray, width: int) -> np.ndarray:
     key = np.zeros(n, np.uint64)
     for k in range(8):
         key = (key << np.uint64(8)) | around[k:k + n].astype(np.uint64)
-    order = np.argsort(key)
+    order = np.argsort(key).astype(np.int32)
     ranked = key[order]
     new = np.concatenate(([True], ranked[1:] != ranked[:-1]))
     done = 8
@@ -144,6 +144,7 @@ def suffix_order(text: np.ndarray, width: int) -> np.ndarray:
         sort = np.argsort(key)
         order[tied] = some[sort]
         key = key[sort]
+        del rank, some, sort
         new[tied[1:]] |= key[1:] != key[:-1]
         done *= 2
     return order
@@ -158,25 +159,26 @@ def short_prefixes(text: np.ndarray, order: np.ndarray, width: int) -> np.ndarra
     """
     n = len(text)
     bwt = text[order - 1]
-    by_byte = np.argsort(bwt, kind="stable")
-    step = np.empty(n, np.int64)
-    step[by_byte] = np.arange(n)
+    by_byte = np.argsort(bwt, kind="stable").astype(np.int32)
+    step = np.empty(n, np.int32)
+    step[by_byte] = np.arange(n, dtype=np.int32)
     same = bwt[by_byte[1:]] == bwt[by_byte[:-1]]
-    before, after = np.full(n, -1), np.full(n, n)
+    before, after = np.full(n, -1, np.int32), np.full(n, n, np.int32)
     before[by_byte[1:][same]] = by_byte[:-1][same]
     after[by_byte[:-1][same]] = by_byte[1:][same]
     known = np.zeros(n + 1, bool)
     known[[0, n]] = True
-    low, high = np.array([0]), np.array([n])
+    del by_byte, same
+    low, high = np.array([0], np.int32), np.array([n], np.int32)
     for _ in range(width):
         size = high - low
-        owner = np.repeat(np.arange(len(low)), size)
-        at = np.arange(len(owner)) + np.repeat(low - (np.cumsum(size) - size), size)
+        owner = np.repeat(np.arange(len(low), dtype=np.int32), size)
+        at = np.arange(len(owner), dtype=np.int32) + np.repeat((low - (np.cumsum(size) - size)).astype(np.int32), size)
         is_first, is_last = before[at] < low[owner], after[at] >= high[owner]
         # the first and the last place of each byte in each interval, in the same order
         f, g = at[is_first], at[is_last]
-        f = f[np.argsort(owner[is_first] * 256 + bwt[f])]
-        g = g[np.argsort(owner[is_last] * 256 + bwt[g])]
+        f = f[np.argsort(owner[is_first] * np.int64(256) + bwt[f])]
+        g = g[np.argsort(owner[is_last] * np.int64(256) + bwt[g])]
         low, high = step[f], step[g] + 1
         new = ~known[high]
         low, high = low[new], high[new]
