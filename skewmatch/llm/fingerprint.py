@@ -9,6 +9,7 @@ corrected for the 2**-BITS that agree by chance.
 from __future__ import annotations
 
 import hashlib
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -18,17 +19,17 @@ from pyspark.sql import functions as F
 from skewmatch.llm.common import id_text, mix64, partitions, shingle_hashes, word_hashes
 
 BINS, BITS, SHINGLE = 512, 4, 5
-TRIES = 64
+TRIES = 512
 _EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
+@lru_cache(maxsize=3)
 def probes(tries: int) -> np.ndarray:
     """Bin number tried by each bin at each attempt."""
     grid = np.arange(BINS, dtype=np.uint64)[:, None] * np.uint64(1 << 32) + np.arange(1, tries + 1, dtype=np.uint64)
     return (mix64(grid) % np.uint64(BINS)).astype(np.int32)
 
 
-_PROBES = probes(TRIES)
 
 
 def bins(shingles: np.ndarray) -> np.ndarray | None:
@@ -44,17 +45,15 @@ def bins(shingles: np.ndarray) -> np.ndarray | None:
     if len(empty):
         full = np.ones(BINS, bool)
         full[empty] = False
-        table, tries = _PROBES, TRIES
-        todo, source = empty, np.zeros(BINS, np.int64)
-        done = 0
+        source, todo = np.zeros(BINS, np.int64), empty
+        table, done, wide = probes(TRIES), 0, 1
         while len(todo):
-            seen = full[table[todo, done:]]
+            if done == table.shape[1]:
+                table = probes(done * 8)
+            seen = full[table[todo, done:done + wide]]  # most bins find one at once: look at few attempts first
             hit = seen.any(axis=1)
             source[todo[hit]] = table[todo[hit], done + seen[hit].argmax(axis=1)]
-            todo, done = todo[~hit], tries
-            if len(todo):
-                tries *= 8
-                table = probes(tries)
+            todo, done, wide = todo[~hit], done + wide, max(1, done + wide)
         low[empty] = low[source[empty]]
     return low
 
