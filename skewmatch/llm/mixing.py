@@ -146,7 +146,7 @@ def mix_plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", so
     over = "sum(words) over (partition by source_no order by bucket) - words"
     starts = part.select(*spot, F.expr(over).alias("start"))
     place = "sum(size) over (partition by source_no, bucket order by doc_id, content, row rows unbounded preceding) - size"
-    placed = rows.filter("size > 0").withColumn("at", F.expr(place)).join(starts, spot).withColumn(
+    placed = rows.filter("size > 0").withColumn("at", F.expr(place)).join(starts.hint("merge"), spot).withColumn(
         "at", F.col("at") + F.col("start"))
     spans = placed.select("row", "source_no", "size", "at", F.explode(F.expr(
         f"sequence(at div {block}, (at + size - 1) div {block})")).alias("block"))
@@ -154,10 +154,11 @@ def mix_plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", so
     slots = int(sum(quota))
     shards = max(1, -(-slots // per_shard))
     tasks = max(1, min(shards, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    # merge hints: the sizes of drawn rows can't be told from the plan, and they grow with the input
     taken = (spark.range(shards, numPartitions=tasks)
                   .mapInPandas(draw_blocks(quota, blocks, shards, per_shard, seed), "source_no int, block long")
                   .groupBy("source_no", "block").agg(F.count(F.lit(1)).alias("copies")))
-    takes = spans.join(taken, ["source_no", "block"]).select(
+    takes = spans.join(taken.hint("merge"), ["source_no", "block"]).select(
         "row", F.greatest(F.lit(0), F.col("block") * block - F.col("at")).alias("low"),
         F.least("size", (F.col("block") + 1) * block - F.col("at")).alias("high"), "copies")
     return rows.select("row", "doc_id", "content", "size", "source_size", "target"), takes
@@ -167,7 +168,7 @@ def mix(docs: DataFrame, **options) -> DataFrame:
     """``doc_id, size, source_size, target, taken`` per input row; see :func:`mix_plan`."""
     rows, takes = mix_plan(docs, **options)
     words = takes.groupBy("row").agg(F.sum((F.col("high") - F.col("low")) * F.col("copies")).alias("taken"))
-    return rows.join(words, "row", "left").select("doc_id", "size", "source_size", "target",
+    return rows.join(words.hint("merge"), "row", "left").select("doc_id", "size", "source_size", "target",
                                                   F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
 
 
