@@ -19,19 +19,31 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return quality.good_documents(docs, spark.read.parquet(f"{sf_dir.rstrip('/')}/labels.parquet"))
 
 
-def _stay(docs: DataFrame, keys: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose doc_id is among ``keys`` (one column ``_doc``, no hot key: each row is one document)."""
-    return docs.join(keys, docs["doc_id"].cast("long").eqNullSafe(keys["_doc"]), "left_semi")
+def _without(docs: DataFrame, gone: DataFrame, slots: int = 1 << 20) -> DataFrame:
+    """``docs`` without the rows whose doc_id (and text digest, if ``gone`` has one) is in ``gone``. Only rows whose hashed id
+    is in a slot of ``gone`` are shuffled; the broadcast list has at most ``slots`` numbers at any size."""
+    cols = docs.columns
+    slot = lambda c: F.pmod(F.xxhash64(c), F.lit(slots))
+    some = F.broadcast(gone.select(slot("_doc").alias("_slot")).distinct())
+    keyed = docs.withColumn("_slot", slot(F.col("doc_id").cast("long")))
+    maybe = keyed.join(some, "_slot", "left_semi")
+    same = maybe["doc_id"].cast("long").eqNullSafe(gone["_doc"])
+    if "_digest" in gone.columns:
+        same &= exact.text_digest(F.coalesce(maybe["text"], F.lit(""))) == gone["_digest"]
+    return keyed.join(some, "_slot", "left_anti").select(*cols).unionByName(
+        maybe.join(gone.hint("merge"), same, "left_anti").select(*cols))
 
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts the row with the smallest doc_id stays."""
-    return _stay(docs, written(exact.exact_dedup(docs).filter("kept").select(F.col("doc_id").alias("_doc"))))
+    gone = exact.exact_dedup(docs).filter("not kept").select(F.col("doc_id").alias("_doc"), F.col("text_sha256").alias("_digest"))
+    return _without(docs, written(gone.distinct()))
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates (five words, similarity 0.8) stays: the smallest doc_id."""
-    return _stay(docs, written(minhash.near_components(docs).filter("kept").select(F.col("doc_id").alias("_doc"))))
+    gone = minhash.near_components(docs).filter("doc_id is not null").groupBy("doc_id").agg(F.max("kept").alias("stays"))
+    return _without(docs, written(gone.filter("not stays").select(F.col("doc_id").alias("_doc"))))
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
