@@ -1,0 +1,312 @@
+"""The training-data operators against plain Python on small inputs, and on awkward rows."""
+
+from __future__ import annotations
+
+import hashlib
+import random
+import re
+import zlib
+from collections import Counter
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from skewmatch.llm import brown, exact, fingerprint, licenses, minhash, mixing, packing, quality, secrets, suffix
+from skewmatch.llm.components import components
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, kept string, node int, row int, _slot string"
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+LOWER = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
+
+
+def _prose(rng, n):
+    return " ".join("".join(rng.choice("abcdeß") for _ in range(rng.randint(1, 7))) for _ in range(n))
+
+
+def _rows(seed=3, n=40):
+    rng = random.Random(seed)
+    texts = [_prose(rng, rng.randint(0, 160)) for _ in range(n)]
+    passage = _prose(rng, 120)
+    for k in range(0, n, 5):
+        texts[k] += "\n" + passage + "\t" + _prose(rng, 5)
+    for k in range(3):
+        words = texts[11].split(" ")
+        if len(words) > 5:
+            words[rng.randrange(len(words))] = f"new{k}"
+        texts.append(" ".join(words))
+    texts += [texts[7], texts[7].replace(" ", "  "), "", None, "one", "a b", "a b", "word " * 3000, "=" * 5000, "é" * 500]
+    return [(k, t, "en", f"s{k % 4}" if k % 9 else None, None, "x", 1, 2, "y") for k, t in enumerate(texts)]
+
+
+@pytest.fixture(scope="module")
+def rows():
+    return _rows()
+
+
+@pytest.fixture(scope="module")
+def docs(spark, rows):
+    return spark.createDataFrame(rows, SCHEMA).repartition(3)
+
+
+@pytest.fixture(scope="module")
+def awkward(spark):
+    """Null ids, repeated rows, one id with two texts."""
+    odd = [(None, "same text here for all of them"), (1, "same text here for all of them"), (1, "same text here for all of them"),
+           (2, None), (2, "other words"), (None, None)]
+    return spark.createDataFrame([(*r, "en", None, 0, "x", 1, 2, "y") for r in odd], SCHEMA)
+
+
+@pytest.fixture(scope="module")
+def empty(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+def _shingles(text, size):
+    words = WORD.findall((text or "").translate(LOWER))
+    if len(words) < size:
+        return frozenset([tuple(words)]) if words else frozenset()
+    return frozenset(tuple(words[k:k + size]) for k in range(len(words) - size + 1))
+
+
+@pytest.mark.parametrize("small", [8, 2])
+def test_minhash_equals_brute_force(docs, rows, small, monkeypatch):
+    monkeypatch.setattr(minhash, "SMALL", small)
+    sets = {r[0]: _shingles(r[1], 4) for r in rows}
+    low = {d: d for d in sets}
+
+    def find(x):
+        while low[x] != x:
+            x = low[x]
+        return x
+
+    for a in sets:
+        for b in sets:
+            both = len(sets[a] & sets[b])
+            if a < b and sets[a] and sets[b] and 100 * both >= 80 * (len(sets[a]) + len(sets[b]) - both):
+                x, y = sorted((find(a), find(b)))
+                low[y] = x
+    got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in minhash.near_components(docs, shingle=4).collect()}
+    assert got == {d: (len(s), find(d), find(d) == d) for d, s in sets.items()}
+
+
+def test_components_of_a_path_and_a_star(spark):
+    edges = [(k, k + 1) for k in range(40)] + [(100, k) for k in range(101, 160)] + [(7, 7), (None, 3), (5, 4)]
+    got = dict(components(spark.createDataFrame(edges, "u long, v long")).collect())
+    assert got == {k: 0 for k in range(41)} | {k: 100 for k in range(100, 160)}
+    assert components(spark.createDataFrame([], "u long, v long")).count() == 0
+
+
+def test_block_links_join_a_chain_once():
+    import pandas as pd
+    sets = [np.sort(np.arange(k, k + 100).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) for k in (0, 5, 10, 500)]
+    sig = [minhash.minima(s) for s in sets]
+    keys = minhash.band_keys(np.stack(sig))
+    band = int(np.flatnonzero((keys[0] == keys[1]))[0])
+    frame = pd.DataFrame({"bucket": [int(keys[0][band].view(np.int64))] * 4, "node": range(4), "comp": range(4), "side": 0,
+                          "sig": [s.tobytes() for s in sig], "shingles": [s.tobytes() for s in sets]})
+    out = minhash.block_links(0.6, 80)(frame)
+    assert {(a, b) for a, b in zip(out["a"], out["b"])} <= {(0, 1), (1, 2), (0, 2)} and len(out)
+
+
+def test_exact_dedup_equals_brute_force(docs, rows):
+    norm = {r[0]: re.sub(r"[\x20\x09-\x0D]+", " ", r[1] or "") for r in rows}
+    groups = {}
+    for d, t in norm.items():
+        groups.setdefault(t, []).append(d)
+    for radix, slots in ((8, None), (2, 16)):
+        got = {r.doc_id: (r.keep_id, r.group_size, r.kept, r.text_sha256) for r in exact.exact_dedup(docs, radix=radix, slots=slots).collect()}
+        assert got == {d: (min(groups[t]), len(groups[t]), d == min(groups[t]), hashlib.sha256(t.encode()).hexdigest())
+                       for d, t in norm.items()}
+
+
+def test_fingerprints(docs, rows):
+    got = {r.doc_id: r for r in fingerprint.document_fingerprints(docs, parts=4).collect()}
+    order = sorted((r[0], r[1] or "") for r in rows)
+    errors = []
+    for k, (d, text) in enumerate(order):
+        after = order[(k + 1) % len(order)][1]
+        half = len(text) // 2
+        changed = text[:len(text) - half] + after[:half]
+        assert got[d].n_chars == len(text) and got[d].edited_sha256 == hashlib.sha256(changed.encode()).hexdigest()
+        assert [got[d].fingerprint, got[d].edited_fingerprint] == fingerprint.fingerprints([text, changed])
+        a, b = _shingles(text, 5), _shingles(changed, 5)
+        if len(a) > 40 and b:
+            errors.append(abs(got[d].near_edited - len(a & b) / len(a | b)))
+    assert np.mean(errors) < 0.06
+    same = [got[r[0]].fingerprint for r in rows if r[1] == "a b"]
+    assert same[0] == same[1]
+
+
+def test_packing(docs, rows):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    own = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    ids = {r[0]: np.array([*own.encode(r[1] or "", add_special_tokens=False).ids, 1], "<u4") for r in rows}
+    got = packing.pack(docs, windows=2, fan=2).toPandas().sort_values(["sequence_id", "offset"])
+    for r in got.itertuples():
+        assert zlib.crc32(ids[r.doc_id][r.start:r.start + r.length].tobytes()) == r.ids_crc32 and r.doc_tokens == len(ids[r.doc_id])
+    pieces = got.sort_values(["doc_id", "start"])
+    assert {d: g["length"].sum() for d, g in pieces.groupby("doc_id")} == {d: len(x) for d, x in ids.items()}
+    for _, g in pieces.groupby("doc_id"):
+        assert (g["start"].to_numpy() == np.cumsum([0, *g["length"][:-1]])).all()
+    size = got.groupby("sequence_id")["length"].sum()
+    for _, g in got.groupby("sequence_id"):
+        assert (g["offset"].to_numpy() == np.cumsum([0, *g["length"][:-1]])).all()
+    assert all(n <= 2048 and n & (n - 1) == 0 for n in size)
+
+
+def test_language_scores(docs, rows):
+    got = {r.doc_id: r for r in brown.language_scores(docs, share=1e-3, sweeps=3, block_tokens=700).collect()}
+    tokens = {r[0]: [*WORD.findall((r[1] or "").translate(LOWER)), None] for r in rows}
+    held = {d: zlib.crc32(str(d).encode()) % 7 == 2 for d in tokens}
+    count = Counter(t for d, ts in tokens.items() if not held[d] for t in ts)
+    total, types = sum(count.values()), len(count)
+    for d, ts in tokens.items():
+        r = got[d]
+        assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (held[d], len(ts), sum(count[t] > 0 for t in ts), total)
+        assert r.base_score == pytest.approx(sum(np.log10((count[t] + 1) / (total + types + 1)) for t in ts))
+        assert np.isfinite(r.score) and r.score < 0
+    assert sum(r.score for r in got.values()) > sum(r.base_score for r in got.values())
+
+
+def test_class_model_sums_to_one():
+    rng = np.random.default_rng(1)
+    counts, types = rng.integers(0, 50, (brown.CLASSES, brown.CLASSES)).astype(float), rng.integers(1, 9, brown.CLASSES).astype(float)
+    step, size, unknown = brown.likelihoods(counts, types)
+    mass = (10 ** step * (1 - brown.DISCOUNT * types / 10 ** size)).sum(axis=1) + 10 ** unknown
+    assert np.allclose(mass, 1, atol=1e-3)
+
+
+def test_quality(spark, docs, rows):
+    rng = random.Random(5)
+    good = [(k, _prose(rng, 80)) for k in range(300)]
+    bad = [(1000 + k, "SPAM!! " * rng.randint(20, 60)) for k in range(60)]
+    table = spark.createDataFrame([*good, *bad, (2000, None), (None, "a")], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, 1) for k, _ in good] + [(k, 0) for k, _ in bad] + [(5, None), (None, 0)], "doc_id long, quality int")
+    got = {r.doc_id: r for r in quality.quality(table, labels).collect()}
+    assert len(got) == 362 and all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.7) for r in got.values())
+    test = [r for r in got.values() if r.held_out and r.doc_id < 2000]
+    assert np.mean([r.predicted == (r.doc_id < 1000) for r in test]) > 0.95
+    kept = quality.good_documents(table, labels)
+    assert kept.columns == ["doc_id", "text"] and kept.filter("doc_id between 1000 and 1999").count() < 10
+    assert {r.score for r in quality.quality(table, labels.limit(0)).collect()} == {1.0}
+
+
+def test_isotonic_is_monotone_and_pools():
+    count, good = np.array([4.0, 0, 4, 4]), np.array([2.0, 0, 1, 4])
+    assert np.allclose(quality.isotonic(count, good), [3 / 8, 3 / 8, 3 / 8, 1])
+
+
+def test_licenses(spark):
+    files = [("a/LICENSE", "Released under the MIT License."), ("a/b/c/x.py", "import os"), ("a/b/y.py", "# Licensed under CC BY 4.0.\nx = 1"),
+             ("a/b/c/COPYING", "words\nLicensed under the Apache License, Version 2.0."), ("z.txt", "free of anything"), (None, "text"), ("q/r", None)]
+    table = spark.createDataFrame([(k, *f) for k, f in enumerate(files)], "doc_id long, p string, text string")
+    got = {r.doc_id: (r.license, r.inherited, r.inherited_from) for r in licenses.scan_licenses(table, F.col("p")).collect()}
+    assert got == {0: ("MIT", None, None), 1: (None, "Apache-2.0", "a/b/c"), 2: ("CC-BY-4.0", None, None), 3: ("Apache-2.0", None, None),
+                   4: (None, None, None), 5: (None, None, None), 6: (None, None, None)}
+
+
+def test_secrets():
+    text = 'password=abcdefgh1 AKIAABCDEFGHIJKL deadbeef' + "0" * 24 + ' token = "short"'
+    assert [(k, text[a:b]) for a, k, b in secrets.spans(text) if k < 3] == [
+        (0, "password=abcdefgh1"), (1, "AKIAABCDEFGHIJKL"), (2, "deadbeef" + "0" * 24)]
+    code = 'K1 = "zX81kQp0LmWv77aa"\nclient_secret = K1\ncolor: "blue"\n{"dbPassword": "S3cr3tV4lue99"}\nauthor = "Someone Else"'
+    assert [code[a:b] for a, k, b in secrets.spans(code) if k == 3] == ["zX81kQp0LmWv77aa", "S3cr3tV4lue99"]
+    assert secrets.spans("the token: of all the words, secret: nothing") == []
+    assert secrets.redact("a AKIAABCDEFGHIJKL b") == "a [secret] b"
+
+
+@pytest.mark.parametrize("limit", [suffix.LIMIT, 50])
+def test_suffix_dedup_equals_brute_force(docs, rows, limit):
+    width = 120
+    raw = {r[0]: (r[1] or "").encode() for r in rows}
+    count = Counter(t[k:k + width] for t in raw.values() for k in range(len(t) - width + 1))
+    want = {}
+    for d, t in raw.items():
+        gone = np.zeros(len(t), bool)
+        for k in range(len(t) - width + 1):
+            if count[t[k:k + width]] > 1:
+                gone[k:k + width] = True
+        runs = int((np.diff(np.concatenate(([0], gone.astype(int)))) == 1).sum())
+        want[d] = (len(t), int(gone.sum()), runs, hashlib.sha256(np.frombuffer(t, np.uint8)[~gone].tobytes()).hexdigest())
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix.remove_repeats(docs, width=width, limit=limit).collect()}
+    assert got == want
+
+
+def test_mixing(docs, rows):
+    size = {r[0]: len(WORD.findall(r[1] or "")) for r in rows}
+    got = {r.doc_id: r for r in mixing.mix(docs, block=16, per_shard=8).collect()}
+    assert {d: r.size for d, r in got.items()} == size
+    assert all(r.taken <= 2 * r.size for r in got.values())
+    source, taken, aim = {r[0]: r[3] for r in rows}, Counter(), {}
+    for d, r in got.items():
+        taken[source[d]] += r.taken
+        aim[source[d]] = (r.target, r.source_size)
+    for s, (target, total) in aim.items():
+        assert total == sum(n for d, n in size.items() if source[d] == s)
+        assert abs(taken[s] - target) <= 32
+    again = {r.doc_id: r.taken for r in mixing.mix(docs.repartition(5), block=16, per_shard=8).collect()}
+    assert again == {d: r.taken for d, r in got.items()}
+    mixed = mixing.mixed_documents(docs, block=16, per_shard=8)
+    assert mixed.columns == docs.columns
+    words = Counter()
+    for r in mixed.collect():
+        words[r.doc_id] += len(WORD.findall(r.text))
+        assert r.n_chars == len(r.text)
+    assert {d: n for d, n in words.items() if n} == {d: r.taken for d, r in got.items() if r.taken}
+
+
+def test_targets_reshare_the_excess():
+    assert mixing.targets([10, 1000, 1000]) == pytest.approx([20.0, 2995 * 2 / 3 - 2 / 3, 3015 - 20 - (2995 * 2 / 3 - 2 / 3)], rel=1e-2)
+    assert mixing.targets([100, 100]) == [200.0, 100.0]
+    assert mixing.targets([]) == [] and mixing.targets([0, 0]) == [0.0, 0.0]
+
+
+def test_permutation_is_one():
+    for n in (1, 2, 5, 64, 1000):
+        assert sorted(mixing.permuted(np.arange(n), n, 3).tolist()) == list(range(n))
+
+
+def _all(df, labels):
+    path = F.concat_ws("/", "source", F.col("doc_id").cast("string"))
+    return {"near": minhash.near_components(df), "exact": exact.exact_dedup(df), "prints": fingerprint.document_fingerprints(df),
+            "pack": packing.pack(df), "brown": brown.language_scores(df), "quality": quality.quality(df, labels),
+            "licenses": licenses.scan_licenses(df, path), "secrets": secrets.secrets(df), "suffix": suffix.remove_repeats(df),
+            "mix": mixing.mix(df), "mixed": mixing.mixed_documents(df)}
+
+
+def test_awkward_rows(spark, awkward):
+    labels = spark.createDataFrame([(1, 1), (2, None)], "doc_id long, quality int")
+    got = {k: v.collect() for k, v in _all(awkward, labels).items()}
+    assert {k: len(v) for k, v in got.items() if k not in ("pack", "mixed")} == dict.fromkeys(
+        ("near", "exact", "prints", "brown", "quality", "licenses", "secrets", "suffix", "mix"), 6)
+    assert sorted((r.doc_id, r.keep_id, r.kept) for r in got["exact"] if r.doc_id is not None) == [
+        (1, 1, True), (1, 1, True), (2, 2, True), (2, 2, True)]
+    assert all(r.kept and r.component_id is None for r in got["near"] if r.doc_id is None)
+
+
+def test_empty_table(spark, empty):
+    labels = spark.createDataFrame([], "doc_id long, quality int")
+    assert {k: v.count() for k, v in _all(empty, labels).items()} == dict.fromkeys(_all(empty, labels), 0)
+
+
+def test_pipeline_stages(spark, tmp_path, docs, rows):
+    import corpus_pipeline
+
+    base = docs.select("doc_id", "text", "lang", "source", "n_chars")
+    base.write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(r[0], 1) for r in rows], "doc_id long, quality long").write.parquet(str(tmp_path / "labels.parquet"))
+    assert len(corpus_pipeline.STAGES) == 5
+    table = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        table = stage(spark, table, str(tmp_path))
+        if k < 4:
+            assert table.columns == base.columns
+            table.write.parquet(str(tmp_path / f"s{k}"))
+            table = spark.read.parquet(str(tmp_path / f"s{k}"))
+        if k == 1:
+            texts = [re.sub(r"[\x20\x09-\x0D]+", " ", r.text or "") for r in table.collect()]
+            assert len(texts) == len(set(texts)) == len({re.sub(r"[\x20\x09-\x0D]+", " ", r[1] or "") for r in rows})
+    assert table.count() and corpus_pipeline.run(spark, str(tmp_path)).count() == table.count()
