@@ -27,8 +27,9 @@ def keyed_entities(entities: DataFrame, key="prefix", parts: int = 4, id_col: st
 
 def comparisons(n: Column) -> Column:
     """``n(n-1)/2`` in integer arithmetic."""
-    # n(n-1) is even: the shift is an exact division, with no detour through DOUBLE.
-    return F.shiftright(n.cast("long") * (n.cast("long") - 1), 1)
+    # one of n and n - 1 is even: halving it first keeps the product half as large
+    n = n.cast("long")
+    return F.when(n % 2 == 0, F.shiftright(n, 1) * (n - 1)).otherwise(n * F.shiftright(n - 1, 1))
 
 
 def block_partition_counts(keyed: DataFrame) -> DataFrame:

@@ -16,6 +16,8 @@ is a candidate; pairs that provably cannot match skip the edit distance
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -88,11 +90,14 @@ def basic_match(entities: DataFrame, key="prefix_lower", threshold: float = DEFA
     """
     key_fn = resolve_key(key)
     keyed = entities.select("id", "text", key_fn(F.col("text")).alias("block"))
+    # S salts give S(S+1)/2 tasks: more than about one per partition only adds copies
+    width = partitions or int(entities.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    most = max(1, math.ceil(math.sqrt(2 * width)))
     by_pairs = F.col("n") / F.lit(float(pairs_per_task) ** 0.5)
     by_cells = F.col("chars") / F.lit(float(cells_per_task) ** 0.5)
     salts = (keyed.groupBy("block").agg(F.count(F.lit(1)).alias("n"),
                                         F.sum(F.length("text")).alias("chars"))
-                  .select("block", F.greatest(F.lit(1), F.ceil(F.greatest(by_pairs, by_cells)))
+                  .select("block", F.least(F.lit(most), F.greatest(F.lit(1), F.ceil(F.greatest(by_pairs, by_cells))))
                           .cast("int").alias("salts")))
     salted = (keyed.join(salts, "block")
                    .withColumn("salt", F.pmod(F.xxhash64("id"), F.col("salts")).cast("int")))
@@ -105,7 +110,7 @@ def basic_match(entities: DataFrame, key="prefix_lower", threshold: float = DEFA
     task = ["block", "x", "y"]
     a = _side(_placed(left, task, partitions), task, ["id", "text"], "_a")
     b = _side(_placed(right, task, partitions), task, ["id", "text"], "_b")
-    joined = a.join(b, task).filter((F.col("x") != F.col("y")) | (F.col("id_a") < F.col("id_b")))
+    joined = a.hint("merge").join(b, task).filter((F.col("x") != F.col("y")) | (F.col("id_a") < F.col("id_b")))
     return _oriented(_scored(joined, threshold))
 
 
@@ -139,7 +144,7 @@ def split_match(entities: DataFrame, key="prefix", parts: int = 4, reducers: int
     b = _side(place_by_reducer(right, reducers), task, ["id", "text", "part"], "_b")
     # Inside a whole block or a self task both sides are the same rows: each
     # unordered pair once. A cross task pairs part i with part j: no test.
-    joined = a.join(b, task).filter((F.col("i") != F.col("j")) | (F.col("id_a") < F.col("id_b")))
+    joined = a.hint("merge").join(b, task).filter((F.col("i") != F.col("j")) | (F.col("id_a") < F.col("id_b")))
     scored = _scored(joined, threshold)
     if not tagged:
         return _oriented(scored)
@@ -165,7 +170,7 @@ def slice_match(entities: DataFrame, key="prefix", parts: int = 4, reducers: int
     left = routed.filter(~F.col("replicated"))
     a = _side(place_by_reducer(left, reducers), task, ["id", "text", "pos"], "_a")
     b = _side(place_by_reducer(routed, reducers), task, ["id", "text", "pos"], "_b")
-    joined = a.join(b, task).filter(F.col("pos_a") < F.col("pos_b"))
+    joined = a.hint("merge").join(b, task).filter(F.col("pos_a") < F.col("pos_b"))
     return _oriented(_scored(joined, threshold))
 
 
@@ -203,8 +208,9 @@ def two_source_match(left_words: DataFrame, right_words: DataFrame, reducers: in
                    F.explode(F.sequence(F.lit(0), F.col("ga") - 1)).alias("x")))
     a = with_match_features(_placed(a, ["block", "x", "y"], partitions), "text_a", "_a")
     b = with_match_features(_placed(b, ["block", "x", "y"], partitions), "text_b", "_b")
-    scored = _scored(a.join(b, ["block", "x", "y"]), threshold)
-    return (scored.select(F.col("text_a").alias("word_a"), F.col("text_b").alias("word_b"), "similarity",
-                          F.explode(F.array_repeat(F.lit(0), (F.col("n_a") * F.col("n_b")).cast("int")))
-                          .alias("_k"))
-                  .drop("_k"))
+    scored = _scored(a.hint("merge").join(b, ["block", "x", "y"]), threshold)
+    # one factor at a time: no array is as long as their product
+    once = scored.select(F.col("text_a").alias("word_a"), F.col("text_b").alias("word_b"), "similarity", "n_b",
+                         F.explode(F.array_repeat(F.lit(0), F.col("n_a").cast("int"))).alias("_a"))
+    return (once.select("word_a", "word_b", "similarity", F.explode(F.array_repeat(F.lit(0), F.col("n_b").cast("int"))).alias("_b"))
+                .drop("_b"))

@@ -210,9 +210,9 @@ ORACLE = {
         from w1 a join w2 b on substring(lower(a.word), 1, 1) = substring(lower(b.word), 1, 1)) p
         where similarity >= 0.7""",
     "plan_lookup": _with(DOCS, KEYED, STATS, SPLIT_PLAN, SPLIT_ASSIGNED, recursive=True) + """
-        select k.id, k.block, k.part, s.n, s.comps, s.oversized, t.n_tasks
+        select k.id, k.block, k.part, s.n, s.comps, s.oversized, coalesce(t.n_tasks, 0) as n_tasks
         from keyed k join stats s on s.block = k.block
-        join (select block, count(*)::BIGINT as n_tasks from split_assigned group by block) t on t.block = k.block""",
+        left join (select block, count(*)::BIGINT as n_tasks from split_assigned group by block) t on t.block = k.block""",
     "split_match_pages": PAGE_MATCHES,
     "slice_match_pages": PAGE_MATCHES,
     "basic_match_parts": PART_MATCHES_BASIC,

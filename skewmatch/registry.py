@@ -10,6 +10,8 @@ Parameters: 4 source parts, 4 reducers, threshold 0.7.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -84,7 +86,7 @@ def q_drop_empty_lines(spark, d):
 
 
 def q_write_matches(spark, d):
-    matches = match.split_match(page_urls(spark, d), "prefix", PARTS, REDUCERS, THRESHOLD)
+    matches = match.split_match(page_urls(spark, d), "prefix", threshold=THRESHOLD, **_width(spark))
     path = write_matches(matches, new_output_path(checkpoint_dir(spark)))
     return read_matches(spark, path)
 
@@ -255,20 +257,27 @@ def q_place_by_reducer(spark, d):
 def q_plan_lookup(spark, d):
     keyed = _keyed_docs(spark, d)
     stats, assigned = match.split_plan_assigned(keyed, REDUCERS)
-    info = split_tasks_by_block(stats, assigned).join(stats.select("block", "n", "comps"), "block")
+    tasks = split_tasks_by_block(stats, assigned).select("block", "tasks")
+    info = stats.select("block", "oversized", "n", "comps").join(tasks, "block", "left")
     looked = plan_lookup(keyed, info)
     return _long(looked.select("id", "block", "part", "n", "comps", "oversized",
-                               F.size("tasks").alias("n_tasks")), "part", "n", "n_tasks")
+                               F.when(F.col("tasks").isNull(), 0).otherwise(F.size("tasks")).alias("n_tasks")), "part", "n", "n_tasks")
 
 
 # --- 2.6 matchers ---------------------------------------------------------------
 
+def _width(spark) -> dict:
+    """Parts and reducers of a matcher whose result does not depend on them: at least one task per core."""
+    reducers = max(REDUCERS, spark.sparkContext.defaultParallelism)
+    return {"parts": max(PARTS, math.ceil(math.sqrt(2 * reducers))), "reducers": reducers}
+
+
 def q_basic_match(spark, d):
     return match.basic_match(document_lines(spark, d), "prefix_lower", THRESHOLD)
 
 
 def q_split_match(spark, d):
-    return match.split_match(document_lines(spark, d), "prefix", PARTS, REDUCERS, THRESHOLD)
+    return match.split_match(document_lines(spark, d), "prefix", threshold=THRESHOLD, **_width(spark))
 
 
 def q_split_match_tagged(spark, d):
@@ -277,23 +286,23 @@ def q_split_match_tagged(spark, d):
 
 
 def q_slice_match(spark, d):
-    return match.slice_match(document_lines(spark, d), "prefix", PARTS, REDUCERS, THRESHOLD)
+    return match.slice_match(document_lines(spark, d), "prefix", threshold=THRESHOLD, **_width(spark))
 
 
 def q_two_source_match(spark, d):
     left, right = _bench_words(spark, d)
-    return match.two_source_match(left, right, REDUCERS, THRESHOLD)
+    return match.two_source_match(left, right, _width(spark)["reducers"], THRESHOLD)
 
 
 # --- the same operators on other inputs ------------------------------------------
 # pages: all urls share one block (the hottest possible key); parts: 8 blocks.
 
 def q_split_match_pages(spark, d):
-    return match.split_match(page_urls(spark, d), "prefix", PARTS, REDUCERS, THRESHOLD)
+    return match.split_match(page_urls(spark, d), "prefix", threshold=THRESHOLD, **_width(spark))
 
 
 def q_slice_match_pages(spark, d):
-    return match.slice_match(page_urls(spark, d), "prefix", PARTS, REDUCERS, THRESHOLD)
+    return match.slice_match(page_urls(spark, d), "prefix", threshold=THRESHOLD, **_width(spark))
 
 
 def q_basic_match_parts(spark, d):
@@ -301,11 +310,11 @@ def q_basic_match_parts(spark, d):
 
 
 def q_split_match_parts(spark, d):
-    return match.split_match(part_names(spark, d), "prefix", PARTS, REDUCERS, THRESHOLD)
+    return match.split_match(part_names(spark, d), "prefix", threshold=THRESHOLD, **_width(spark))
 
 
 def q_slice_match_parts(spark, d):
-    return match.slice_match(part_names(spark, d), "prefix", PARTS, REDUCERS, THRESHOLD)
+    return match.slice_match(part_names(spark, d), "prefix", threshold=THRESHOLD, **_width(spark))
 
 
 def _slice_assigned(spark, d):

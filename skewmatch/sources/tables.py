@@ -18,39 +18,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def spread(df: DataFrame, key: str) -> DataFrame:
-    """Hash-spread the records of an input that arrives in fewer splits than
-    the session can run at once (a small file with one row group), so the
-    per-record work after it (line splitting, folding, keys) runs in parallel.
-
-    An input read from many files or row groups is returned unchanged.
-    """
-    try:
-        parallelism = df.sparkSession.sparkContext.defaultParallelism
-        splits = df.rdd.getNumPartitions()
-    except Exception:  # no RDD view of the plan (e.g. a remote session): read as is
-        return df
-    if splits >= parallelism:
-        return df
-    return df.repartition(parallelism, key)
-
-
 def document_lines(spark: SparkSession, sf_dir: str, fold: bool = True) -> DataFrame:
     """Every line of every document: ``(id, text, record_id, line_no)``."""
-    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     lines = entity_lines(docs, "doc_id", "text")
     return lines.withColumn("text", fold_ascii("text")) if fold else lines
 
 
 def page_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Page urls as entities: ``(id, text)``."""
-    pages = spread(table(spark, sf_dir, "pages").select("page_id", "url"), "page_id")
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
     return pages.select(F.col("page_id").alias("id"), F.col("url").alias("text"))
 
 
 def part_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Part names as entities: ``(id, text)``."""
-    parts = spread(table(spark, sf_dir, "part").select("p_partkey", "p_name"), "p_partkey")
+    parts = table(spark, sf_dir, "part").select("p_partkey", "p_name")
     return parts.select(F.col("p_partkey").alias("id"), F.col("p_name").alias("text"))
 
 

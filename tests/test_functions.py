@@ -51,7 +51,7 @@ def test_case_insensitive_distance_uses_original_lengths(spark):
     (">>>x", ">>>", ">>>"),
     ("a.bc", "A,B", "a.b"),
     ("a,bc", "A,B", "a,b"),
-    ("Carmélia Carmen", "CAR", "car"),
+    ("Märzwind", "MÄR", "mär"),
     ("The fox", "THE", "the"),
 ])
 def test_block_keys(spark, text, k4, k5):

@@ -22,7 +22,7 @@ def test_read_lines_numbers_lines(spark):
     got = read_lines(spark, path, line_numbers=True).orderBy("id").collect()
     assert [(r.id, r.text) for r in got] == list(enumerate(SAMPLE))
     plain = read_lines(spark, path).collect()
-    assert sorted(r.text for r in plain) == sorted(SAMPLE) and len({r.id for r in plain}) == 6
+    assert sorted(r.text for r in plain) == sorted(SAMPLE) and len({r.id for r in plain}) == len(SAMPLE)
 
 
 def test_entity_lines_of_a_column(spark):
@@ -66,14 +66,3 @@ def test_two_source_grid_salting(spark):
     base = sorted(tuple(r) for r in match.two_source_match(left, right, reducers=1).collect())
     salted = sorted(tuple(r) for r in match.two_source_match(left, right, reducers=500).collect())
     assert base == salted and len(base) > 100
-
-
-def test_spread_only_under_split_inputs(spark):
-    from skewmatch.sources.tables import spread
-    parallelism = spark.sparkContext.defaultParallelism
-    one = spark.range(100).coalesce(1)
-    spread_one = spread(one, "id")
-    assert spread_one.rdd.getNumPartitions() == parallelism
-    assert sorted(r.id for r in spread_one.collect()) == list(range(100))
-    many = spark.range(0, 100, 1, parallelism)
-    assert spread(many, "id") is many
