@@ -53,9 +53,7 @@ BENCH = {
     "pages_slice_match": _matcher("slice", page_urls),
     "parts_split_match": _matcher("split", part_names),
     "parts_slice_match": _matcher("slice", part_names),
-    "documents_basic_match": QUERIES["basic_match"],
     "documents_split_match": QUERIES["split_match"],
-    "documents_slice_match": QUERIES["slice_match"],
     "two_source_match": QUERIES["two_source_match"],
     "documents_block_distribution_matrix": QUERIES["block_distribution_matrix"],
     "documents_split_plan_assigned": QUERIES["assign_reducers"],
