@@ -1,4 +1,4 @@
-"""Text shaping: lines, words, ASCII folding."""
+"""Text shaping: lines and words."""
 
 from __future__ import annotations
 
@@ -24,12 +24,3 @@ def split_lines(text) -> Column:
 def split_words(line) -> Column:
     """Split a line on single spaces and drop empty words."""
     return F.filter(F.split(_col(line), " "), lambda w: w != "")
-
-
-def fold_ascii(text, replacement: str = "_") -> Column:
-    """Replace every non-ASCII character by ``replacement``.
-
-    Used to prepare inputs for comparison with engines whose edit distance
-    counts bytes rather than characters; lengths in characters are kept.
-    """
-    return F.regexp_replace(_col(text), "[^\\x00-\\x7F]", replacement)

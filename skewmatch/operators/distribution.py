@@ -6,8 +6,11 @@ derived number is an aggregate of it: nothing is collected to the driver.
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from skewmatch.functions.keys import resolve_key, source_partition
 from skewmatch.operators.ordinal import ordinal, positions
@@ -17,10 +20,15 @@ def keyed_entities(entities: DataFrame, key="prefix", parts: int = 4, id_col: st
                    text_col: str = "text", part_col: Column | None = None) -> DataFrame:
     """``(id, text, block, part)``: the blocking key and the source partition.
 
-    ``part`` is ``pmod(id, parts)`` unless a column is given.
+    ``part`` is ``pmod(id, parts)`` unless a column is given; of a composite id
+    (a struct of integers) the fields are added up first.
     """
     key_fn = resolve_key(key)
-    part = part_col if part_col is not None else source_partition(id_col, parts)
+    kind = entities.schema[id_col].dataType
+    number = F.col(id_col)
+    if isinstance(kind, StructType):
+        number = functools.reduce(lambda a, b: a + b, [F.col(id_col)[f].cast("long") for f in kind.names])
+    part = part_col if part_col is not None else source_partition(number, parts)
     return entities.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"),
                            key_fn(F.col(text_col)).alias("block"), part.cast("int").alias("part"))
 
@@ -134,15 +142,26 @@ def block_members(keyed: DataFrame, chunk: int = 1024) -> DataFrame:
                .withColumn("n", F.size("ids")))
 
 
-def block_cogroup(left: DataFrame, right: DataFrame, block: str = "block") -> DataFrame:
-    """Blocks of two sources side by side, also blocks in one source only:
-    ``(block, n_left, n_right)``.
+def block_cogroup(left: DataFrame, right: DataFrame, member: str = "word", chunk: int = 1024,
+                  block: str = "block") -> DataFrame:
+    """The members of both sources side by side, also of blocks in one source only:
+    ``(block, chunk, left, right, n_left, n_right)``.
 
-    One aggregation over the union instead of two aggregations and a full
-    outer join.
+    Chunk ``c`` holds the members ``c * chunk`` and up of either source, in
+    sorted order and with their repeats, so no list is longer than ``chunk``.
+    One numbering of the union of both; a row id splits the ties of a
+    frequent member.
     """
-    both = (left.select(F.col(block).alias("block"), F.lit(1).alias("_l"), F.lit(0).alias("_r"))
-                .unionByName(right.select(F.col(block).alias("block"), F.lit(0).alias("_l"),
-                                          F.lit(1).alias("_r"))))
-    return both.groupBy("block").agg(F.sum("_l").cast("long").alias("n_left"),
-                                     F.sum("_r").cast("long").alias("n_right"))
+    both = (left.select(F.col(block).alias("block"), F.col(member).alias("_m"), F.lit(0).alias("_side"))
+                .unionByName(right.select(F.col(block).alias("block"), F.col(member).alias("_m"),
+                                          F.lit(1).alias("_side")))
+                .withColumn("_tie", F.monotonically_increasing_id()))
+    placed = positions(both, ["block", "_side"], ["_m", "_tie"], "_pos").withColumn(
+        "chunk", F.floor(F.col("_pos") / chunk).cast("long"))
+
+    def members(side: int, name: str) -> Column:
+        return F.array_sort(F.collect_list(F.when(F.col("_side") == side, F.col("_m")))).alias(name)
+
+    return (placed.groupBy("block", "chunk").agg(members(0, "left"), members(1, "right"))
+                  .withColumn("n_left", F.size("left").cast("long"))
+                  .withColumn("n_right", F.size("right").cast("long")))

@@ -16,12 +16,10 @@ is a candidate; pairs that provably cannot match skip the edit distance
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skewmatch.functions.keys import key_first_char, resolve_key
+from skewmatch.functions.keys import key_first_char, mark_empty, resolve_key
 from skewmatch.functions.similarity import (DEFAULT_THRESHOLD, is_match, match_similarity,
                                             with_match_features)
 from skewmatch.operators.distribution import block_stats, keyed_entities, with_totals
@@ -61,10 +59,6 @@ def _oriented(df: DataFrame, extra: dict[str, tuple[str, str]] | None = None) ->
     return df.select(*cols)
 
 
-PAIRS_PER_TASK = 250_000
-CELLS_PER_TASK = 200_000_000
-
-
 def _placed(df: DataFrame, keys: list[str], partitions: int | None) -> DataFrame:
     """Hash-place rows on their task key with a fixed partition count.
 
@@ -77,29 +71,33 @@ def _placed(df: DataFrame, keys: list[str], partitions: int | None) -> DataFrame
 
 
 def basic_match(entities: DataFrame, key="prefix_lower", threshold: float = DEFAULT_THRESHOLD,
-                pairs_per_task: int = PAIRS_PER_TASK, cells_per_task: int = CELLS_PER_TASK,
                 partitions: int | None = None) -> DataFrame:
     """All pairs inside a block, scored and filtered.
 
-    A block is salted into ``S`` groups by a hash of the id and the pairs are
-    computed per pair of salts ``x <= y``. ``S`` is chosen so that a task
-    holds about ``pairs_per_task`` pairs and ``cells_per_task`` edit-distance
-    cells (a pair costs about the product of its lengths): ``S = ceil(max(
-    n / sqrt(pairs_per_task), total_length / sqrt(cells_per_task)))``.
-    Small blocks keep one salt, a plain block self-join.
+    A hot block is salted into ``S`` groups by a hash of the id and the pairs
+    are computed per pair of salts ``x <= y``. ``S`` follows from the block's
+    share of all work, of the pairs or of the edit-distance cells (a pair costs
+    about the product of its lengths), whichever is larger: ``S = ceil(sqrt(2 *
+    partitions * share))``, so that its ``S(S+1)/2`` tasks hold about one
+    partition's work each. An entity has at most ``sqrt(2 * partitions) + 2``
+    copies. Fewer than ``4 * partitions`` blocks have ``S > 1``: their table is
+    broadcast, and all others stay a plain block self-join.
     """
     key_fn = resolve_key(key)
     keyed = entities.select("id", "text", key_fn(F.col("text")).alias("block"))
-    # S salts give S(S+1)/2 tasks: more than about one per partition only adds copies
     width = partitions or int(entities.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    most = max(1, math.ceil(math.sqrt(2 * width)))
-    by_pairs = F.col("n") / F.lit(float(pairs_per_task) ** 0.5)
-    by_cells = F.col("chars") / F.lit(float(cells_per_task) ** 0.5)
-    salts = (keyed.groupBy("block").agg(F.count(F.lit(1)).alias("n"),
-                                        F.sum(F.length("text")).alias("chars"))
-                  .select("block", F.least(F.lit(most), F.greatest(F.lit(1), F.ceil(F.greatest(by_pairs, by_cells))))
-                          .cast("int").alias("salts")))
-    salted = (keyed.join(salts, "block")
+    work = (keyed.groupBy("block").agg(F.count(F.lit(1)).cast("double").alias("n"),
+                                       F.sum(F.length("text")).cast("double").alias("chars"))
+                 .filter(F.col("n") > 1)
+                 .select("block", (F.col("n") * (F.col("n") - 1)).alias("pairs"),
+                         (F.col("chars") * F.col("chars")).alias("cells")))
+    total = work.agg(F.sum("pairs").alias("_pairs"), F.sum("cells").alias("_cells"))
+    share = F.greatest(F.try_divide("pairs", "_pairs"), F.try_divide("cells", "_cells"))
+    hot = (with_totals(work, total)
+           .select("block", F.ceil(F.sqrt(F.lit(2.0 * width) * share)).cast("int").alias("salts"))
+           .filter(F.col("salts") > 1))
+    salted = (keyed.join(F.broadcast(hot), "block", "left")
+                   .withColumn("salts", F.coalesce("salts", F.lit(1)))
                    .withColumn("salt", F.pmod(F.xxhash64("id"), F.col("salts")).cast("int")))
     every = F.sequence(F.lit(0), F.col("salts") - 1)
     # Left copy of an entity with salt s goes to tasks (s, y >= s), right copy to (x <= s, s).
@@ -160,12 +158,15 @@ def slice_plan_assigned(keyed: DataFrame, reducers: int):
 
 
 def slice_match(entities: DataFrame, key="prefix", parts: int = 4, reducers: int = 4,
-                threshold: float = DEFAULT_THRESHOLD) -> DataFrame:
+                threshold: float = DEFAULT_THRESHOLD, show_empty: bool = False) -> DataFrame:
     """BlockSlicer matching: own entities of a slice against every later
-    entity of the slice (own or copied)."""
+    entity of the slice (own or copied). With ``show_empty`` an empty entity
+    is compared and returned as ``<><><>``, in the block of its empty text."""
     keyed = keyed_entities(entities, key, parts)
+    if show_empty:
+        keyed = keyed.withColumn("text", mark_empty("text"))
     stats, assigned = slice_plan_assigned(keyed, reducers)
-    routed = slice_route(entity_positions(keyed, stats.select("block", "n")), assigned)
+    routed = slice_route(entity_positions(keyed), stats, assigned)
     task = ["reducer", "block", "slice"]
     left = routed.filter(~F.col("replicated"))
     a = _side(place_by_reducer(left, reducers), task, ["id", "text", "pos"], "_a")
@@ -177,13 +178,13 @@ def slice_match(entities: DataFrame, key="prefix", parts: int = 4, reducers: int
 def two_source_match(left_words: DataFrame, right_words: DataFrame, reducers: int = 4,
                      threshold: float = DEFAULT_THRESHOLD, partitions: int | None = None) -> DataFrame:
     """Every word of one source against every word of the other with the same
-    first character: ``(word_a, word_b, similarity)``, one row per occurrence
-    pair (multiplicity kept).
+    first character: ``(word_a, word_b, similarity, occurrences)``, one row per
+    pair of distinct words; ``occurrences`` is the number of occurrence pairs.
 
-    Repeated words are counted before the shuffle and each distinct pair is
-    scored once, then expanded to its multiplicity. A block (one letter) with
+    Repeated words are counted before the shuffle. A block (one letter) with
     more pairs than the per-reducer target is salted on both sides into a grid
-    of about ``pairs / target`` cells.
+    of about ``pairs / target`` cells; fewer than ``reducers`` blocks are, so
+    their table is broadcast.
     """
     def counted(words: DataFrame, side: str) -> DataFrame:
         return (words.groupBy("word").agg(F.count(F.lit(1)).alias(f"n{side}"))
@@ -198,19 +199,22 @@ def two_source_match(left_words: DataFrame, right_words: DataFrame, reducers: in
             .withColumn("target", F.greatest(F.lit(1), F.ceil(F.col("total") / reducers)))
             .withColumn("ga", F.least(F.col("dl"), F.ceil(F.sqrt(F.col("pairs") / F.col("target")))))
             .withColumn("gb", F.least(F.col("dr"), F.ceil(F.col("pairs") / F.col("target") / F.col("ga"))))
+            .filter(F.col("pairs") > F.col("target"))
             .select("block", F.col("ga").cast("int").alias("ga"), F.col("gb").cast("int").alias("gb")))
     salt = lambda n: F.pmod(F.xxhash64("word"), n).cast("int")
-    a = (wl.join(grid, "block")
-           .select("block", F.col("word").alias("text_a"), "n_a", salt(F.col("ga")).alias("x"),
-                   F.explode(F.sequence(F.lit(0), F.col("gb") - 1)).alias("y")))
-    b = (wr.join(grid, "block")
-           .select("block", F.col("word").alias("text_b"), "n_b", salt(F.col("gb")).alias("y"),
-                   F.explode(F.sequence(F.lit(0), F.col("ga") - 1)).alias("x")))
+
+    def dealt(words: DataFrame) -> DataFrame:
+        return (words.join(F.broadcast(grid), "block", "left")
+                     .withColumns({g: F.coalesce(g, F.lit(1)) for g in ("ga", "gb")}))
+
+    a = (dealt(wl)
+         .select("block", F.col("word").alias("text_a"), "n_a", salt(F.col("ga")).alias("x"),
+                 F.explode(F.sequence(F.lit(0), F.col("gb") - 1)).alias("y")))
+    b = (dealt(wr)
+         .select("block", F.col("word").alias("text_b"), "n_b", salt(F.col("gb")).alias("y"),
+                 F.explode(F.sequence(F.lit(0), F.col("ga") - 1)).alias("x")))
     a = with_match_features(_placed(a, ["block", "x", "y"], partitions), "text_a", "_a")
     b = with_match_features(_placed(b, ["block", "x", "y"], partitions), "text_b", "_b")
     scored = _scored(a.hint("merge").join(b, ["block", "x", "y"]), threshold)
-    # one factor at a time: no array is as long as their product
-    once = scored.select(F.col("text_a").alias("word_a"), F.col("text_b").alias("word_b"), "similarity", "n_b",
-                         F.explode(F.array_repeat(F.lit(0), F.col("n_a").cast("int"))).alias("_a"))
-    return (once.select("word_a", "word_b", "similarity", F.explode(F.array_repeat(F.lit(0), F.col("n_b").cast("int"))).alias("_b"))
-                .drop("_b"))
+    return scored.select(F.col("text_a").alias("word_a"), F.col("text_b").alias("word_b"), "similarity",
+                         (F.col("n_a") * F.col("n_b")).alias("occurrences"))

@@ -11,12 +11,9 @@ Two tools:
   read back: both uses see the same ids, also after a lost executor, and the
   input is computed only once.
 
-* :func:`positions` numbers the rows of each group of a large table. A group
-  is cut into cells of about ``cell_rows`` rows by ``pmod(order, cells)``,
-  where ``cells`` follows from the group size; a small window per group
-  gives each cell its offset and a window per cell numbers its rows. No
-  sampling, so every evaluation gives the same numbers, and no task holds
-  more than about one cell, however large the group.
+* :func:`positions` numbers the rows of each group of a large table, by the
+  same written, range-partitioned sort: a group that spans partitions gets an
+  offset per partition, so no task holds more than one range of it.
 """
 
 from __future__ import annotations
@@ -28,7 +25,6 @@ from skewmatch.session import checkpoint_dir
 from skewmatch.sources.paths import new_output_path
 
 _ROW_BITS = 33  # monotonically_increasing_id keeps the row number in the low 33 bits
-CELL_ROWS = 1_000_000
 
 
 def _partitions(df: DataFrame, partitions: int | None) -> int:
@@ -84,30 +80,25 @@ def running_sum(df: DataFrame, order: list, value: str, name: str = "running",
                   .drop("_rid", "_pid", "_local", "_offset", "_inside"))
 
 
-def cell_count(n, cell_rows: int = CELL_ROWS):
-    """Cells of a group of ``n`` rows: ``max(1, ceil(n / cell_rows))``."""
-    return F.greatest(F.lit(1), F.ceil(n / F.lit(cell_rows))).cast("long")
+def positions(df: DataFrame, group: list[str], order: str | list[str], name: str = "pos",
+              partitions: int | None = None) -> DataFrame:
+    """0-based position of each row in its group, by ``order`` (one column or several).
 
-
-def positions(df: DataFrame, group: list[str], order: str, name: str = "pos",
-              sizes: DataFrame | None = None, cell_rows: int = CELL_ROWS) -> DataFrame:
-    """0-based position of each row in its group, ordered by ``(cell, order)``
-    with ``cell = pmod(order, cells)``; ``order`` must be a unique integer
-    column inside the group (an id).
-
-    ``sizes`` (group columns and ``n``) can be passed when already known.
+    The rows are range-partitioned and sorted by ``(group, order)``, so a large
+    group spans several partitions and no task holds it whole. The position is
+    the row's place in its partition's run of the group plus the rows of the
+    group in earlier partitions. It does not depend on the partition count.
+    Rows that tie in ``order`` are numbered in any order; give a further
+    column where many rows tie, so that they can be split.
     """
-    if sizes is None:
-        sizes = df.groupBy(*group).agg(F.count(F.lit(1)).alias("n"))
-    cells = sizes.select(*group, cell_count(F.col("n"), cell_rows).alias("_cells"))
-    tagged = (df.join(cells, group)
-                .withColumn("_cell", F.pmod(F.col(order), F.col("_cells")))
-                .drop("_cells"))
-    counts = tagged.groupBy(*group, "_cell").agg(F.count(F.lit(1)).alias("_c"))
-    before = Window.partitionBy(*group).orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select(*group, "_cell",
-                            F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_off"))
-    inside = Window.partitionBy(*group, "_cell").orderBy(order)
-    return (tagged.join(offsets, [*group, "_cell"])
-                  .withColumn(name, (F.col("_off") + F.row_number().over(inside) - 1).cast("long"))
-                  .drop("_cell", "_off"))
+    order = [order] if isinstance(order, str) else list(order)
+    tagged = _sorted_tagged(df, [F.col(c) for c in [*group, *order]], partitions)
+    runs = tagged.groupBy("_pid", *group).agg(F.min("_local").alias("_first"),
+                                              F.count(F.lit(1)).alias("_c"))
+    # at most one row per partition and group
+    before = Window.partitionBy(*group).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    shifts = runs.select("_pid", *group, (F.coalesce(F.sum("_c").over(before), F.lit(0))
+                                          - F.col("_first")).alias("_shift"))
+    return (tagged.join(shifts, ["_pid", *group])
+                  .withColumn(name, (F.col("_local") + F.col("_shift")).cast("long"))
+                  .drop("_rid", "_pid", "_local", "_shift"))

@@ -1,11 +1,10 @@
 """Routing: copy each entity to the match tasks it takes part in, and place
 every task on the partition of its reducer.
 
-Each entity looks up its block once (a many-to-one join on ``block`` against
-a table with one row per block). That table is small next to the entities;
-Spark broadcasts it when its measured size allows (adaptive execution checks
-the real size), and otherwise splits a hot block's rows over several tasks
-(adaptive skew join), so no task holds a whole hot block.
+Each entity looks up its block once, a many-to-one join on ``block`` against a
+table with one row per block. The rows of a hot block are dealt over salts and
+its table row is repeated per salt (:func:`plan_lookup`), so no task holds a
+whole hot block.
 """
 
 from __future__ import annotations
@@ -13,12 +12,30 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from skewmatch.operators.distribution import with_totals
 from skewmatch.operators.ordinal import positions
 
 
-def plan_lookup(keyed: DataFrame, blocks: DataFrame) -> DataFrame:
-    """Every entity joined with the row of its block (statistics and tasks)."""
-    return keyed.join(blocks, "block")
+def plan_lookup(keyed: DataFrame, blocks: DataFrame, sizes: DataFrame,
+                partitions: int | None = None) -> DataFrame:
+    """Every entity joined with the row of its block (statistics and tasks).
+
+    ``sizes`` gives ``(block, n)``. A block with more than ``1 / partitions`` of
+    all entities is hot: there are fewer than ``partitions`` of these, so their
+    table is broadcast. A hot block gets one salt per partition's worth of
+    entities, at most ``2 * partitions`` extra table rows in all.
+    """
+    width = partitions or int(keyed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    total = sizes.agg(F.sum("n").alias("_total"))
+    hot = (with_totals(sizes.select("block", "n"), total)
+           .withColumn("_salts", F.ceil(F.col("n") * F.lit(float(width)) / F.col("_total")).cast("long"))
+           .filter(F.col("_salts") > 1).select("block", "_salts"))
+    salts = F.coalesce(F.col("_salts"), F.lit(1).cast("long"))
+    rows = (keyed.join(F.broadcast(hot), "block", "left")
+                 .withColumn("_salt", F.pmod(F.xxhash64("id"), salts)).drop("_salts"))
+    table = (blocks.join(F.broadcast(hot), "block", "left")
+                   .withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), salts - 1))).drop("_salts"))
+    return rows.join(table, ["block", "_salt"]).drop("_salt")
 
 
 def split_tasks_by_block(stats: DataFrame, assigned: DataFrame) -> DataFrame:
@@ -42,19 +59,15 @@ def split_route(keyed: DataFrame, stats: DataFrame, assigned: DataFrame) -> Data
     info = split_tasks_by_block(stats, assigned)
     mine = F.filter("tasks", lambda t: ~F.col("oversized") | (t["i"] == F.col("part"))
                     | (t["j"] == F.col("part")))
-    return (plan_lookup(keyed, info)
+    return (plan_lookup(keyed, info, stats)
             .select("block", "part", "oversized", "id", "text", F.explode(mine).alias("t"))
             .select(F.col("t.reducer").alias("reducer"), "block", F.col("t.i").alias("i"),
                     F.col("t.j").alias("j"), "part", "oversized", "id", "text"))
 
 
-def entity_positions(keyed: DataFrame, sizes: DataFrame | None = None) -> DataFrame:
-    """Add ``pos``: the place of each entity in its block (0..n-1).
-
-    Ordered by id inside cells of a hot block (see
-    :func:`skewmatch.operators.ordinal.positions`), never one task per block.
-    """
-    return positions(keyed, ["block"], "id", "pos", sizes)
+def entity_positions(keyed: DataFrame) -> DataFrame:
+    """Add ``pos``: the place of each entity in its block (0..n-1), by id."""
+    return positions(keyed, ["block"], "id", "pos")
 
 
 def slice_tasks_by_block(assigned: DataFrame) -> DataFrame:
@@ -63,7 +76,7 @@ def slice_tasks_by_block(assigned: DataFrame) -> DataFrame:
         F.collect_list(F.struct("slice", "start", "u", "reducer")).alias("slices"))
 
 
-def slice_route(positioned: DataFrame, assigned: DataFrame) -> DataFrame:
+def slice_route(positioned: DataFrame, stats: DataFrame, assigned: DataFrame) -> DataFrame:
     """``(reducer, block, slice, pos, replicated, id, text)`` for every (entity, slice).
 
     In slice ``s`` the positions ``[start, start + u)`` are its own, later ones
@@ -72,7 +85,7 @@ def slice_route(positioned: DataFrame, assigned: DataFrame) -> DataFrame:
     """
     info = slice_tasks_by_block(assigned)
     mine = F.filter("slices", lambda s: F.col("pos") >= s["start"])
-    return (plan_lookup(positioned, info)
+    return (plan_lookup(positioned, info, stats)
             .select("block", "pos", "id", "text", F.explode(mine).alias("s"))
             .select(F.col("s.reducer").alias("reducer"), "block", F.col("s.slice").alias("slice"), "pos",
                     (F.col("pos") >= F.col("s.start") + F.col("s.u")).alias("replicated"),

@@ -9,22 +9,49 @@ PARTS = 4
 REDUCERS = 4
 
 
-def _lines(table: str, rid: str, text: str, fold: bool) -> str:
-    line = "regexp_replace(t[i + 1], '[^\\x00-\\x7F]', '_', 'g')" if fold else "t[i + 1]"
-    return f"""select {rid} * 1000003 + i as id, {rid} as record_id, i as line_no, {line} as text
+LINE_BITS = 2 ** 32  # an array has fewer lines; ids are HUGEINT here only
+
+
+def _lines(table: str, rid: str, text: str) -> str:
+    return f"""select {rid}::HUGEINT * {LINE_BITS} + i as id, {rid}, i::BIGINT as line_no, t[i + 1] as text
   from (select {rid}, case when regexp_full_match({text}, '\\n+') then []::VARCHAR[]
                else string_split(regexp_replace({text}, '\\n+$', ''), chr(10)) end as t
         from {table}) s, unnest(range(len(t))) as u(i)"""
 
 
-KEY4 = "case when length(text) < 3 then '>>>' else upper(replace(substring(text, 1, 3), '.', ',')) end"
+ID_AB = ", ".join(f"(id_{x} // {LINE_BITS})::BIGINT as doc_id_{x}, (id_{x} % {LINE_BITS})::BIGINT as line_no_{x}" for x in "ab")
+
+# The edit distance here counts bytes. To count characters, every non-ASCII letter of the lower-cased
+# texts of a table is mapped to a control character of its own; too many letters, or a text that
+# holds such a control character itself, is an error.
+CODES = [*range(1, 9), 11, 12, *range(14, 32), 127]
+
+
+def _letters(table: str, text: str) -> str:
+    codes = " || ".join(f"chr({c})" for c in CODES)
+    return f"""letters as (
+  select case when count(*) > {len(CODES)} then error('more letters than codes') else coalesce(string_agg(c, ''), '') end as chars,
+         {codes} as codes
+  from (select distinct unnest(regexp_extract_all(lower({text}), '[^\\x00-\\x7F]')) as c from {table}) x),
+clash as (select case when count(*) > 0 then error('a text holds a code') end as none
+  from {table} where regexp_matches({text}, '[\\x01-\\x08\\x0B\\x0C\\x0E-\\x1F\\x7F]'))"""
+
+
+def _low(text: str) -> str:
+    return (f"translate(lower({text}), (select chars from letters), "
+            f"(select left(codes, length(chars)) || coalesce((select none::VARCHAR from clash), '') from letters))")
+
+
+# upper('ß') is 'SS' (full case mapping)
+KEY4 = ("case when length(text) < 3 then '>>>' "
+        "else upper(replace(replace(substring(text, 1, 3), '.', ','), 'ß', 'ss')) end")
 KEY5 = "case when length(text) < 3 then '>>>' else substring(lower(text), 1, 3) end"
 
 
-def _sim(a: str, b: str) -> str:
+def _sim(a: str, b: str, low_a: str = "", low_b: str = "") -> str:
     longer = f"greatest(length({a}), length({b}))"
     return (f"case when {longer} = 0 then 1.0 else "
-            f"({longer} - levenshtein(lower({a}), lower({b})))::DOUBLE / {longer} end")
+            f"({longer} - levenshtein({low_a or f'lower({a})'}, {low_b or f'lower({b})'}))::DOUBLE / {longer} end")
 
 
 def _usize(rem: str, t: str) -> str:
@@ -33,8 +60,9 @@ def _usize(rem: str, t: str) -> str:
     return f"(case when {disc} < 0 then 0 else floor(({b} - sqrt({disc})) / 2) end)::BIGINT"
 
 
-DOCS = f"docs as ({_lines('documents', 'doc_id', 'text', True)})"
-KEYED = f"keyed as (select id, text, {KEY4} as block, (id % {PARTS})::BIGINT as part from docs)"
+DOCS = f"docs as ({_lines('documents', 'doc_id', 'text')})"
+LOW = _letters("documents", "text")
+KEYED = f"keyed as (select id, doc_id, line_no, text, {KEY4} as block, ((doc_id + line_no) % {PARTS})::BIGINT as part from docs)"
 STATS = f"""counts as (select block, part, count(*)::BIGINT as size from keyed group by block, part),
 bsz as (select block, sum(size)::BIGINT as n, (sum(size) * (sum(size) - 1) // 2)::BIGINT as comps
         from counts group by block),
@@ -79,31 +107,32 @@ slice_plan as (
          (case when u = 0 then rem * (rem - 1) // 2 else u * (u - 1) // 2 + (rem - u) * u end)::BIGINT
   from (select *, {_usize('rem', 'target')} as u from sl where not done) y)"""
 
-CELL_ROWS = 1_000_000
-CELLS = f"greatest(1, ceil(n / {CELL_ROWS}))::BIGINT"
-POSITIONS = f"""posd as (select k.*, (row_number() over (partition by k.block order by k.id % {CELLS}, k.id) - 1)::BIGINT
-                 as pos from keyed k join stats s on s.block = k.block)"""
+POSITIONS = """posd as (select k.*, (row_number() over (partition by block order by id) - 1)::BIGINT as pos from keyed k)"""
 
 
 def _with(*ctes: str, recursive: bool = False) -> str:
     return ("with recursive " if recursive else "with ") + ",\n".join(ctes) + "\n"
 
 
-def _pairs_by_block(keyed: str) -> str:
+def _pairs_by_block(keyed: str, low: str = "lower(text)") -> str:
     return f"""select a.id as id_a, b.id as id_b, a.text as text_a, b.text as text_b,
-       {_sim('a.text', 'b.text')} as similarity
-from {keyed} a join {keyed} b on a.block = b.block and a.id < b.id"""
+       {_sim('a.text', 'b.text', 'a.low', 'b.low')} as similarity
+from (select *, {low} as low from {keyed}) a join (select *, {low} as low from {keyed}) b on a.block = b.block and a.id < b.id"""
+
+
+def _doc_matches(key: str) -> str:
+    return (_with(DOCS, LOW, f"keyed as (select id, text, {key} as block from docs)")
+            + f"select {ID_AB}, text_a, text_b, similarity from (" + _pairs_by_block("keyed", _low("text"))
+            + ") p where similarity >= 0.7")
 
 
-DOC_MATCHES = (_with(DOCS, KEYED) + "select * from (" + _pairs_by_block("keyed") + ") p where similarity >= 0.7")
-DOC_MATCHES_BASIC = (_with(DOCS, f"keyed as (select id, text, {KEY5} as block from docs)")
-                     + "select * from (" + _pairs_by_block("keyed") + ") p where similarity >= 0.7")
+DOC_MATCHES = _doc_matches(KEY4)
+DOC_MATCHES_BASIC = _doc_matches(KEY5)
 
 PAGES = "pages_e as (select id, text, " + KEY4 + " as block from (select page_id as id, url as text from pages) p)"
 PAGE_MATCHES = (_with(PAGES) + "select * from (" + _pairs_by_block("pages_e") + ") p where similarity >= 0.7")
 
-BENCH = f"""bl as (select item_id, l as line from (
-   select item_id, regexp_replace(text, '[^\\x00-\\x7F]', '_', 'g') as text from benchmark) s,
+BENCH = f"""bl as (select item_id, l as line from benchmark,
    unnest(case when regexp_full_match(text, '\\n+') then []::VARCHAR[]
                else string_split(regexp_replace(text, '\\n+$', ''), chr(10)) end) as u(l)),
 src1 as (select distinct line from bl where item_id % 2 = 0),
@@ -123,31 +152,30 @@ PARTS_E5 = ("parts_e as (select id, text, " + KEY5 + " as block from (select p_p
 PART_MATCHES = (_with(PARTS_E) + "select * from (" + _pairs_by_block("parts_e") + ") p where similarity >= 0.7")
 PART_MATCHES_BASIC = (_with(PARTS_E5) + "select * from (" + _pairs_by_block("parts_e") + ") p where similarity >= 0.7")
 
-CONV = "conv as (" + _lines("(select conv_id * 1000 + turn as rid, text from conversations)", "rid", "text", False) + ")"
+PAGE_LINES = "pl as (" + _lines("(select page_id, regexp_replace(html, '<[^>]*>', chr(10), 'g') as text from pages)", "page_id", "text") + ")"
 
 SPLIT_ASSIGNED = _greedy("split_plan", "block, i, j", "split_assigned")
 SLICE_ASSIGNED = _greedy("slice_plan", "block, slice", "slice_assigned")
 
 SPLIT_ROUTE = """split_route as (
-  select a.reducer, k.block, a.i, a.j, k.part, k.id, s.oversized
+  select a.reducer, k.block, a.i, a.j, k.part, k.doc_id, k.line_no, s.oversized
   from keyed k join stats s on s.block = k.block join split_assigned a on a.block = k.block
   where (not s.oversized) or k.part = a.i or k.part = a.j)"""
 
 ORACLE = {
-    "entity_lines": _with(f"l as ({_lines('documents', 'doc_id', 'text', False)})") + "select * from l",
-    "drop_empty_lines": _with(CONV) + "select * from conv where text <> ''",
+    "entity_lines": _with(DOCS) + "select doc_id, line_no, text from docs",
+    "drop_empty_lines": _with(PAGE_LINES) + "select page_id, line_no, text from pl where text <> ''",
     "write_matches": PAGE_MATCHES,
-    "block_key_prefix": _with(DOCS) + f"select id, text, {KEY4} as block from docs",
-    "block_key_prefix_lower": _with(DOCS) + f"select id, text, {KEY5} as block from docs",
+    "block_key_prefix": _with(DOCS) + f"select doc_id, line_no, text, {KEY4} as block from docs",
+    "block_key_prefix_lower": _with(DOCS) + f"select doc_id, line_no, text, {KEY5} as block from docs",
     "block_key_first_char": _with(BENCH) + """select word, substring(lower(word), 1, 1) as block
         from (select word from w1 union all select word from w2) w""",
     "tokenize_words": _with(BENCH.split(",\nsrc1")[0]) + """select w as word, (case when item_id % 2 = 0 then 1 else 2 end) as source
         from bl, unnest(string_split(line, ' ')) as u(w) where w <> ''""",
-    "distinct_lines": _with(BENCH) + "select line, 1 as source from src1 union all select line, 2 from src2",
-    "source_partition": _with(DOCS) + f"select id, (id % {PARTS})::BIGINT as part from docs",
-    "mark_empty_entities": _with(CONV) + f"""select id, {KEY4} as block,
-        case when text = '' then '<><><>' else text end as text
-        from (select id, regexp_replace(text, '[^\\x00-\\x7F]', '_', 'g') as text from conv) c""",
+    "distinct_lines": _with(DOCS) + "select distinct text from docs",
+    "source_partition": _with(DOCS) + f"select doc_id, line_no, ((doc_id + line_no) % {PARTS})::BIGINT as part from docs",
+    "mark_empty_entities": _with(PAGE_LINES) + f"""select page_id, line_no, {KEY4} as block,
+        case when text = '' then '<><><>' else text end as text from pl""",
     "string_similarity": _next_pairs("part", "p_partkey", "p_name"),
     "score_pairs": _next_pairs("pages", "page_id", "url"),
     "filter_similar": _next_pairs("pages", "page_id", "url", "where similarity >= 0.7"),
@@ -162,16 +190,16 @@ ORACLE = {
     "block_sizes": _with(DOCS, KEYED, STATS) + "select block, n, comps from bsz",
     "block_totals": _with(DOCS, KEYED, STATS) + "select * from tot",
     "oversized_blocks": _with(DOCS, KEYED, STATS) + "select block, n, comps, target from stats where oversized",
-    "block_members": _with(DOCS, KEYED, STATS) + f"""select block, chunk, string_agg(id::VARCHAR, ',' order by id) as ids,
-        count(*)::BIGINT as n from (select k.block, k.id,
-          ((row_number() over (partition by k.block order by k.id % {CELLS}, k.id) - 1) // 256)::BIGINT as chunk
-          from keyed k join bsz s on s.block = k.block) x
+    "block_members": _with(DOCS, KEYED, POSITIONS) + """select block, chunk, string_agg(doc_id || ':' || line_no, ',' order by id) as ids,
+        count(*)::BIGINT as n from (select block, id, doc_id, line_no, pos // 256 as chunk from posd) x group by block, chunk""",
+    "block_cogroup": _with(BENCH) + """select block, chunk,
+        coalesce(string_agg(word, ' ' order by word) filter (where side = 0), '') as left,
+        coalesce(string_agg(word, ' ' order by word) filter (where side = 1), '') as right,
+        count(*) filter (where side = 0) as n_left, count(*) filter (where side = 1) as n_right
+        from (select *, ((row_number() over (partition by block, side order by word) - 1) // 256)::BIGINT as chunk
+              from (select word, 0 as side, substring(lower(word), 1, 1) as block from w1
+                    union all select word, 1, substring(lower(word), 1, 1) from w2) w) x
         group by block, chunk""",
-    "block_cogroup": _with(BENCH) + """select coalesce(a.block, b.block) as block, coalesce(a.n, 0)::BIGINT as n_left,
-        coalesce(b.n, 0)::BIGINT as n_right
-        from (select substring(lower(word), 1, 1) as block, count(*) as n from w1 group by 1) a
-        full outer join (select substring(lower(word), 1, 1) as block, count(*) as n from w2 group by 1) b
-        on a.block = b.block""",
     "split_plan": _with(DOCS, KEYED, STATS, SPLIT_PLAN) + "select * from split_plan",
     "slice_size": _with(DOCS, KEYED, STATS) + f"select block, n, target, {_usize('n', 'target')} as u from stats",
     "slice_cost": _with(DOCS, KEYED, STATS) + f"""select block, n, u,
@@ -185,32 +213,34 @@ ORACLE = {
     "reducer_load": _with(DOCS, KEYED, STATS, SPLIT_PLAN, SPLIT_ASSIGNED, recursive=True)
         + "select reducer, sum(comps)::BIGINT as comps, count(*)::BIGINT as tasks from split_assigned group by reducer",
     "split_route": _with(DOCS, KEYED, STATS, SPLIT_PLAN, SPLIT_ASSIGNED, SPLIT_ROUTE, recursive=True)
-        + "select reducer, block, i, j, part, id from split_route",
+        + "select reducer, block, i, j, part, doc_id, line_no from split_route",
     "slice_route": _with(DOCS, KEYED, STATS, SLICE_PLAN, SLICE_ASSIGNED, POSITIONS, recursive=True)
-        + """select a.reducer, k.block, a.slice, k.pos, k.pos >= a.start + a.u as replicated, k.id
+        + f"""select a.reducer, k.block, a.slice, k.pos, k.pos >= a.start + a.u as replicated, k.doc_id, k.line_no
         from posd k join slice_assigned a on a.block = k.block and k.pos >= a.start""",
     "place_by_reducer": _with(DOCS, KEYED, STATS, SPLIT_PLAN, SPLIT_ASSIGNED, SPLIT_ROUTE, recursive=True)
         + f"select reducer % {REDUCERS} as partition, reducer, count(*)::BIGINT as rows from split_route group by reducer",
     "basic_match": DOC_MATCHES_BASIC,
     "split_match": DOC_MATCHES,
-    "split_match_tagged": _with(DOCS, KEYED, STATS, SPLIT_PLAN, SPLIT_ASSIGNED, recursive=True) + f"""
-        select m.id_a, m.id_b, m.text_a, m.text_b, m.similarity, a.reducer, m.block, a.i, a.j,
+    "split_match_tagged": _with(DOCS, LOW, KEYED, STATS, SPLIT_PLAN, SPLIT_ASSIGNED, f"low as (select *, {_low('text')} as low from keyed)", recursive=True) + f"""
+        select {ID_AB}, m.text_a, m.text_b, m.similarity, a.reducer, m.block, a.i, a.j,
                m.part_a, m.part_b
         from (select a.id as id_a, b.id as id_b, a.text as text_a, b.text as text_b,
-                     {_sim('a.text', 'b.text')} as similarity, a.block, a.part as part_a, b.part as part_b
-              from keyed a join keyed b on a.block = b.block and a.id < b.id) m
+                     {_sim('a.text', 'b.text', 'a.low', 'b.low')} as similarity, a.block, a.part as part_a, b.part as part_b
+              from low a join low b on a.block = b.block and a.id < b.id) m
         join stats s on s.block = m.block
         join split_assigned a on a.block = m.block
           and a.i = case when s.oversized then greatest(m.part_a, m.part_b) else 0 end
           and a.j = case when s.oversized then least(m.part_a, m.part_b) else 0 end
         where m.similarity >= 0.7""",
     "slice_match": DOC_MATCHES,
-    "two_source_match": _with(BENCH) + f"""select * from (select a.word as word_a, b.word as word_b,
-        {_sim('a.word', 'b.word')} as similarity
-        from w1 a join w2 b on substring(lower(a.word), 1, 1) = substring(lower(b.word), 1, 1)) p
+    "two_source_match": _with(BENCH, _letters("benchmark", "text"),
+                              *[f"c{n} as (select word, count(*) as n, {_low('word')} as low from w{n} group by word)" for n in (1, 2)])
+        + f"""select * from (select a.word as word_a, b.word as word_b,
+        {_sim('a.word', 'b.word', 'a.low', 'b.low')} as similarity, a.n * b.n as occurrences
+        from c1 a join c2 b on substring(lower(a.word), 1, 1) = substring(lower(b.word), 1, 1)) p
         where similarity >= 0.7""",
     "plan_lookup": _with(DOCS, KEYED, STATS, SPLIT_PLAN, SPLIT_ASSIGNED, recursive=True) + """
-        select k.id, k.block, k.part, s.n, s.comps, s.oversized, coalesce(t.n_tasks, 0) as n_tasks
+        select k.doc_id, k.line_no, k.block, k.part, s.n, s.comps, s.oversized, coalesce(t.n_tasks, 0) as n_tasks
         from keyed k join stats s on s.block = k.block
         left join (select block, count(*)::BIGINT as n_tasks from split_assigned group by block) t on t.block = k.block""",
     "split_match_pages": PAGE_MATCHES,

@@ -2,22 +2,23 @@
 
 The assignment is the greedy rule: take tasks by falling cost (ties by task
 key) and give each to the reducer with the least load so far, the lowest
-reducer id on a tie. It is sequential by nature, so it runs exactly for the
-``exact_limit`` costliest tasks in one bounded fold. Any further tasks (all
-cheaper than those) are dealt without a single group: their costs are summed
-in rank order, and each reducer takes a run of them that fills it up to the
-common water level above the loads left by the greedy part.
+reducer id on a tie. The rule is sequential, so it runs in one task, with one
+heap of ``reducers`` loads as its only state. That task reads runs of equal
+cost, one row per distinct cost and not one per match task: whole blocks have
+at most about ``sqrt(2 * entities)`` distinct costs, and cut blocks add at most
+their bounded number of tasks. It streams out ``(rank, reducer)`` in pieces,
+which a join on the rank brings to the tasks.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skewmatch.operators.distribution import with_totals
-from skewmatch.operators.ordinal import ordinal, running_sum
-
-EXACT_LIMIT = 10_000
+from skewmatch.operators.ordinal import ordinal
 
 
 def tasks_by_cost(tasks: DataFrame, key: list[str], name: str = "rank") -> DataFrame:
@@ -25,64 +26,34 @@ def tasks_by_cost(tasks: DataFrame, key: list[str], name: str = "rank") -> DataF
     return ordinal(tasks, [F.col("comps").desc()] + [F.col(k).asc() for k in key], name)
 
 
-def _greedy(head: DataFrame, reducers: int) -> DataFrame:
-    """Exact greedy over the (bounded) head: ``(rank, reducer)`` and final loads."""
-    init = F.struct(F.array_repeat(F.lit(0).cast("long"), reducers).alias("loads"),
-                    F.array().cast("array<int>").alias("picks"))
+def _dealer(reducers: int, piece: int = 100_000):
+    """Greedy over runs ``(comps, first, k)`` by falling cost, as a ``mapInPandas`` function."""
+    def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from heapq import heapreplace
 
-    def step(acc, t):
-        loads = acc["loads"]
-        pick = (F.array_position(loads, F.array_min(loads)) - 1).cast("int")
-        return F.struct(
-            F.transform(loads, lambda x, k: F.when(k == pick, x + t["comps"]).otherwise(x)).alias("loads"),
-            F.array_append(acc["picks"], pick).alias("picks"))
+        import pandas as pd
 
-    tasks = F.array_sort(F.collect_list(F.struct("rank", "comps")))
-    return head.agg(F.aggregate(tasks, init, step).alias("g")).select("g.loads", "g.picks")
+        heap = [(0, r) for r in range(reducers)]
+        for batch in batches:
+            for comps, first, k in zip(batch["comps"].tolist(), batch["first"].tolist(), batch["k"].tolist()):
+                for start in range(0, k, piece):
+                    picks = []
+                    for _ in range(min(piece, k - start)):
+                        load, r = heap[0]
+                        heapreplace(heap, (load + comps, r))
+                        picks.append(r)
+                    begin = first + start
+                    yield pd.DataFrame({"rank": range(begin, begin + len(picks)), "reducer": picks})
+    return deal
 
 
-def assign_reducers(tasks: DataFrame, reducers: int, key: list[str],
-                    exact_limit: int = EXACT_LIMIT) -> DataFrame:
+def assign_reducers(tasks: DataFrame, reducers: int, key: list[str]) -> DataFrame:
     """Add ``rank`` and ``reducer`` (0..reducers-1) to every task."""
     ranked = tasks_by_cost(tasks, key)
-    head = ranked.filter(F.col("rank") < exact_limit)
-    greedy = _greedy(head, reducers)
-    picks = greedy.select(F.posexplode("picks").alias("rank", "reducer")).withColumn(
-        "rank", F.col("rank").cast("long"))
-    # At most exact_limit rows: a bounded broadcast.
-    assigned_head = head.join(F.broadcast(picks), "rank")
-
-    tail = ranked.filter(F.col("rank") >= exact_limit)
-    if tail.isEmpty():  # cheap: ranked is a written table
-        return assigned_head
-    tail_total = tail.agg(F.coalesce(F.sum("comps"), F.lit(0)).cast("long").alias("tail_total"))
-    one = with_totals(greedy.select("loads"), tail_total)
-    # Water level T with sum(max(0, T - load)) = tail_total: walk the loads in
-    # ascending order; while the next load is below the level that the tail
-    # would fill up to with the reducers seen so far, that level is the answer.
-    ascending = F.array_sort("loads")
-    level = F.aggregate(
-        F.sequence(F.lit(1), F.lit(reducers)),
-        F.struct(F.lit(0).cast("double").alias("sum"), F.lit(0.0).alias("t")),
-        lambda acc, k: F.struct(
-            (acc["sum"] + F.element_at(ascending, k)).alias("sum"),
-            F.when(F.element_at(ascending, k) <= (F.col("tail_total") + acc["sum"] + F.element_at(ascending, k)) / k,
-                   (F.col("tail_total") + acc["sum"] + F.element_at(ascending, k)) / k)
-             .otherwise(acc["t"]).alias("t")))["t"]
-    # Capacity of reducer r: up to the level. Bounds are running sums of the
-    # capacities; a tail task goes to the reducer whose range holds its start.
-    caps = F.transform("loads", lambda x: F.greatest(F.lit(0.0), F.col("_level") - x))
-    bounds = F.aggregate(caps, F.array().cast("array<double>"),
-                         lambda acc, c: F.array_append(
-                             acc, F.coalesce(F.try_element_at(acc, F.lit(-1)), F.lit(0.0)) + c))
-    plan_row = one.withColumn("_level", level).select(bounds.alias("_bounds"))
-    tail_pos = running_sum(tail, [F.col("rank")], "comps", "_before")
-    assigned_tail = (with_totals(tail_pos, plan_row)
-                     .withColumn("reducer", F.least(
-                         F.size(F.filter("_bounds", lambda b: b <= F.col("_before"))),
-                         F.lit(reducers - 1)).cast("int"))
-                     .drop("_bounds", "_before"))
-    return assigned_head.unionByName(assigned_tail)
+    runs = ranked.groupBy("comps").agg(F.min("rank").alias("first"), F.count(F.lit(1)).alias("k"))
+    picks = (runs.repartition(1).sortWithinPartitions(F.col("comps").desc())
+                 .mapInPandas(_dealer(reducers), "rank long, reducer int"))
+    return ranked.join(picks, "rank")
 
 
 def reducer_load(assigned: DataFrame) -> DataFrame:

@@ -1,11 +1,12 @@
 """The registered queries: one per operator, each over whole driver tables.
 
 Inputs (all whole tables, whole texts):
-  * ``documents``: every line of every document, non-ASCII folded to ``_``;
-  * ``pages``: page urls; ``part``: part names;
-  * ``benchmark``: lines of even items (source 1) and odd items (source 2);
-  * ``conversations``: lines of the turn texts.
-Parameters: 4 source parts, 4 reducers, threshold 0.7.
+  * ``documents``: every line of every document;
+  * ``pages``: page urls, and the lines of the page texts; ``part``: part names;
+  * ``benchmark``: lines of even items (source 1) and odd items (source 2).
+Parameters: 4 source parts and 4 reducers where the plan is the output, the
+session's parallelism where the result does not depend on it; threshold 0.7.
+A composite id is returned as its fields: ``doc_id, line_no``.
 """
 
 from __future__ import annotations
@@ -14,10 +15,9 @@ import math
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from skewmatch.functions.keys import (key_first_char, key_prefix, key_prefix_lower, mark_empty,
-                                      source_partition)
-from skewmatch.functions.text import fold_ascii
+from skewmatch.functions.keys import key_first_char, key_prefix, key_prefix_lower, mark_empty
 from skewmatch.functions.similarity import DEFAULT_THRESHOLD, filter_similar, score_pairs, similarity
 from skewmatch.operators import distribution as dist
 from skewmatch.operators import match
@@ -31,8 +31,8 @@ from skewmatch.session import checkpoint_dir
 from skewmatch.sources.paths import new_output_path
 from skewmatch.sources.lines import (drop_empty_lines, entity_lines, read_matches,
                                      write_matches)
-from skewmatch.sources.tables import (benchmark_sources, distinct_lines, document_lines, page_urls,
-                                      part_names, table, tokenize_words)
+from skewmatch.sources.tables import (benchmark_sources, distinct_lines, document_lines, page_lines,
+                                      page_urls, part_names, table, tokenize_words)
 
 PARTS = 4
 REDUCERS = 4
@@ -46,6 +46,18 @@ def _long(df: DataFrame, *cols: str) -> DataFrame:
     return df
 
 
+def _fields(df: DataFrame) -> DataFrame:
+    """Composite ids as plain columns: the fields of ``id``, and of ``id_a`` and ``id_b`` with that ending."""
+    cols = []
+    for c in df.columns:
+        kind = df.schema[c].dataType
+        if isinstance(kind, StructType):
+            cols += [F.col(c)[f].alias(f + c.removeprefix("id")) for f in kind.names]
+        else:
+            cols.append(F.col(c))
+    return df.select(*cols)
+
+
 def _keyed_docs(spark, d, key="prefix"):
     return dist.keyed_entities(document_lines(spark, d), key, PARTS)
 
@@ -70,19 +82,11 @@ def _bench_words(spark, d):
 
 def q_entity_lines(spark, d):
     docs = table(spark, d, "documents").select("doc_id", "text")
-    return _long(entity_lines(docs, "doc_id", "text"), "line_no")
-
-
-def _turns(spark, d) -> DataFrame:
-    """Conversation turns keyed by ``conv_id * 1000 + turn`` (a turn >= 1000 is rejected)."""
-    turn = F.when(F.col("turn") < 1000, F.col("turn")).otherwise(
-        F.raise_error(F.lit("turn number 1000 or more")).cast("long"))
-    return table(spark, d, "conversations").select((F.col("conv_id") * 1000 + turn).alias("rid"), "text")
+    return entity_lines(docs, "doc_id", "text").drop("id")
 
 
 def q_drop_empty_lines(spark, d):
-    conv = _turns(spark, d)
-    return _long(drop_empty_lines(entity_lines(conv, "rid", "text")), "line_no")
+    return drop_empty_lines(page_lines(spark, d)).drop("id")
 
 
 def q_write_matches(spark, d):
@@ -94,11 +98,11 @@ def q_write_matches(spark, d):
 # --- 2.2 projections, scalars, filters --------------------------------------
 
 def q_block_key_prefix(spark, d):
-    return document_lines(spark, d).select("id", "text", key_prefix("text").alias("block"))
+    return _fields(document_lines(spark, d).select("id", "text", key_prefix("text").alias("block")))
 
 
 def q_block_key_prefix_lower(spark, d):
-    return document_lines(spark, d).select("id", "text", key_prefix_lower("text").alias("block"))
+    return _fields(document_lines(spark, d).select("id", "text", key_prefix_lower("text").alias("block")))
 
 
 def q_block_key_first_char(spark, d):
@@ -114,19 +118,15 @@ def q_tokenize_words(spark, d):
 
 
 def q_distinct_lines(spark, d):
-    left, right = benchmark_sources(spark, d)
-    return (distinct_lines(left).withColumn("source", F.lit(1))
-            .unionByName(distinct_lines(right).withColumn("source", F.lit(2))))
+    return distinct_lines(document_lines(spark, d), "text")
 
 
 def q_source_partition(spark, d):
-    return document_lines(spark, d).select("id", source_partition("id", PARTS).cast("long").alias("part"))
+    return _long(_fields(_keyed_docs(spark, d).select("id", "part")), "part")
 
 
 def q_mark_empty_entities(spark, d):
-    conv = _turns(spark, d)
-    lines = entity_lines(conv, "rid", "text").withColumn("text", fold_ascii("text"))
-    return lines.select("id", key_prefix("text").alias("block"), mark_empty("text").alias("text"))
+    return _fields(page_lines(spark, d).select("id", key_prefix("text").alias("block"), mark_empty("text").alias("text")))
 
 
 def q_string_similarity(spark, d):
@@ -180,14 +180,16 @@ def q_oversized_blocks(spark, d):
 
 def q_block_members(spark, d):
     members = dist.block_members(_keyed_docs(spark, d), CHUNK)
-    return members.select("block", "chunk", F.array_join(F.col("ids").cast("array<string>"), ",").alias("ids"),
+    return members.select("block", "chunk", F.array_join(F.transform("ids", lambda i: F.concat_ws(":", i["doc_id"], i["line_no"])), ",").alias("ids"),
                           F.col("n").cast("long").alias("n"))
 
 
 def q_block_cogroup(spark, d):
     left, right = _bench_words(spark, d)
-    return dist.block_cogroup(left.select(key_first_char("word").alias("block")),
-                              right.select(key_first_char("word").alias("block")))
+    both = dist.block_cogroup(left.withColumn("block", key_first_char("word")),
+                              right.withColumn("block", key_first_char("word")), "word", CHUNK)
+    # words hold no space
+    return both.withColumns({side: F.array_join(side, " ") for side in ("left", "right")})
 
 
 # --- 2.4 match planning -------------------------------------------------------
@@ -235,14 +237,14 @@ def q_split_route(spark, d):
     keyed = _keyed_docs(spark, d)
     stats, assigned = match.split_plan_assigned(keyed, REDUCERS)
     routed = split_route(keyed, stats, assigned)
-    return _long(routed.select("reducer", "block", "i", "j", "part", "id"), "reducer", "i", "j", "part")
+    return _long(_fields(routed.select("reducer", "block", "i", "j", "part", "id")), "reducer", "i", "j", "part")
 
 
 def q_slice_route(spark, d):
     keyed = _keyed_docs(spark, d)
     stats, assigned = match.slice_plan_assigned(keyed, REDUCERS)
-    routed = slice_route(entity_positions(keyed, stats.select("block", "n")), assigned)
-    return _long(routed.select("reducer", "block", "slice", "pos", "replicated", "id"), "reducer", "slice")
+    routed = slice_route(entity_positions(keyed), stats, assigned)
+    return _long(_fields(routed.select("reducer", "block", "slice", "pos", "replicated", "id")), "reducer", "slice")
 
 
 def q_place_by_reducer(spark, d):
@@ -259,9 +261,10 @@ def q_plan_lookup(spark, d):
     stats, assigned = match.split_plan_assigned(keyed, REDUCERS)
     tasks = split_tasks_by_block(stats, assigned).select("block", "tasks")
     info = stats.select("block", "oversized", "n", "comps").join(tasks, "block", "left")
-    looked = plan_lookup(keyed, info)
-    return _long(looked.select("id", "block", "part", "n", "comps", "oversized",
-                               F.when(F.col("tasks").isNull(), 0).otherwise(F.size("tasks")).alias("n_tasks")), "part", "n", "n_tasks")
+    looked = plan_lookup(keyed, info, stats)
+    n_tasks = F.when(F.col("tasks").isNull(), 0).otherwise(F.size("tasks")).alias("n_tasks")
+    return _long(_fields(looked.select("id", "block", "part", "n", "comps", "oversized", n_tasks)),
+                 "part", "n", "n_tasks")
 
 
 # --- 2.6 matchers ---------------------------------------------------------------
@@ -273,20 +276,20 @@ def _width(spark) -> dict:
 
 
 def q_basic_match(spark, d):
-    return match.basic_match(document_lines(spark, d), "prefix_lower", THRESHOLD)
+    return _fields(match.basic_match(document_lines(spark, d), "prefix_lower", THRESHOLD))
 
 
 def q_split_match(spark, d):
-    return match.split_match(document_lines(spark, d), "prefix", threshold=THRESHOLD, **_width(spark))
+    return _fields(match.split_match(document_lines(spark, d), "prefix", threshold=THRESHOLD, **_width(spark)))
 
 
 def q_split_match_tagged(spark, d):
     out = match.split_match(document_lines(spark, d), "prefix", PARTS, REDUCERS, THRESHOLD, tagged=True)
-    return _long(out, "reducer", "i", "j", "part_a", "part_b")
+    return _long(_fields(out), "reducer", "i", "j", "part_a", "part_b")
 
 
 def q_slice_match(spark, d):
-    return match.slice_match(document_lines(spark, d), "prefix", threshold=THRESHOLD, **_width(spark))
+    return _fields(match.slice_match(document_lines(spark, d), "prefix", threshold=THRESHOLD, **_width(spark)))
 
 
 def q_two_source_match(spark, d):

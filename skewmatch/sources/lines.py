@@ -8,12 +8,6 @@ from pyspark.sql import functions as F
 from skewmatch.functions.text import split_lines
 from skewmatch.operators.ordinal import ordinal
 
-# Line ids of a table column are ``record_id * LINE_ID_STRIDE + line_number``.
-# The stride is prime, so ``id % parts`` spreads the lines of one record over
-# all parts. A record with this many lines or more is rejected.
-LINE_ID_STRIDE = 1_000_003
-
-
 def read_lines(spark: SparkSession, path: str, line_numbers: bool = False,
                partitions: int | None = None) -> DataFrame:
     """One entity per line of the text file(s) at ``path``: ``(id, text)``.
@@ -22,10 +16,13 @@ def read_lines(spark: SparkSession, path: str, line_numbers: bool = False,
     ``monotonically_increasing_id()`` of the scan: unique, and the same on
     every evaluation for the same files and split settings, at no extra cost.
     With ``line_numbers`` it is the line number from 0 over the files in path
-    order, which takes a distributed sort of the input.
+    order, which takes a distributed sort of the input. ``partitions`` is the
+    number of partitions of the result; by default that of the scan.
     """
     raw = spark.read.text(path).withColumnRenamed("value", "text")
     if not line_numbers:
+        if partitions:
+            return raw.select(F.monotonically_increasing_id().alias("id"), "text").repartition(partitions)
         return raw.select(F.monotonically_increasing_id().alias("id"), "text")
     raw = (raw.select("text", F.col("_metadata.file_path").alias("_file"),
                       F.col("_metadata.file_block_start").alias("_start"))
@@ -34,19 +31,18 @@ def read_lines(spark: SparkSession, path: str, line_numbers: bool = False,
     return numbered.select("id", "text")
 
 
-def entity_lines(df: DataFrame, record_id: str, text: str, keep: tuple[str, ...] = ()) -> DataFrame:
-    """Every line of a text column as its own entity: ``(id, text, record_id, line_no)``.
+def entity_lines(df: DataFrame, record_id: str | list[str], text: str) -> DataFrame:
+    """Every line of a text column as its own entity: ``(id, text, <record id columns>, line_no)``.
 
-    Lines are split like Java's ``String.split("\\n")`` (trailing empty lines
-    dropped). No shuffle: each record is exploded where it is read.
+    ``id`` is the struct of the record's id columns and the line number: unique
+    and ordered for any number of records and lines. Lines are split like Java's
+    ``String.split("\\n")`` (trailing empty lines dropped). No shuffle: each
+    record is exploded where it is read.
     """
-    exploded = df.select(F.col(record_id).alias("record_id"), *keep,
-                         F.posexplode(split_lines(F.col(text))).alias("line_no", "text"))
-    checked_line = F.when(F.col("line_no") < LINE_ID_STRIDE, F.col("line_no")).otherwise(
-        F.raise_error(F.lit(f"a record has {LINE_ID_STRIDE} lines or more")).cast("int"))
-    return exploded.select(
-        (F.col("record_id").cast("long") * LINE_ID_STRIDE + checked_line).alias("id"),
-        "text", "record_id", "line_no", *keep)
+    record = [record_id] if isinstance(record_id, str) else list(record_id)
+    exploded = df.select(*record, F.posexplode(split_lines(F.col(text))).alias("line_no", "text"))
+    exploded = exploded.withColumn("line_no", F.col("line_no").cast("long"))
+    return exploded.select(F.struct(*record, "line_no").alias("id"), "text", *record, "line_no")
 
 
 def drop_empty_lines(df: DataFrame, text: str = "text") -> DataFrame:

@@ -1,8 +1,6 @@
 """Entity inputs built from the driver tables.
 
-Every input keeps whole texts. Where the result is compared with an engine
-whose edit distance counts bytes, non-ASCII characters are folded to ``_``
-first (lengths in characters are unchanged).
+Every input keeps whole texts, unaltered.
 """
 
 from __future__ import annotations
@@ -10,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skewmatch.functions.text import fold_ascii, split_lines, split_words
+from skewmatch.functions.text import split_lines, split_words
 from skewmatch.sources.lines import entity_lines
 
 
@@ -18,11 +16,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def document_lines(spark: SparkSession, sf_dir: str, fold: bool = True) -> DataFrame:
-    """Every line of every document: ``(id, text, record_id, line_no)``."""
+def document_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every line of every document: ``(id, text, doc_id, line_no)``."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    lines = entity_lines(docs, "doc_id", "text")
-    return lines.withColumn("text", fold_ascii("text")) if fold else lines
+    return entity_lines(docs, "doc_id", "text")
+
+
+def page_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The text of every page, line by line, each tag a line break (so that
+    many lines are empty): ``(id, text, page_id, line_no)``."""
+    pages = table(spark, sf_dir, "pages").select("page_id", F.regexp_replace("html", "<[^>]*>", "\n").alias("text"))
+    return entity_lines(pages, "page_id", "text")
 
 
 def page_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -44,14 +48,13 @@ ENTITY_INPUTS = {
 }
 
 
-def benchmark_sources(spark: SparkSession, sf_dir: str, fold: bool = True):
+def benchmark_sources(spark: SparkSession, sf_dir: str):
     """Two line sources from ``benchmark``: even ``item_id`` and odd ``item_id``.
 
     Returns two DataFrames with one column ``line``.
     """
     bench = table(spark, sf_dir, "benchmark").select("item_id", "text")
-    text = fold_ascii("text") if fold else F.col("text")
-    lines = bench.select("item_id", F.explode(split_lines(text)).alias("line"))
+    lines = bench.select("item_id", F.explode(split_lines("text")).alias("line"))
     left = lines.filter(F.pmod("item_id", F.lit(2)) == 0).select("line")
     right = lines.filter(F.pmod("item_id", F.lit(2)) == 1).select("line")
     return left, right

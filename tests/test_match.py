@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 from conftest import entities
 from skewmatch.functions.keys import key_prefix
 from skewmatch.operators import match
+from skewmatch.operators.distribution import keyed_entities
+from skewmatch.operators.route import entity_positions, slice_route
 from skewmatch.sources.tables import document_lines, tokenize_words
 
 # Every stem with every ending: two blocks under the default key, near and far pairs, one non-ASCII letter.
@@ -59,7 +61,8 @@ def test_sample_lines_against_python(spark):
 def test_two_source_sample(spark):
     lines = spark.createDataFrame([(t,) for t in SAMPLE], "line string")
     words = tokenize_words(lines.distinct())
-    got = sorted((r.word_a, r.word_b, r.similarity) for r in match.two_source_match(words, words).collect())
+    got = sorted((r.word_a, r.word_b, r.similarity) for r in match.two_source_match(words, words).collect()
+                 for _ in range(r.occurrences))
     ws = [w for t in SAMPLE for w in t.split(" ") if w]
     want = sorted((a, b, _py_sim(a, b)) for a in ws for b in ws
                   if a[:1].lower() == b[:1].lower() and _py_sim(a, b) >= 0.7)
@@ -71,7 +74,14 @@ def test_two_source_keeps_multiplicity(spark):
     left = spark.createDataFrame([("abc",), ("abc",), ("abd",)], "word string")
     right = spark.createDataFrame([("abc",), ("abc",)], "word string")
     got = match.two_source_match(left, right, reducers=3).collect()
-    assert len(got) == 4  # 2 x 2 for abc-abc; abd-abc scores 0.67
+    # 2 x 2 for abc-abc; abd-abc scores 0.67
+    assert [(r.word_a, r.word_b, r.similarity, r.occurrences) for r in got] == [("abc", "abc", 1.0, 4)]
+
+
+def test_two_source_counts_a_hot_word(spark):
+    hot = spark.range(50_000).select(F.lit("word").alias("word"))
+    got = match.two_source_match(hot, hot).collect()
+    assert [(r.word_a, r.word_b, r.occurrences) for r in got] == [("word", "word", 50_000 ** 2)]
 
 
 @pytest.mark.parametrize("parts,reducers", [(1, 1), (4, 4), (3, 7), (5, 2)])
@@ -135,10 +145,10 @@ def test_tagged_split_match(spark, sf_dir):
 
 
 def test_basic_match_salted_hot_blocks(spark, sf_dir):
-    # A tiny pair budget salts every block into many groups: same pairs.
+    # Many partitions salt many blocks into groups: same pairs.
     from skewmatch.functions.keys import key_prefix_lower
     ents = document_lines(spark, sf_dir)
-    assert _set(match.basic_match(ents, pairs_per_task=10)) == _set(_brute(spark, ents, key_prefix_lower))
+    assert _set(match.basic_match(ents, partitions=97)) == _set(_brute(spark, ents, key_prefix_lower))
 
 
 def test_task_keys_never_collide(spark):
@@ -159,3 +169,35 @@ def test_more_reducers_than_tasks(spark):
     want = _set(_brute(spark, ents, threshold=0.0))
     for fn in (match.split_match, match.slice_match):
         assert _set(fn(ents, parts=3, reducers=50, threshold=0.0)) == want
+
+
+def test_composite_ids(spark):
+    # The same entities under a plain id and under (record, line).
+    plain = entities(spark, SAMPLE)
+    pair = plain.select(F.struct(F.floor(F.col("id") / 3).alias("record"), (F.col("id") % 3).alias("line")).alias("id"), "text")
+    for fn in (match.basic_match, match.split_match, match.slice_match):
+        got = sorted((r.id_a.record * 3 + r.id_a.line, r.id_b.record * 3 + r.id_b.line, r.similarity)
+                     for r in fn(pair).select("id_a", "id_b", "similarity").collect())
+        assert got == _set(fn(plain))
+
+
+def test_slice_match_shows_empty_entities(spark):
+    ents = entities(spark, ["", "", "abc"])
+    got = match.slice_match(ents, show_empty=True).collect()
+    assert [(r.text_a, r.text_b, r.similarity) for r in got] == [("<><><>", "<><><>", 1.0)]
+
+
+def test_hot_block_is_never_grouped_whole(spark, sf_dir):
+    # With broadcasts off, no window or aggregate of the slice plan sits on rows
+    # placed by block alone, and the lookups join on a salt as well.
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        keyed = keyed_entities(document_lines(spark, sf_dir))
+        stats, assigned = match.slice_plan_assigned(keyed, 4)
+        routed = slice_route(entity_positions(keyed), stats, assigned)
+        plan = routed._jdf.queryExecution().executedPlan().toString()
+        assert routed.count() > 0
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    joins = [line for line in plan.split("\n") if "SortMergeJoin" in line]
+    assert joins and not [j for j in joins if "SortMergeJoin [block" in j and "_salt" not in j]

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from conftest import entities
 from skewmatch.operators import distribution as dist
 from skewmatch.operators.ordinal import ordinal, positions
+from skewmatch.operators.route import plan_lookup
 from skewmatch.plans.assign import assign_reducers, reducer_load
 from skewmatch.plans.slicer import slice_plan
 from skewmatch.plans.split import split_plan
@@ -72,27 +73,18 @@ def test_greedy_is_balanced_and_exact(spark, sf_dir):
     assert max(load.values()) <= stats.first().target * 1.05
 
 
-def test_assignment_tail_covers_all_tasks(spark, sf_dir):
-    stats = _stats(spark, sf_dir)
-    plan = split_plan(stats)
-    exact = assign_reducers(plan, 4, ["block", "i", "j"])
-    mixed = assign_reducers(plan, 4, ["block", "i", "j"], exact_limit=20)
-    rows = mixed.collect()
-    assert len(rows) == plan.count()
-    assert all(0 <= r.reducer < 4 for r in rows)
-    head = {(r.block, r.i, r.j): r.reducer for r in exact.collect() if r.rank < 20}
-    assert {(r.block, r.i, r.j): r.reducer for r in rows if r.rank < 20} == head
-    loads = {}
-    for r in rows:
-        loads[r.reducer] = loads.get(r.reducer, 0) + r.comps
-    total = sum(loads.values())
-    head_loads = {}
-    for r in rows:
-        if r.rank < 20:
-            head_loads[r.reducer] = head_loads.get(r.reducer, 0) + r.comps
-    biggest_tail = max(r.comps for r in rows if r.rank >= 20)
-    # Water filling: nobody ends more than one tail task above the level.
-    assert max(loads.values()) <= max(max(head_loads.values()), total / 4) + biggest_tail
+def test_greedy_of_many_tasks(spark):
+    # More than 10,000 tasks, many of equal cost and many of cost 0: plain greedy, task by task.
+    tasks = spark.range(25_000).select(F.format_string("b%05d", "id").alias("block"),
+                                       (F.pmod(F.xxhash64("id"), F.lit(700)) * F.pmod("id", F.lit(3))).alias("comps"))
+    loads = [0] * 7
+    want = {}
+    for cost, block in sorted((-r.comps, r.block) for r in tasks.collect()):
+        pick = loads.index(min(loads))
+        loads[pick] -= cost
+        want[block] = pick
+    got = {r.block: r.reducer for r in assign_reducers(tasks, 7, ["block"]).collect()}
+    assert got == want
 
 
 def test_ordinal_is_stable_across_plans(spark, sf_dir):
@@ -105,14 +97,26 @@ def test_ordinal_is_stable_across_plans(spark, sf_dir):
     assert a == b == want
 
 
-def test_positions_with_many_cells(spark, sf_dir):
+def test_positions_do_not_depend_on_partitions(spark, sf_dir):
     keyed = dist.keyed_entities(document_lines(spark, sf_dir), "prefix", 4)
-    pos = positions(keyed, ["block"], "id", "pos", cell_rows=7).collect()
     by_block = {}
-    for r in pos:
-        by_block.setdefault(r.block, []).append(r.pos)
-    for block, ps in by_block.items():
-        assert sorted(ps) == list(range(len(ps))), block
+    for r in keyed.collect():
+        by_block.setdefault(r.block, []).append(r.id)
+    want = {(b, i): p for b, ids in by_block.items() for p, i in enumerate(sorted(ids))}
+    for partitions in (1, 7, 40):
+        pos = positions(keyed, ["block"], "id", "pos", partitions).collect()
+        assert {(r.block, r.id): r.pos for r in pos} == want
+        assert len(pos) == len(want)
+
+
+def test_plan_lookup_keeps_every_entity(spark, sf_dir):
+    # A block with most of the entities is dealt over salts; every entity still finds its row.
+    texts = ["hot%d" % i for i in range(300)] + ["c%02dx" % i for i in range(50)]
+    keyed = dist.keyed_entities(entities(spark, texts))
+    stats = dist.block_stats(keyed, 4)
+    got = plan_lookup(keyed, stats.select("block", "n"), stats, partitions=16).collect()
+    assert sorted(r.id for r in got) == list(range(350))
+    assert {r.n for r in got if r.block == "HOT"} == {300}
 
 
 def test_slice_size_exact_for_huge_blocks(spark):

@@ -11,6 +11,7 @@ from skewmatch.operators import match
 from skewmatch.session import checkpoint_dir
 from skewmatch.sources.lines import drop_empty_lines, entity_lines, read_lines, read_matches, write_matches
 from skewmatch.sources.paths import new_output_path
+from skewmatch.sources.tables import document_lines, page_lines
 from test_match import SAMPLE
 
 
@@ -27,11 +28,33 @@ def test_read_lines_numbers_lines(spark):
 
 def test_entity_lines_of_a_column(spark):
     df = spark.createDataFrame([(1, "a\nb\n"), (2, ""), (3, "\n")], "rid long, text string")
-    got = entity_lines(df, "rid", "text").select("id", "text", "record_id", "line_no").collect()
-    assert sorted(tuple(r) for r in got) == [(1000003, "a", 1, 0), (1000004, "b", 1, 1), (2000006, "", 2, 0)]
+    got = entity_lines(df, "rid", "text").select("id", "text", "rid", "line_no").collect()
+    assert sorted(tuple(r) for r in got) == [((1, 0), "a", 1, 0), ((1, 1), "b", 1, 1), ((2, 0), "", 2, 0)]
     assert drop_empty_lines(entity_lines(df, "rid", "text")).count() == 2
 
 
+def test_a_record_of_many_lines(spark):
+    # No cap on lines or record numbers: ids stay unique.
+    df = spark.createDataFrame([(2**62, "x\n" * 1_200_000), (2**62 + 1, "y")], "rid long, text string")
+    lines = entity_lines(df, "rid", "text")
+    assert lines.count() == lines.select("id").distinct().count() == 1_200_001
+
+
+def test_inputs_exercise_the_filters(spark, sf_dir):
+    lines = page_lines(spark, sf_dir)
+    assert 0 < drop_empty_lines(lines).count() < lines.count()
+    docs = document_lines(spark, sf_dir).select("text")
+    assert docs.distinct().count() < docs.count()
+
+
+def test_cogroup_members(spark):
+    left = spark.createDataFrame([("ab", "a"), ("ab", "a"), ("ac", "a"), ("x", "x")], "word string, block string")
+    right = spark.createDataFrame([("aa", "a"), ("z", "z")], "word string, block string")
+    got = {(r.block, r.chunk): (r.left, r.right, r.n_left, r.n_right) for r in dist.block_cogroup(left, right, chunk=2).collect()}
+    assert got == {("a", 0): (["ab", "ab"], ["aa"], 2, 1), ("a", 1): (["ac"], [], 1, 0),
+                   ("x", 0): (["x"], [], 1, 0), ("z", 0): ([], ["z"], 0, 1)}
+
+
 def test_write_and_read_back(spark):
     ents = entities(spark, ["abcd", "abce", "xyz"])
     m = match.split_match(ents)
