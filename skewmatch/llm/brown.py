@@ -39,13 +39,15 @@ def to_blocks(limit: int):
     """Documents in blocks of about ``limit`` tokens (a longer one alone): ``(block, doc ids, held, sizes, tokens, vocabulary,
     training counts)``; a token is its word's place in the sorted vocabulary of the block."""
     def close(number, docs, held, sizes, words):
-        words = np.concatenate(words)
-        vocabulary, tokens = np.unique(words, return_inverse=True)
+        every = np.concatenate(words)
+        words.clear()
+        vocabulary, tokens = np.unique(every, return_inverse=True)
+        every, tokens = None, tokens.astype("<i4")
         train = np.repeat(~np.array(held, bool), sizes)
         counts = np.bincount(tokens[train], minlength=len(vocabulary))
         return pa.record_batch([
             pa.array([number]), pa.array([docs], pa.list_(pa.int64())), pa.array([held], pa.list_(pa.bool_())),
-            pa.array([sizes], pa.list_(pa.int64())), pa.array([tokens.astype("<i4").tobytes()], pa.binary()),
+            pa.array([sizes], pa.list_(pa.int64())), pa.array([tokens.tobytes()], pa.binary()),
             pa.array([vocabulary.tobytes()], pa.binary()), pa.array([counts.astype("<i8").tobytes()], pa.binary())],
             names=["block", "docs", "held", "sizes", "tokens", "vocabulary", "counts"])
 
@@ -105,7 +107,19 @@ def place(vocabulary: np.ndarray, words: np.ndarray) -> np.ndarray:
     """The place of each word in the sorted ``words``, -1 if it is none of them."""
     at = np.searchsorted(words, vocabulary)
     at[at == len(words)] = 0
-    return np.where(words[at] == vocabulary, at, -1) if len(words) else np.full(len(vocabulary), -1)
+    return (np.where(words[at] == vocabulary, at, -1) if len(words) else np.full(len(vocabulary), -1)).astype(np.int32)
+
+
+def token_classes(b: Block, words: np.ndarray, classes: np.ndarray):
+    """Of a block's training tokens: their places in its vocabulary and in ``words``, and their class and those on
+    the left and right, in small types (a block has millions of tokens)."""
+    train = b.train()
+    tokens = b.tokens[train]
+    word = place(b.vocabulary, words)[tokens]
+    small = np.append(classes, CLASSES - 1).astype(np.uint8)  # -1: a word not placed yet
+    cls = small[word]
+    edge = np.zeros(1, np.uint8)
+    return tokens, word, cls, np.concatenate((edge, cls[:-1])), np.concatenate((cls[1:], edge))
 
 
 def neighbour_classes(words: np.ndarray, classes: np.ndarray):
@@ -113,16 +127,12 @@ def neighbour_classes(words: np.ndarray, classes: np.ndarray):
     def run(batches):
         total = np.zeros((len(words), 2 * CLASSES), np.int64)
         for b in blocks_of(batches):
-            at = place(b.vocabulary, words)
-            train = b.train()
-            word = at[b.tokens][train]
-            cls = np.where(word >= 0, classes[word], CLASSES - 1)
-            left = np.concatenate(([0], cls[:-1]))
-            right = np.concatenate((cls[1:], [0]))
+            _, word, _, left, right = token_classes(b, words, classes)
             known = word >= 0
+            word, left, right = word[known] * np.int32(CLASSES), left[known], right[known]
             size = len(words) * CLASSES
-            total[:, :CLASSES] += np.bincount(word[known] * CLASSES + left[known], minlength=size).reshape(-1, CLASSES)
-            total[:, CLASSES:] += np.bincount(word[known] * CLASSES + right[known], minlength=size).reshape(-1, CLASSES)
+            for near, cols in ((left, slice(0, CLASSES)), (right, slice(CLASSES, 2 * CLASSES))):
+                total[:, cols] += np.bincount(word + near, minlength=size).reshape(-1, CLASSES)
         some = np.flatnonzero(total.any(axis=1))
         yield pa.record_batch([pa.array(some.astype(np.int32)), pa.array([total[k].astype("<i8").tobytes() for k in some], pa.binary())],
                               names=["word", "sums"])
@@ -171,18 +181,19 @@ def exchanged(near: np.ndarray, classes: np.ndarray, turn: int) -> np.ndarray:
 def votes(words: np.ndarray, classes: np.ndarray, between: np.ndarray):
     """Per block: every word with its training count and the class that most of its occurrences vote for.
     Frequent words vote for their own class. ``between[a, b]`` is the likeliest class from a to b."""
+    likeliest = between.astype(np.uint8)
+
     def run(batches):
         for b in blocks_of(batches):
-            at = place(b.vocabulary, words)
-            train = b.train()
-            tokens = b.tokens[train]
-            word = at[tokens]
-            cls = np.where(word >= 0, classes[word], CLASSES - 1)
-            left = np.concatenate(([0], cls[:-1]))
-            right = np.concatenate((cls[1:], [0]))
-            cast = np.where(word >= 0, cls, between[left, right])
-            key, n = np.unique(tokens.astype(np.int64) * CLASSES + cast, return_counts=True)
-            voter, choice = key // CLASSES, key % CLASSES
+            tokens, word, cls, left, right = token_classes(b, words, classes)
+            cast = np.where(word >= 0, cls, likeliest[left, right])
+            key = tokens.astype(np.int64)
+            key *= CLASSES
+            key += cast
+            key.sort()
+            start = np.flatnonzero(np.concatenate((np.ones(min(1, len(key)), bool), key[1:] != key[:-1])))
+            n = np.diff(np.append(start, len(key)))
+            voter, choice = key[start] // CLASSES, key[start] % CLASSES
             silent = np.flatnonzero(b.counts == 0)
             ids = np.concatenate((b.vocabulary[voter], b.vocabulary[silent])).view("<i8")
             yield pa.record_batch([
