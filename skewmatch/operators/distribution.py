@@ -16,6 +16,9 @@ from skewmatch.functions.keys import resolve_key, source_partition
 from skewmatch.operators.ordinal import ordinal, positions
 
 
+PAIRS = "decimal(38,0)"  # pair counts, which outgrow a LONG from 4.3e9 entities in a block
+
+
 def keyed_entities(entities: DataFrame, key="prefix", parts: int = 4, id_col: str = "id",
                    text_col: str = "text", part_col: Column | None = None) -> DataFrame:
     """``(id, text, block, part)``: the blocking key and the source partition.
@@ -34,10 +37,12 @@ def keyed_entities(entities: DataFrame, key="prefix", parts: int = 4, id_col: st
 
 
 def comparisons(n: Column) -> Column:
-    """``n(n-1)/2`` in integer arithmetic."""
-    # one of n and n - 1 is even: halving it first keeps the product half as large
+    """``n(n-1)/2``, exact for every LONG ``n``."""
+    # one of n and n - 1 is even: halve that one first
     n = n.cast("long")
-    return F.when(n % 2 == 0, F.shiftright(n, 1) * (n - 1)).otherwise(n * F.shiftright(n - 1, 1))
+    even = n % 2 == 0
+    return (F.when(even, F.shiftright(n, 1)).otherwise(F.shiftright(n - 1, 1)).cast(PAIRS)
+            * F.when(even, n - 1).otherwise(n).cast(PAIRS)).cast(PAIRS)
 
 
 def block_partition_counts(keyed: DataFrame) -> DataFrame:
@@ -88,12 +93,13 @@ def block_totals(sizes: DataFrame, reducers: int) -> DataFrame:
     ``target = ceil(total_comps / reducers)``, the comparisons each reducer
     should get.
     """
-    total = F.coalesce(F.sum("comps"), F.lit(0)).cast("long")
+    total = F.coalesce(F.sum("comps"), F.lit(0)).cast(PAIRS)
+    above = F.col("total_comps") + F.col("reducers") - 1
     return (sizes.agg(F.count(F.lit(1)).alias("n_blocks"),
                       F.coalesce(F.sum("n"), F.lit(0)).cast("long").alias("n_entities"),
                       total.alias("total_comps"))
                  .withColumn("reducers", F.lit(reducers).cast("long"))
-                 .withColumn("target", F.expr("(total_comps + reducers - 1) div reducers")))
+                 .withColumn("target", ((above - above % F.col("reducers")) / F.col("reducers")).cast(PAIRS)))
 
 
 def with_totals(df: DataFrame, totals: DataFrame) -> DataFrame:

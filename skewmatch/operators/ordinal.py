@@ -1,9 +1,8 @@
-"""Positions and running sums without a single-task window.
+"""Ranks and positions without a single-task window.
 
 Two tools:
 
-* :func:`ordinal` / :func:`running_sum` give a rank (or running sum) in a
-  total order, for tables of aggregated size (one row per block or per
+* :func:`ordinal` gives a rank in a total order, for tables of aggregated size (one row per block or per
   task). The rows are range-partitioned and sorted and get a row id that
   holds the partition number; each partition counts its rows; a table with
   one row per partition gives the offsets. Range bounds come from sampling,
@@ -68,18 +67,6 @@ def ordinal(df: DataFrame, order: list, name: str = "ordinal",
                   .drop("_rid", "_pid", "_local", "_offset"))
 
 
-def running_sum(df: DataFrame, order: list, value: str, name: str = "running",
-                partitions: int | None = None) -> DataFrame:
-    """Add the sum of ``value`` over all rows strictly before each row."""
-    tagged = _sorted_tagged(df, order, partitions)
-    offsets = _offsets(tagged, F.col(value))
-    inside = Window.partitionBy("_pid").orderBy("_local").rowsBetween(Window.unboundedPreceding, -1)
-    return (tagged.withColumn("_inside", F.coalesce(F.sum(value).over(inside), F.lit(0)))
-                  .join(F.broadcast(offsets), "_pid")
-                  .withColumn(name, (F.col("_offset") + F.col("_inside")).cast("long"))
-                  .drop("_rid", "_pid", "_local", "_offset", "_inside"))
-
-
 def positions(df: DataFrame, group: list[str], order: str | list[str], name: str = "pos",
               partitions: int | None = None) -> DataFrame:
     """0-based position of each row in its group, by ``order`` (one column or several).

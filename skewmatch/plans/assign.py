@@ -36,6 +36,7 @@ def _dealer(reducers: int, piece: int = 100_000):
         heap = [(0, r) for r in range(reducers)]
         for batch in batches:
             for comps, first, k in zip(batch["comps"].tolist(), batch["first"].tolist(), batch["k"].tolist()):
+                comps = int(comps)
                 for start in range(0, k, piece):
                     picks = []
                     for _ in range(min(piece, k - start)):
@@ -58,5 +59,5 @@ def assign_reducers(tasks: DataFrame, reducers: int, key: list[str]) -> DataFram
 
 def reducer_load(assigned: DataFrame) -> DataFrame:
     """Comparisons and tasks per reducer: ``(reducer, comps, tasks)``."""
-    return assigned.groupBy("reducer").agg(F.sum("comps").cast("long").alias("comps"),
+    return assigned.groupBy("reducer").agg(F.sum("comps").alias("comps"),
                                            F.count(F.lit(1)).alias("tasks"))

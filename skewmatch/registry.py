@@ -150,7 +150,7 @@ def q_block_partition_counts(spark, d):
 
 def q_block_distribution_matrix(spark, d):
     bdm = dist.block_distribution_matrix(dist.block_partition_counts(_keyed_docs(spark, d)))
-    return bdm.select("block", F.col("n").cast("long").alias("n"), "comps",
+    return bdm.select("block", F.col("n").cast("long").alias("n"), F.col("comps").cast("long").alias("comps"),
                       dist.sizes_text(F.col("sizes")).alias("sizes"))
 
 
@@ -165,17 +165,17 @@ def q_block_index(spark, d):
 
 
 def q_block_sizes(spark, d):
-    return _long(dist.block_sizes(dist.block_partition_counts(_keyed_docs(spark, d))), "n")
+    return _long(dist.block_sizes(dist.block_partition_counts(_keyed_docs(spark, d))), "n", "comps")
 
 
 def q_block_totals(spark, d):
     sizes = dist.block_sizes(dist.block_partition_counts(_keyed_docs(spark, d)))
-    return _long(dist.block_totals(sizes, REDUCERS), "n_blocks")
+    return _long(dist.block_totals(sizes, REDUCERS), "n_blocks", "total_comps", "target")
 
 
 def q_oversized_blocks(spark, d):
     stats = _stats_docs(spark, d)
-    return _long(dist.oversized_blocks(stats).select("block", "n", "comps", "target"), "n")
+    return _long(dist.oversized_blocks(stats).select("block", "n", "comps", "target"), "n", "comps", "target")
 
 
 def q_block_members(spark, d):
@@ -199,36 +199,36 @@ def _split_assigned(spark, d):
 
 
 def q_split_plan(spark, d):
-    return _long(split_plan(_stats_docs(spark, d)), "i", "j")
+    return _long(split_plan(_stats_docs(spark, d)), "i", "j", "comps")
 
 
 def q_slice_size(spark, d):
     stats = _stats_docs(spark, d)
-    return _long(stats.select("block", "n", "target", slice_size(F.col("n"), F.col("target")).alias("u")), "n")
+    return _long(stats.select("block", "n", "target", slice_size(F.col("n"), F.col("target")).alias("u")), "n", "target")
 
 
 def q_slice_cost(spark, d):
     stats = _stats_docs(spark, d)
     u = slice_size(F.col("n"), F.col("target"))
-    return _long(stats.select("block", "n", u.alias("u"), slice_cost(F.col("n").cast("long"), u).alias("comps")), "n")
+    return _long(stats.select("block", "n", u.alias("u"), slice_cost(F.col("n").cast("long"), u).alias("comps")), "n", "comps")
 
 
 def q_slice_plan(spark, d):
-    return _long(slice_plan(_stats_docs(spark, d)), "slice")
+    return _long(slice_plan(_stats_docs(spark, d)), "slice", "comps")
 
 
 def q_tasks_by_cost(spark, d):
-    return _long(tasks_by_cost(split_plan(_stats_docs(spark, d)), SPLIT_KEY), "i", "j")
+    return _long(tasks_by_cost(split_plan(_stats_docs(spark, d)), SPLIT_KEY), "i", "j", "comps")
 
 
 def q_assign_reducers(spark, d):
     _, assigned = _split_assigned(spark, d)
-    return _long(assigned, "i", "j", "reducer")
+    return _long(assigned, "i", "j", "reducer", "comps")
 
 
 def q_reducer_load(spark, d):
     _, assigned = _split_assigned(spark, d)
-    return _long(reducer_load(assigned), "reducer")
+    return _long(reducer_load(assigned), "reducer", "comps")
 
 
 # --- 2.5 routing ----------------------------------------------------------------
@@ -264,7 +264,7 @@ def q_plan_lookup(spark, d):
     looked = plan_lookup(keyed, info, stats)
     n_tasks = F.when(F.col("tasks").isNull(), 0).otherwise(F.size("tasks")).alias("n_tasks")
     return _long(_fields(looked.select("id", "block", "part", "n", "comps", "oversized", n_tasks)),
-                 "part", "n", "n_tasks")
+                 "part", "n", "n_tasks", "comps")
 
 
 # --- 2.6 matchers ---------------------------------------------------------------
@@ -326,12 +326,12 @@ def _slice_assigned(spark, d):
 
 def q_assign_reducers_slices(spark, d):
     _, assigned = _slice_assigned(spark, d)
-    return _long(assigned, "slice", "reducer")
+    return _long(assigned, "slice", "reducer", "comps")
 
 
 def q_reducer_load_slices(spark, d):
     _, assigned = _slice_assigned(spark, d)
-    return _long(reducer_load(assigned), "reducer")
+    return _long(reducer_load(assigned), "reducer", "comps")
 
 
 QUERIES = {

@@ -70,7 +70,7 @@ def test_greedy_is_balanced_and_exact(spark, sf_dir):
     got = {(r.block, r.i, r.j): r.reducer for r in assigned.collect()}
     assert got == want
     load = {r.reducer: r.comps for r in reducer_load(assigned).collect()}
-    assert max(load.values()) <= stats.first().target * 1.05
+    assert max(load.values()) <= float(stats.first().target) * 1.05
 
 
 def test_greedy_of_many_tasks(spark):
@@ -137,3 +137,11 @@ def test_slice_size_exact_for_huge_blocks(spark):
         assert u + 1 > n - 1 or Decimal(u + 1) * (b - u - 1) > 2 * t
     # the first slice of the fixture block (114 entities, target 2,294) takes 22
     assert got[(114, 2294)] == 22 and got[(92, 2294)] == 29
+
+
+def test_pair_counts_of_huge_blocks(spark):
+    sizes = [3 * 10**9 + 1, 10**12, 7, 1]
+    counts = spark.createDataFrame([("b%d" % i, 0, n) for i, n in enumerate(sizes)], "block string, part int, size long")
+    totals = dist.block_totals(dist.block_sizes(counts), 3).first()
+    want = sum(n * (n - 1) // 2 for n in sizes)
+    assert (int(totals.total_comps), int(totals.target)) == (want, -(-want // 3))
