@@ -152,9 +152,9 @@ def word_hashes(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarr
 def shingle_hashes(words: np.ndarray, before: np.ndarray, size: int) -> list[np.ndarray]:
     """Per row the sorted distinct hashes of its ``size``-word shingles; a row with fewer words has its
     whole sequence as one, a row without words none."""
-    total = np.zeros(max(0, len(words) - size + 1), np.uint64)
+    total = np.zeros(max(0, len(words) - size + 1), np.uint64)  # none if all rows together have too few words
     for k in range(size):
-        total += words[k:len(words) - size + 1 + k] * _COEF[k]
+        total += words[k:k + len(total)] * _COEF[k]
     total = mix64(total)
     out = []
     for a, b in zip(before[:-1].tolist(), before[1:].tolist()):

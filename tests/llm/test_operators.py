@@ -13,6 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from skewmatch.llm import brown, exact, fingerprint, licenses, minhash, mixing, packing, quality, secrets, suffix
+from skewmatch.llm.common import shingle_hashes, word_hashes
 from skewmatch.llm.components import components
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, kept string, node int, row int, _slot string"
@@ -138,6 +139,22 @@ def test_fingerprints(docs, rows):
     assert same[0] == same[1]
 
 
+@pytest.mark.parametrize("size", [4, 5])
+def test_batches_with_fewer_words_than_a_shingle(size):
+    for texts in (["a"], ["a b", ""], ["a b c"], ["a", "a b"], [""], ["x y z w", "x y z w v"]):
+        off = np.cumsum([0, *(len(t) for t in texts)])
+        data = np.frombuffer("".join(texts).encode(), np.uint8)
+        found = shingle_hashes(*word_hashes(data, off), size)
+        assert [len(s) for s in found] == [len(_shingles(t, size)) for t in texts]
+
+
+def test_fingerprints_of_short_texts_tell_them_apart():
+    rng = random.Random(8)
+    prints = fingerprint.fingerprints([_prose(rng, 5) for _ in range(200)])
+    assert max(fingerprint.likeness(a, b) for a, b in zip(prints, prints[1:])) < 0.1
+    assert fingerprint.fingerprints(["one two", "ONE  two"])[0] == fingerprint.fingerprints(["one\ttwo"])[0]
+
+
 def test_packing(docs, rows):
     import public_tokenizers
     from tokenizers import Tokenizer
