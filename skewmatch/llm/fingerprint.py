@@ -2,7 +2,8 @@
 
 A text's five-word shingles are hashed once; the high part of a hash chooses one of ``BINS`` bins, and each bin
 keeps its minimum. An empty bin borrows from the first non-empty one along its own universal-hash sequence (optimal
-densification), so equal texts have equal bins. ``BITS`` low bits of each bin are packed as hex. The share of equal bins is
+densification), so equal texts have equal bins. Each bin's value is hashed once more with the bin's number: bins that
+borrowed one shingle then agree by chance independently, which matters for short texts. ``BITS`` low bits of each bin are packed as hex. The share of equal bins is
 corrected for the 2**-BITS that agree by chance.
 """
 
@@ -21,6 +22,7 @@ from skewmatch.llm.common import id_text, mix64, partitions, shingle_hashes, wor
 BINS, BITS, SHINGLE = 512, 4, 5
 TRIES = 512
 _EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
+_SALT = mix64(np.arange(1, BINS + 1, dtype=np.uint64))
 
 
 @lru_cache(maxsize=3)
@@ -30,8 +32,6 @@ def probes(tries: int) -> np.ndarray:
     return (mix64(grid) % np.uint64(BINS)).astype(np.int32)
 
 
-
-
 def bins(shingles: np.ndarray) -> np.ndarray | None:
     """The densified minima of a shingle set, null if it is empty."""
     if not len(shingles):
@@ -55,7 +55,7 @@ def bins(shingles: np.ndarray) -> np.ndarray | None:
             source[todo[hit]] = table[todo[hit], done + seen[hit].argmax(axis=1)]
             todo, done, wide = todo[~hit], done + wide, max(1, done + wide)
         low[empty] = low[source[empty]]
-    return low
+    return mix64(low ^ _SALT)
 
 
 def packed(low: np.ndarray | None) -> str:
