@@ -118,8 +118,8 @@ def scan_licenses(docs: DataFrame, path: Column, stands: Column | None = None, i
                   templates: dict | None = None, threshold: float = 0.8) -> DataFrame:
     """``doc_id, path, license, cosine, n_statements, inherited, inherited_from, effective`` per input row.
 
-    ``path`` is an expression over ``docs``; ``stands`` one over ``path`` and ``first_line`` (line number of the first statement)
-    that says which files license their directory (by default: named like a licence file). A null or empty text
+    ``path`` is an expression over ``docs``; ``stands`` one over ``doc_id``, ``path`` and ``first_line`` (line number of the
+    first statement) that says which files with a licence license their directory (by default: named like a licence file). A null or empty text
     has no statement, a null path no directory; ties go to the licence that sorts first; repeated rows
     are files of their own; an empty table gives no rows; other columns are ignored. The template words' document counts
     (a fixed number of rows) reach the driver.

@@ -33,11 +33,11 @@ def op6_quality_classifier(spark, sf_dir):
 
 
 def op7_license_scan(spark, sf_dir):
-    """Documents as files: every fifth in ``source/lang``, the others in one of 16 folders below. A document that opens
-    with a statement licenses its directory."""
+    """Documents as files: every fifth in ``source/lang``, the others in one of 16 folders below. Of the documents with a
+    statement, wherever it stands, those with an even id license their directory."""
     folder = F.when(F.col("doc_id") % 5 != 0, F.concat(F.lit("d"), F.pmod("doc_id", F.lit(16)).cast("string")))
     path = F.concat_ws("/", "source", "lang", folder, F.concat(F.col("doc_id").cast("string"), F.lit(".txt")))
-    return licenses.scan_licenses(documents(spark, sf_dir), path, stands=F.col("first_line") == 0)
+    return licenses.scan_licenses(documents(spark, sf_dir), path, stands=F.pmod("doc_id", F.lit(2)) == 0)
 
 
 def op8_secret_scan(spark, sf_dir):

@@ -225,6 +225,24 @@ def test_licenses(spark):
                    4: (None, None, None), 5: (None, None, None), 6: (None, None, None)}
 
 
+def test_license_query_inherits_as_brute_force(spark, sf_dir):
+    from skewmatch.llm.queries import op7_license_scan
+
+    got = op7_license_scan(spark, sf_dir).collect()
+    folder = {r.path: r.path.rpartition("/")[0] for r in got}
+    given = {}
+    for r in sorted(got, key=lambda r: r.path):
+        if r.license and r.doc_id % 2 == 0:
+            given.setdefault(folder[r.path], r.license)
+    for r in got:
+        at, above = None, folder[r.path].split("/")
+        while not r.license and above and at is None:
+            at = "/".join(above) if "/".join(above) in given else None
+            above.pop()
+        assert (r.inherited, r.inherited_from, r.effective) == (given.get(at), at, r.license or given.get(at))
+    assert sum(r.inherited is not None for r in got) > 0
+
+
 def test_secrets():
     text = 'password=abcdefgh1 AKIAABCDEFGHIJKL deadbeef' + "0" * 24 + ' token = "short"'
     assert [(k, text[a:b]) for a, k, b in secrets.spans(text) if k < 3] == [
