@@ -29,8 +29,8 @@ PIECE = ", ".join(f"{c} long" for c in COLUMNS) + ", ids binary, part long"
 
 @lru_cache(maxsize=2)
 def encoder(path: str):
-    """The byte-level BPE of a tokenizer file (``.json``): its vocabulary run by tiktoken, whose ids are the same
-    (tests compare them) at a third of the time. ``.tiktoken`` rank files are read as they are."""
+    """The byte-level BPE of a tokenizer file (``.json``): its vocabulary and added tokens run by tiktoken, whose ids are
+    the same (tests compare them) at a third of the time. ``.tiktoken`` rank files are read as they are."""
     import public_tokenizers
     import tiktoken
 
@@ -42,12 +42,13 @@ def encoder(path: str):
         byte_of = {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(x for x in range(256) if x not in plain)}
         with open(path, encoding="utf-8") as f:
             data = json.load(f)
-        special = {t["content"] for t in data.get("added_tokens", [])}
+        special = {t["content"]: t["id"] for t in data.get("added_tokens", [])}
         ranks = {bytes(byte_of[c] for c in t): i for t, i in data["model"]["vocab"].items() if t not in special}
     else:
+        special = {}
         with open(path, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    return tiktoken.Encoding("pack", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    return tiktoken.Encoding("pack", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=special)
 
 
 class Packer:
@@ -127,7 +128,7 @@ def pack_texts(path: str, end: int, windows: int):
         packer = Packer(0, TaskContext.get().partitionId(), windows)
         for batch in batches:
             for doc, text in zip(batch["doc_id"].to_pylist(), batch["text"]):
-                ids = np.append(encode.encode_to_numpy(text.as_py(), disallowed_special=()), [end]).astype("<u4")
+                ids = np.append(encode.encode_to_numpy(text.as_py(), allowed_special="all"), [end]).astype("<u4")
                 packer.add(doc, 0, ids, len(ids))
             yield packer.batch()
         packer.leave()

@@ -174,6 +174,18 @@ def test_packing(docs, rows):
     assert all(n <= 2048 and n & (n - 1) == 0 for n in size)
 
 
+def test_packing_of_texts_with_added_tokens(spark):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    own = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    end = "<|endoftext|>"
+    texts = [f"a {end} b", end, end * 3, f"x{end}y", f" {end}\n\n{end} z", "<|endoftext|", f"<{end}>", f"é  {end}  9", "none", f"word {end} " * 2000]
+    ids = {k: np.array([*own.encode(t, add_special_tokens=False).ids, 1], "<u4") for k, t in enumerate(texts)}
+    for r in packing.pack(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect():
+        assert (r.doc_tokens, r.ids_crc32) == (len(ids[r.doc_id]), zlib.crc32(ids[r.doc_id][r.start:r.start + r.length].tobytes()))
+
+
 def test_language_scores(docs, rows):
     got = {r.doc_id: r for r in brown.language_scores(docs, share=1e-3, sweeps=3, block_tokens=700).collect()}
     tokens = {r[0]: [*WORD.findall((r[1] or "").translate(LOWER)), None] for r in rows}
