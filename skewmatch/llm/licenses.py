@@ -1,11 +1,13 @@
-"""Licence scans: sparse TF-IDF cosine of text lines to licence templates, then inheritance from directories.
-
-Every line of every text is a possible statement. Inverse document frequencies of the template words are counted over all
-texts; a word that no template uses weighs like one seen in no text. A line is scored if it has one of the
-templates' leading words: without any of them its cosine cannot reach the threshold (the other words' share of a
-template's squared weight is below its square), so nothing is lost. A file's licence is its best statement; a file without
-one inherits from the nearest ancestor directory that holds a licence file, by joins on directory paths.
-Only DataFrame functions are used.
+"""Licence scans: sparse TF-IDF cosine of parts of texts to licence templates, then inheritance from directories.
+
+Every word's inverse document frequency is counted over all texts. The parts of a text are its lines, every run of as
+many words as a statement template has (across line ends, at each word), and the whole text; the first two are compared
+with the statements, the whole also with full licence texts. Runs are pruned by an upper bound of their cosine from sliding
+sums (repeated words only make a norm larger); what passes is scored exactly. A text is looked at if it has one of the
+statements' leading words, or one of the full texts' rarest ones: without any of them no part's cosine can reach
+the threshold (the other words' share of a template's squared weight is below its square), so nothing is lost. A file's licence is the full text that it is, or else
+its best statement; a file without one inherits from the nearest ancestor directory that holds a licence file, by joins on
+directory paths. Only DataFrame functions are used.
 """
 
 from __future__ import annotations
@@ -13,8 +15,10 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from skewmatch.llm.common import hot_join, written
@@ -28,13 +32,17 @@ TEMPLATES = {
     "CC-BY-4.0": ["Licensed under CC BY 4.0.", "This work is licensed under a Creative Commons Attribution 4.0 International License."],
     "CC-BY-NC-4.0": ["Licensed under CC BY-NC 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."],
     "CC-BY-SA-4.0": ["Licensed under CC BY-SA 4.0.", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."],
-    "GPL-2.0": ["This work is licensed under the GNU General Public License, version 2.", "SPDX-License-Identifier: GPL-2.0-only"],
-    "GPL-3.0": ["This work is licensed under the GNU General Public License, version 3.", "SPDX-License-Identifier: GPL-3.0-only"],
+    "GPL-2.0": ["This work is licensed under the GNU General Public License, version 2.", "SPDX-License-Identifier: GPL-2.0-only",
+                "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version."],
+    "GPL-3.0": ["This work is licensed under the GNU General Public License, version 3.", "SPDX-License-Identifier: GPL-3.0-only",
+                "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."],
     "LGPL-3.0": ["This work is licensed under the GNU Lesser General Public License, version 3."],
-    "MIT": ["Released under the MIT License.", "Licensed under the MIT License.", "SPDX-License-Identifier: MIT",
+    "MIT": ["The MIT License (MIT)", "Released under the MIT License.", "Licensed under the MIT License.", "SPDX-License-Identifier: MIT",
             "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"],
     "MPL-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."],
 }
+#: Full licence texts by SPDX identifier.
+FULL = {p.stem: [p.read_text(encoding="utf-8")] for p in sorted((Path(__file__).parent / "licence_texts").glob("*.txt"))}
 LICENCE_FILE = r"(?i)(^|/)(licen[sc]e|copying|notice)([.-][^/]*)?$"
 _BREAK = "[^a-z0-9]+"
 
@@ -54,12 +62,13 @@ def weights(templates: dict, idf: dict[str, float]) -> list[tuple[str, dict[str,
     return out
 
 
-def leading(vectors: list[tuple[str, dict[str, float]]], threshold: float) -> list[str]:
-    """Words such that a line without any of them has a cosine below ``threshold`` to every template."""
+def leading(vectors: list[tuple[str, dict[str, float]]], threshold: float, idf: dict[str, float] | None = None) -> list[str]:
+    """Words such that a part without any of them has a cosine below ``threshold`` to every template: of each template
+    those with the largest weights, or with ``idf`` the rarest ones."""
     out = set()
     for _, vector in vectors:
         rest = 1.0
-        for term, weight in sorted(vector.items(), key=lambda x: (-x[1], x[0])):
+        for term, weight in sorted(vector.items(), key=lambda x: (-(idf[x[0]] if idf else x[1]), x[0])):
             if rest < threshold * threshold - 1e-9:
                 break
             out.add(term)
@@ -67,29 +76,59 @@ def leading(vectors: list[tuple[str, dict[str, float]]], threshold: float) -> li
     return sorted(out)
 
 
+def has_any(text: Column, terms: list[str]) -> Column:
+    return F.lower(text).rlike("(?<![a-z0-9])(?:" + "|".join(terms) + ")(?![a-z0-9])")
+
+
 def line_words(line: Column) -> Column:
     return F.filter(F.split(F.lower(line), _BREAK), lambda w: w != "")
 
 
-def statements(files: DataFrame, vectors, idf: dict[str, float], other: float, threshold: float) -> DataFrame:
-    """``(file, line_no, license, cosine)`` of the lines of ``files`` (``file, lines``) that reach the threshold."""
-    spark = files.sparkSession
-    terms = spark.createDataFrame([(t, float(x)) for t, x in idf.items()], "term string, idf double")
-    table = spark.createDataFrame([(k, name, t, float(x)) for k, (name, v) in enumerate(vectors) for t, x in v.items()],
-                                  "template int, license string, term string, weight double")
-    counted = (files.select("file", F.explode("lines").alias("at")).select("file", "at.line_no", F.explode(line_words(F.col("at.line"))).alias("term"))
-               .groupBy("file", "line_no", "term").agg(F.count(F.lit(1)).alias("tf"))
-               .join(F.broadcast(terms), "term", "left")  # as many rows as the templates have words
-               .withColumn("value", F.col("tf") * F.coalesce("idf", F.lit(other))))
-    lines = counted.groupBy("file", "line_no").agg(
-        F.sqrt(F.sum(F.col("value") * F.col("value"))).alias("norm"),
-        F.collect_list(F.when(F.col("idf").isNotNull(), F.struct("term", "value"))).alias("known"))
-    dots = (lines.select("file", "line_no", "norm", F.explode("known").alias("k")).select("file", "line_no", "norm", "k.term", "k.value")
-            .join(F.broadcast(table), "term").groupBy("file", "line_no", "template", "license")
-            .agg((F.sum(F.col("value") * F.col("weight")) / F.first("norm")).alias("cosine")))
-    best = dots.filter(F.col("cosine") >= threshold).groupBy("file", "line_no").agg(
-        F.min(F.struct((-F.round("cosine", 9)).alias("down"), "license")).alias("best"))
-    return best.select("file", "line_no", F.col("best.license").alias("license"), (-F.col("best.down")).alias("cosine"))
+def runs(valued: DataFrame, vectors, threshold: float) -> DataFrame:
+    """``(file, start, words)`` of the runs of words that may reach the threshold, each as long as a statement.
+
+    ``valued``: ``file, pos, term, idf`` per word. The dot product and a lower bound of the squared norm are sliding sums."""
+    spark = valued.sparkSession
+    terms = sorted({t for _, _, v in vectors for t in v})
+    table = spark.createDataFrame([(t, [float(v.get(t, 0.0)) for _, _, v in vectors]) for t in terms], "term string, weights array<double>")
+    ordered = Window.partitionBy("file").orderBy("pos")
+    tests = []
+    for k, (_, n, _) in enumerate(vectors):
+        frame = ordered.rowsBetween(0, n - 1)
+        dot = F.sum(F.coalesce(F.col("weights")[k], F.lit(0.0)) * F.col("idf")).over(frame)
+        norm = F.sum(F.col("idf") * F.col("idf")).over(frame)
+        tests.append(F.when(dot >= (threshold - 1e-9) * F.sqrt(norm), F.lit(n)))
+    return (valued.join(F.broadcast(table), "term", "left").select("file", F.col("pos").alias("start"), F.array(*tests).alias("tests"))
+            .select("file", "start", F.explode(F.array_distinct(F.filter("tests", lambda x: x.isNotNull()))).alias("words")))
+
+
+def statements(valued: DataFrame, statement_vectors, full_vectors, threshold: float) -> DataFrame:
+    """``(file, full, start, stop, line_no, license, cosine)`` of the parts that reach the threshold, from ``valued``: ``file,
+    near, pos, line_no, term, idf`` per word (``near``: its file has a leading word of a statement)."""
+    spark = valued.sparkSession
+    sized = [(name, sum(1 for _ in words(text)), v) for (name, v), text in statement_vectors]
+    table = spark.createDataFrame(
+        [(k, name, full, t, float(x)) for k, (name, full, v) in enumerate(
+            [(name, False, v) for (name, v), _ in statement_vectors] + [(name, True, v) for (name, v), _ in full_vectors])
+         for t, x in v.items()], "template int, license string, full boolean, term string, weight double")
+    near = valued.filter("near")
+    found = written(runs(near, sized, threshold))
+    reach = found.select("file", "start", "words", F.explode(F.sequence("start", F.col("start") + F.col("words") - 1)).alias("pos"))
+    parts = (reach.join(near, ["file", "pos"]).select("file", F.lit(2).alias("kind"), F.struct("start", "words").alias("part"), "pos", "line_no", "term", "idf")
+             .unionByName(near.select("file", F.lit(1).alias("kind"), F.struct(F.col("line_no").alias("start"), F.lit(0).alias("words")).alias("part"), "pos", "line_no", "term", "idf"))
+             .unionByName(valued.select("file", F.lit(0).alias("kind"), F.struct(F.lit(0).alias("start"), F.lit(0).alias("words")).alias("part"), "pos", "line_no", "term", "idf")))
+    part = ["file", "kind", "part"]
+    counted = parts.groupBy(*part, "term").agg((F.count(F.lit(1)) * F.first("idf")).alias("value"), F.min("pos").alias("first"),
+                                               F.max("pos").alias("last"), F.min("line_no").alias("line_no"))
+    known = table.groupBy("term").agg(F.collect_list(F.struct("template", "license", "full", "weight")).alias("uses"))
+    norms = counted.join(F.broadcast(known), "term", "left").groupBy(*part).agg(
+        F.sqrt(F.sum(F.col("value") * F.col("value"))).alias("norm"), F.min("first").alias("start"), (F.max("last") + 1).alias("stop"),
+        F.min("line_no").alias("line_no"), F.collect_list(F.when(F.col("uses").isNotNull(), F.struct("value", "uses"))).alias("known"))
+    dots = (norms.select(*part, "norm", "start", "stop", "line_no", F.explode("known").alias("k"))
+            .select(*part, "norm", "start", "stop", "line_no", "k.value", F.explode("k.uses").alias("use")).filter("kind = 0 or not use.full")
+            .groupBy(*part, "start", "stop", "line_no", "use.template", "use.license", "use.full")
+            .agg((F.sum(F.col("value") * F.col("use.weight")) / F.first("norm")).alias("cosine")))
+    return dots.filter(F.col("cosine") >= threshold).select("file", "full", "start", "stop", "line_no", "license", F.round("cosine", 9).alias("cosine"))
 
 
 def parent(path: Column) -> Column:
@@ -121,27 +160,37 @@ def scan_licenses(docs: DataFrame, path: Column, stands: Column | None = None, i
     ``path`` is an expression over ``docs``; ``stands`` one over ``doc_id``, ``path`` and ``first_line`` (line number of the
     first statement) that says which files with a licence license their directory (by default: named like a licence file). A null or empty text
     has no statement, a null path no directory; ties go to the licence that sorts first; repeated rows
-    are files of their own; an empty table gives no rows; other columns are ignored. The template words' document counts
-    (a fixed number of rows) reach the driver.
+    are files of their own; an empty table gives no rows; other columns are ignored. ``n_statements`` counts stretches of overlapping
+    finds. The template words' document counts (a fixed number of rows) reach the driver.
     """
-    vocabulary = sorted({w for texts in (templates or TEMPLATES).values() for t in texts for w in words(t)})
+    full = FULL if templates is None else {}
+    templates = TEMPLATES if templates is None else templates
     text = F.coalesce(F.col(text_col), F.lit(""))
     plain = docs.select(F.col(id_col).cast("long").alias("doc_id"), path.cast("string").alias("path"), text.alias("text"))
     total = plain.count()
-    seen = {r["term"]: r["n"] for r in plain.select(F.explode(F.array_intersect(
-        F.split(F.lower("text"), _BREAK), F.array(*map(F.lit, vocabulary)))).alias("term"))
-        .groupBy("term").agg(F.count(F.lit(1)).alias("n")).collect()}
+    counts = written(plain.select(F.explode(F.array_distinct(line_words(F.col("text")))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n")))
+    vocabulary = sorted({w for group in (templates, full) for texts in group.values() for t in texts for w in words(t)})
+    ours = plain.sparkSession.createDataFrame([(t,) for t in vocabulary], "term string")
+    seen = dict(counts.join(F.broadcast(ours), "term").select("term", "n").collect())
     idf = {t: math.log((1 + total) / (1 + seen.get(t, 0))) + 1 for t in vocabulary}
-    vectors = weights(templates or TEMPLATES, idf)
-    lead = "(?<![a-z0-9])(?:" + "|".join(leading(vectors, threshold)) + ")(?![a-z0-9])"
-    numbered = F.transform(F.split("text", "\n"), lambda x, k: F.struct(k.alias("line_no"), x.alias("line")))
-    files = written(plain.select("doc_id", "path", F.when(F.lower("text").rlike(lead), F.filter(
-        numbered, lambda x: F.lower(x["line"]).rlike(lead))).alias("lines")).withColumn("file", F.monotonically_increasing_id()))
-    found = statements(files.filter("lines is not null"), vectors, idf, math.log(1 + total) + 1, threshold)
-    own = found.groupBy("file").agg(F.min(F.struct((-F.col("cosine")).alias("down"), "line_no", "license")).alias("best"),
-                                    F.count(F.lit(1)).alias("n_statements"), F.min("line_no").alias("first_line"))
+    vectors, full_vectors = ([*zip(weights(group, idf), (t for name in sorted(group) for t in group[name]))] for group in (templates, full))
+    leads = leading([v for v, _ in vectors], threshold)
+    rare = [t for t in leading([v for v, _ in full_vectors], threshold, idf) if t in seen]
+    wanted = F.arrays_overlap(line_words(F.col("text")), F.array(*map(F.lit, rare))) if rare else F.lit(False)
+    files = written(plain.withColumn("near", has_any(F.col("text"), leads)).select(
+        "doc_id", "path", "near", F.when(F.col("near") | wanted, F.col("text")).alias("text"))
+        .withColumn("file", F.monotonically_increasing_id()))
+    at = F.flatten(F.transform(F.split("text", "\n"), lambda x, k: F.transform(line_words(x), lambda w: F.struct(k.alias("line_no"), w.alias("term")))))
+    tokens = written(files.filter("text is not null").select("file", "near", F.posexplode(at).alias("pos", "at")).select("file", "near", "pos", "at.*"))
+    measured = counts.select("term", (F.log((1 + total) / (1 + F.col("n"))) + 1).alias("idf"))
+    valued = written(hot_join(tokens, measured, ["term"]))
+    found = written(statements(valued, vectors, full_vectors, threshold))
+    before = F.max("stop").over(Window.partitionBy("file").orderBy("start", "stop", "license", "full", "cosine").rowsBetween(Window.unboundedPreceding, -1))
+    own = found.withColumn("opens", F.coalesce((F.col("start") >= before).cast("int"), F.lit(1))).groupBy("file").agg(
+        F.min(F.struct((~F.col("full")).alias("part"), (-F.col("cosine")).alias("down"), "start", "license")).alias("best"),
+        F.sum("opens").alias("n_statements"), F.min("line_no").alias("first_line"))
     rule = F.coalesce(F.col("path").rlike(LICENCE_FILE) if stands is None else stands, F.lit(False))
-    marked = written(files.drop("lines").join(own, "file", "left").select(
+    marked = written(files.drop("text", "near").join(own, "file", "left").select(
         "file", "doc_id", "path", parent(F.col("path")).alias("directory"), F.col("best.license").alias("license"),
         (-F.col("best.down")).alias("cosine"), F.coalesce("n_statements", F.lit(0)).cast("long").alias("n_statements"),
         rule.alias("stands")))

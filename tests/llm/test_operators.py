@@ -255,6 +255,39 @@ def test_license_query_inherits_as_brute_force(spark, sf_dir):
     assert sum(r.inherited is not None for r in got) > 0
 
 
+def test_licenses_in_headers_equal_brute_force(spark):
+    rng = random.Random(6)
+    full = licenses.FULL
+    texts = ["Copyright (c) 2020 Jane Doe. Released under the MIT License.", "The MIT License (MIT)", _prose(rng, 30),
+             "// Copyright 2019 Foo Inc. All rights reserved. Licensed under the Apache License, Version 2.0.", _prose(rng, 300), "", None,
+             "This work is licensed under the GNU General Public License, version 3. " + _prose(rng, 90),
+             "# x\n# Licensed under the\n# Apache License,\n# Version 2.0 " + _prose(rng, 9), "the license of nobody " + _prose(rng, 20),
+             "Copyright 2001 A. Person\n\n" + full["MIT"][0], full["GPL-3.0"][0], "\n".join(full["BSD-3-Clause"][0].split()), "a\nb " * 40]
+    parts = {k: licenses.words(t or "") for k, t in enumerate(texts)}
+    count = Counter(w for ws in parts.values() for w in set(ws))
+    idf = lambda t: np.log((1 + len(texts)) / (1 + count[t])) + 1
+
+    def vector(ws):
+        raw = {t: n * idf(t) for t, n in Counter(ws).items()}
+        return {t: x / np.sqrt(sum(y * y for y in raw.values())) for t, x in raw.items()}
+
+    want = {}
+    for k, ws in parts.items():
+        finds = []
+        for group in (full, licenses.TEMPLATES):
+            for name, statements in group.items():
+                for t in statements:
+                    v, n = vector(licenses.words(t)), len(licenses.words(t))
+                    runs = [ws] if group is full else [ws, *(ws[a:a + n] for a in range(len(ws))), *map(licenses.words, (texts[k] or "").split("\n"))]
+                    cosine = max(sum(x * v.get(u, 0) for u, x in vector(r).items()) for r in runs)
+                    finds += [(group is not full, -round(cosine, 6), name)] if cosine >= 0.8 else []
+        want[k] = (min(finds)[2], -min(finds)[1]) if finds else (None, None)
+    table = spark.createDataFrame([(k, str(k), t) for k, t in enumerate(texts)], "doc_id long, p string, text string")
+    got = {r.doc_id: (r.license, r.cosine and round(r.cosine, 6)) for r in licenses.scan_licenses(table, F.col("p")).collect()}
+    assert got == want
+    assert [got[k][0] for k in (0, 1, 3, 7, 8, 10, 11, 12)] == ["MIT", "MIT", "Apache-2.0", "GPL-3.0", "Apache-2.0", "MIT", "GPL-3.0", "BSD-3-Clause"]
+
+
 def test_secrets():
     text = 'password=abcdefgh1 AKIAABCDEFGHIJKL deadbeef' + "0" * 24 + ' token = "short"'
     assert [(k, text[a:b]) for a, k, b in secrets.spans(text) if k < 3] == [
