@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from skewmatch.llm import brown, exact, fingerprint, licenses, minhash, mixing, packing, quality, secrets, suffix
+from skewmatch.llm import (balltree, brown, exact, fingerprint, licenses, merkle, minhash, mixing, nra, packing, quality, secrets,
+                           suffix)
 from skewmatch.llm.common import documents
 
 
@@ -52,7 +53,21 @@ def op10_mixing(spark, sf_dir):
     return mixing.mix(documents(spark, sf_dir))
 
 
+def op11_top_k_search(spark, sf_dir):
+    return nra.top_k(spark.read.parquet(f"{sf_dir.rstrip('/')}/embeddings.parquet"), F.col("vec_id") % 50 == 0)
+
+
+def op12_ranked_search(spark, sf_dir):
+    return balltree.ranked(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir.rstrip('/')}/benchmark.parquet"))
+
+
+def op13_merkle_manifest(spark, sf_dir):
+    return merkle.manifest(documents(spark, sf_dir), tampers=merkle.half_without_newlines())
+
+
 QUERIES = {f.__name__: f for f in (
     op1_minhash_near_dedup, op2_exact_dedup, op3_fingerprints, op4_packing, op5_brown_ngrams, op6_quality_classifier,
-    op7_license_scan, op8_secret_scan, op9_suffix_dedup, op10_mixing)}
-ORACLE = {"op2_exact_dedup": exact.ORACLE}
+    op7_license_scan, op8_secret_scan, op9_suffix_dedup, op10_mixing, op11_top_k_search, op12_ranked_search,
+    op13_merkle_manifest)}
+ORACLE = {"op2_exact_dedup": exact.ORACLE, "op11_top_k_search": nra.ORACLE, "op12_ranked_search": balltree.ORACLE,
+          "op13_merkle_manifest": merkle.ORACLE}
