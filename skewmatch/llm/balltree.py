@@ -17,6 +17,7 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -25,7 +26,7 @@ from skewmatch.llm.common import partitions, written
 TERM = re.compile(rb"[0-9A-Za-z\x80-\xff]+")  # in UTF-8: no ASCII but letters and digits
 SLOTS = 1 << 20
 LEAF = 24
-SHARD = "terms array<binary>, held array<int>, ids binary, sizes binary, starts binary, codes binary, counts binary, texts long, words long"
+SHARD = "terms array<binary>, held array<int>, ids binary, sizes binary, starts binary, codes binary, counts binary, texts long, words long, task int, place int"
 
 
 def terms_of(text: bytes) -> list[bytes]:
@@ -55,6 +56,7 @@ def shards_of(slots: bytes, most_docs: int, most_terms: int):
         known: dict[bytes, int] = {}  # the code of a term in the present shard, -1 if it isn't wanted
         terms: list[bytes] = []
         ids, sizes, codes, counts, starts, texts, words = [], [], [], [], [0], 0, 0
+        place = 0
 
         def shard():
             flat = np.array(codes, np.int32)
@@ -63,10 +65,10 @@ def shards_of(slots: bytes, most_docs: int, most_terms: int):
             row = [terms, held.astype(np.int32).tolist(),
                    (np.array([0 if x is None else x for x in ids], np.int64).tobytes() + missing.tobytes()),
                    np.array(sizes, np.int64).tobytes(), np.array(starts, np.int64).tobytes(), flat.tobytes(),
-                   np.array(counts, np.int32).tobytes(), texts, words]
-            kinds = [pa.list_(pa.binary()), pa.list_(pa.int32())] + [pa.binary()] * 5 + [pa.int64()] * 2
+                   np.array(counts, np.int32).tobytes(), texts, words, TaskContext.get().partitionId(), place]
+            kinds = [pa.list_(pa.binary()), pa.list_(pa.int32())] + [pa.binary()] * 5 + [pa.int64()] * 2 + [pa.int32()] * 2
             return pa.record_batch([pa.array([x], t) for x, t in zip(row, kinds)],
-                                   names=["terms", "held", "ids", "sizes", "starts", "codes", "counts", "texts", "words"])
+                                   names=["terms", "held", "ids", "sizes", "starts", "codes", "counts", "texts", "words", "task", "place"])
 
         for batch in batches:
             for doc, text in zip(batch["doc_id"].to_pylist(), batch["text"]):
@@ -92,6 +94,7 @@ def shards_of(slots: bytes, most_docs: int, most_terms: int):
                     starts.append(len(codes))
                 if len(ids) >= most_docs or len(codes) >= most_terms or len(known) >= most_terms:
                     yield shard()
+                    place += 1
                     known, terms = {}, []
                     ids, sizes, codes, counts, starts, texts, words = [], [], [], [], [0], 0, 0
         if texts:
@@ -279,8 +282,8 @@ def ranked(docs: DataFrame, items: DataFrame, k: int = 20, id_col: str = "doc_id
     marks[[r[0] for r in asked.select((F.crc32("term") % SLOTS).cast("int").alias("s")).distinct().collect()]] = 1
     read = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     shards = written(read.mapInArrow(shards_of(np.packbits(marks).tobytes(), shard_docs, shard_terms), SHARD))
-    sums = shards.agg(F.sum("texts"), F.sum("words"), F.count(F.lit(1))).first()
-    texts, words, pieces = (x or 0 for x in sums)
+    sums = shards.agg(F.sum("texts"), F.sum("words"), F.count(F.lit(1)), F.max("task")).first()
+    texts, words, pieces, last = (x or 0 for x in sums)
     held = (shards.select(F.explode(F.arrays_zip("terms", "held")).alias("t")).groupBy(F.col("t.terms").alias("term"))
                   .agg(F.sum("t.held").alias("df")))
     weight = F.floor(F.lit(1000.0) * F.log(F.lit(float(2 * texts + 2)) / (2 * F.coalesce("df", F.lit(0)) + 1))).cast("long")
@@ -293,9 +296,10 @@ def ranked(docs: DataFrame, items: DataFrame, k: int = 20, id_col: str = "doc_id
     tasks = max(partitions(spark), pieces // 8 + 1)
     cols = ["block", "part", "kind", "terms", "ids", "sizes", "starts", "codes", "counts"]
     heads = packed.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(tasks - 1)))).withColumn("kind", F.lit(0)).select(*cols)
-    follow = (shards.withColumn("part", F.pmod(F.xxhash64("ids", "codes"), F.lit(tasks)).cast("int")).withColumn("kind", F.lit(1))
+    # the first shard of every task of the scan, then the second ones, ...: dealt out evenly
+    follow = (shards.withColumn("part", F.pmod(F.col("place") * (last + 1) + F.col("task"), F.lit(tasks))).withColumn("kind", F.lit(1))
                     .withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).select(*cols))
-    found = (heads.unionByName(follow).repartition(tasks, "block", "part").sortWithinPartitions("block", "part", "kind")
+    found = (heads.unionByName(follow).repartitionById(tasks, F.pmod(F.col("block") + F.col("part"), F.lit(tasks))).sortWithinPartitions("block", "part", "kind")
                   .mapInArrow(search(k, texts, words), "item long, item_id long, doc_id long, score long"))
     best = Window.partitionBy("item").orderBy(F.col("score").desc(), F.col("doc_id").asc_nulls_first())
     return (found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
