@@ -5,7 +5,9 @@ is read from the end where the query's component makes its entries largest. A ro
 every list and nothing else, and gives each candidate two bounds: what was read of it, plus for every list
 that has not shown it yet the last entry read there (upper) or the list's far end (lower). A candidate whose upper bound is below the
 k-th best lower bound cannot qualify any more. Reading stops when at most ``settle`` candidates are left (or the
-lists end), and the scores of these are resolved exactly.
+lists end), and the scores of these are resolved exactly. All queries of a block read together: what a round has read of the lists,
+from either end, is one matrix with zeros for the rest, and the bounds of all candidates and queries are its product with
+the queries and the last entries read.
 
 Each block of queries first meets one shard; the k-th score found there is a lower bound for all other shards. Every
 shard is held once and the blocks of queries stream past it, so the work is queries times candidates, in blocks.
@@ -21,7 +23,7 @@ from pyspark.sql import functions as F
 from skewmatch.llm.common import partitions, written
 
 #: How far a list has been read after each round, as a share of its length.
-DEPTHS = (1 / 16, 1 / 8, 1 / 4, 3 / 8, 1 / 2, 9 / 16, 5 / 8, 11 / 16, 3 / 4, 13 / 16, 7 / 8, 1)
+DEPTHS = (1 / 16, 1 / 4, 3 / 8, 1 / 2, 9 / 16, 5 / 8, 11 / 16, 3 / 4, 7 / 8, 1)
 FOUND = "query_row long, query_id long, row long, vec_id long, score long"
 PACKED = "dim int, block int, rows binary, ids binary, vectors binary, floors binary"
 
@@ -62,44 +64,67 @@ class Shard:
     def __init__(self, rows: bytes, ids: bytes, vectors: bytes, dim: int):
         self.rows, self.ids = np.frombuffer(rows, np.int64), np.frombuffer(ids, np.int64)
         self.vectors = np.frombuffer(vectors, np.float64).reshape(len(self.rows), dim)
-        self.order = np.ascontiguousarray(np.argsort(self.vectors, axis=0, kind="stable").T)
-        self.values = np.take_along_axis(self.vectors.T, self.order, 1)
+        self.order = np.argsort(self.vectors, axis=0, kind="stable")  # a list per column, the smallest value first
+        self.values = np.take_along_axis(self.vectors, self.order, 0)
         self.largest = float(np.abs(self.vectors).max(initial=0.0))
 
-    def search(self, query: np.ndarray, own: int, floor: float, k: int, settle: int) -> list[tuple[int, int, int]]:
-        """``(score, vec_id, row)`` of the best k candidates among those that reach ``floor``, best first."""
-        n, used = len(self.rows), np.flatnonzero(query)
-        alive = np.flatnonzero(self.rows != own)
-        weight = query[used]
-        turned = weight > 0
-        partial, seen = np.zeros(n), np.zeros((n, len(used)))
-        far = np.where(turned, self.values[used, 0], self.values[used, -1]) * weight
-        # the sums are of whole numbers; the slack covers their rounding where they pass 2 ** 53
-        slack = 1e-12 * len(query) * self.largest * float(np.abs(query).sum())
-        read = 0
+    def read(self, depth: float, kind) -> tuple[int, np.ndarray, np.ndarray]:
+        """The lists read to ``depth``: how many entries of each, the values read from the lists' far and near ends (else 0), and a 1
+        for every entry read."""
+        n, dim = self.vectors.shape
+        upto = min(n, max(1, int(n * depth)))
+        marks = np.zeros((n, 2 * dim), kind)
+        lists = np.arange(dim)
+        marks[self.order[n - upto:], lists] = 1
+        marks[self.order[:upto], dim + lists] = 1
+        return upto, np.tile(self.vectors, 2).astype(kind) * marks, marks
+
+    def search(self, queries: np.ndarray, own: np.ndarray, floors: np.ndarray, k: int, settle: int) -> list[list[tuple[int, int, int]]]:
+        """Per query ``(score, vec_id, row)`` of the best k candidates among those that reach its floor, best first."""
+        n, dim = self.vectors.shape
+        out: list = [None] * len(queries)
+        floors = floors.copy()
+        total = self.largest * np.abs(queries).sum(1)
+        kind = np.float32 if total.max(initial=0.0) < 2 ** 23 else np.float64
+        slack = total * (1e-5 if kind == np.float32 else 1e-9)  # over the rounding of all sums
+        both = np.hstack([np.maximum(queries, 0), np.minimum(queries, 0)])  # read from the far end, from the near end
+        far = both * np.hstack([self.values[0], self.values[-1]])
+        place = {row: j for j, row in enumerate(self.rows.tolist())}
+        mine = np.array([place.get(int(row), -1) for row in own])
+        open_ = np.arange(len(queries))
         for depth in DEPTHS:
-            if len(alive) <= settle or not len(used):
+            if n <= settle or not dim or not len(open_):
                 break
-            upto = max(read + 1, int(n * depth)) if depth < 1 else n
-            if upto <= read:
-                break
-            ahead = np.where(turned, n - upto, read)[:, None] + np.arange(upto - read)
-            shown = np.take_along_axis(self.order[used], ahead, 1)
-            gained = np.take_along_axis(self.values[used], ahead, 1) * weight[:, None]
-            partial += np.bincount(shown.ravel(), gained.ravel(), n)
-            seen[shown, np.arange(len(used))[:, None]] = 1
-            read = upto
-            last = np.where(turned, self.values[used, n - read], self.values[used, read - 1]) * weight
-            mine = seen[alive]
-            low = partial[alive] + far.sum() - mine @ far
-            if len(alive) >= k:
-                floor = max(floor, float(np.partition(low, len(low) - k)[len(low) - k]) - slack)
-            alive = alive[partial[alive] + last.sum() - mine @ last + slack >= floor]
-        return self.resolve(query, alive, floor, k)
+            upto, values, marks = self.read(depth, kind)
+            last = both[open_] * np.hstack([self.values[n - upto], self.values[upto - 1]])
+            seen = values @ both[open_].T.astype(kind)
+            upper = seen - marks @ last.T.astype(kind) + last.sum(1).astype(kind)
+            held = np.flatnonzero(mine[open_] >= 0)
+            new = np.flatnonzero(floors[open_] == -np.inf)
+            if len(new) and n > k:
+                low = seen[:, new] - marks @ far[open_[new]].T.astype(kind) + far[open_[new]].sum(1).astype(kind)
+                hit = np.flatnonzero(mine[open_[new]] >= 0)
+                low[mine[open_[new[hit]]], hit] = -np.inf
+                floors[open_[new]] = np.partition(low, n - k, axis=0)[n - k] - slack[open_[new]]
+            upper[mine[open_[held]], held] = -np.inf
+            alive = upper >= floors[open_] - slack[open_]
+            done = alive.sum(0) <= settle
+            for j in np.flatnonzero(done).tolist():
+                q = open_[j]
+                out[q] = self.resolve(queries[q], np.flatnonzero(alive[:, j]), floors[q], k)
+            open_ = open_[~done]
+        for q in open_.tolist():
+            out[q] = self.resolve(queries[q], np.flatnonzero(np.arange(n) != mine[q]), floors[q], k)
+        return out
 
     def resolve(self, query: np.ndarray, alive: np.ndarray, floor: float, k: int) -> list[tuple[int, int, int]]:
+        """The final scores of the candidates that are left."""
         if self.largest * float(np.abs(query).sum()) < 2 ** 52:
-            scores = (self.vectors[alive] @ query).astype(np.int64).tolist()
+            scores = (self.vectors[alive] @ query).astype(np.int64)
+            kept = scores >= floor
+            if kept.sum() > k:  # ties at the k-th score stay
+                kept = scores >= max(floor, np.partition(scores, len(scores) - k)[len(scores) - k])
+            alive, scores = alive[kept], scores[kept].tolist()
         else:
             whole = [int(x) for x in query]
             scores = [sum(a * int(b) for a, b in zip(whole, self.vectors[j])) for j in alive.tolist()]
@@ -107,7 +132,7 @@ class Shard:
         return [(-s, vec, row) for s, vec, row in best[:k]]
 
 
-def meet(k: int, settle: int, first: bool):
+def meet(k: int, settle: int | None, first: bool):
     """Per shard (``kind`` 0) the blocks of queries that follow it. ``first``: gives the blocks with the k-th scores found as
     ``floors``, else the rows found."""
     def run(batches):
@@ -124,8 +149,8 @@ def meet(k: int, settle: int, first: bool):
                 own, name = np.frombuffer(r["rows"], np.int64), np.frombuffer(r["ids"], np.int64)
                 query = np.frombuffer(r["vectors"], np.float64).reshape(len(own), r["dim"])
                 floors = np.frombuffer(r["floors"], np.float64).copy()
-                for q in range(len(own)):
-                    got = shard[1].search(query[q], int(own[q]), float(floors[q]), k, settle)
+                answers = shard[1].search(query, own, floors, k, settle or max(64, 8 * k, len(shard[1].rows) // 8))
+                for q, got in enumerate(answers):
                     if first:
                         floors[q] = got[k - 1][0] if len(got) >= k else -np.inf
                     else:
@@ -146,27 +171,27 @@ def meet(k: int, settle: int, first: bool):
     return run
 
 
-def _past_shards(shards: DataFrame, blocks: DataFrame, k: int, settle: int, first: bool, tasks: int) -> DataFrame:
+def _past_shards(shards: DataFrame, blocks: DataFrame, k: int, settle: int | None, first: bool, tasks: int) -> DataFrame:
     """Every block of queries (with its ``shard``) after its shard, in the shard's task."""
     cols = ["dim", "shard", "kind", "block", "rows", "ids", "vectors", "floors"]
     both = shards.select("dim", F.col("block").alias("shard"), F.lit(0).alias("kind"), F.lit(0).alias("block"), *cols[4:]).unionByName(
         blocks.withColumn("kind", F.lit(1)).select(*cols))
-    return (both.repartition(tasks, "dim", "shard").sortWithinPartitions("dim", "shard", "kind", "block")
+    # shards are numbered from 0, so this deals them evenly
+    return (both.repartitionById(tasks, F.pmod("shard", F.lit(tasks))).sortWithinPartitions("dim", "shard", "kind", "block")
                 .mapInArrow(meet(k, settle, first), PACKED if first else FOUND))
 
 
 def top_k(table: DataFrame, is_query, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding", settle: int | None = None,
-          shard_rows: int = 4096, block_rows: int = 512) -> DataFrame:
+          shard_rows: int = 2048, block_rows: int = 512) -> DataFrame:
     """``query_id, rank, vec_id, score``: for every row that ``is_query`` names, the ``k`` other rows with the highest
     inner product of the whole numbers ``floor(256 * x)``, ties to the smaller id.
 
     Vectors that are null or hold a null or non-finite component, and rows without an id, take no part. Only vectors of the query's
-    length are its candidates. Rows are told apart by their place, not their id: a row that repeats another
+    length are its candidates. ``settle`` is by default the largest of 64, ``8 * k`` and an eighth of a shard. Rows are told apart by their place, not their id: a row that repeats another
     is a candidate for it, and a query of its own. Fewer than ``k`` candidates give all. An empty
     table gives no rows, an empty vector scores 0, and other columns are ignored. Scores outside a LONG are an error.
     """
     spark = table.sparkSession
-    settle = settle or max(64, 8 * k)
     plain = table.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("vector"),
                          F.coalesce(is_query, F.lit(False)).alias("asks")).withColumn("row", F.monotonically_increasing_id())
     rows = written(plain.select("row", "vec_id", "asks", "vector")

@@ -69,7 +69,7 @@ def test_reading_stops_before_the_lists_end():
     seen = []
     resolve = shard.resolve
     shard.resolve = lambda query, alive, floor, k: seen.append(len(alive)) or resolve(query, alive, floor, k)
-    got = shard.search(np.full(8, 3.0), 0, -np.inf, 5, 16)
+    got, = shard.search(np.full((1, 8), 3.0), np.array([0]), np.array([-np.inf]), 5, 16)
     assert [v for _, v, _ in got] == sorted(range(1, 10), key=lambda j: (-vectors[j].sum(), j))[:5]
     assert seen[0] <= 16
 
