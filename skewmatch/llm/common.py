@@ -38,6 +38,23 @@ def written(df: DataFrame) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
+def numbered(docs: DataFrame) -> DataFrame:
+    """``docs`` written once as ``(doc, row)``: all its columns in one struct, so that no name of ours can clash with one of theirs,
+    and a number that tells rows apart, repeated ones too."""
+    return written(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), F.monotonically_increasing_id().alias("row")))
+
+
+def without_rows(rows: DataFrame, gone: DataFrame, slots: int = 1 << 20) -> DataFrame:
+    """The documents of ``rows`` (see :func:`numbered`) whose ``row`` isn't in ``gone``, with their own columns. Only rows whose hashed
+    number is in a slot of ``gone`` are shuffled; the broadcast list has at most ``slots`` numbers at any size."""
+    slot = F.pmod(F.xxhash64("row"), F.lit(slots)).alias("slot")
+    some = F.broadcast(gone.select(slot).distinct())
+    keyed = rows.withColumn("slot", slot)
+    maybe = keyed.join(some, "slot", "left_semi")
+    return (keyed.join(some, "slot", "left_anti").select("doc.*")
+            .unionByName(maybe.join(gone.select("row").hint("merge"), "row", "left_anti").select("doc.*")))
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

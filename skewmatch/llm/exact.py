@@ -99,6 +99,17 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                          F.lower(F.hex("digest")).alias("text_sha256"))
 
 
+def surplus_rows(rows: DataFrame, id_col: str = "doc_id", text_col: str = "text", row_col: str = "row", **options) -> DataFrame:
+    """``row`` of all rows but one of each group of equal texts. The one with the smallest ``doc_id`` stays (rows without one last), of
+    rows that repeat it the one with the smallest ``row``."""
+    digests = written(rows.select(F.col(row_col).alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.unhex(text_digest(
+        F.coalesce(F.col(text_col).cast("string"), F.lit("")))).alias("digest")))
+    groups = tree_merge(digests, **options).filter("rows > 1")
+    some = written(hot_join(digests, written(groups), ["digest"], "inner", rows_col="rows"))
+    first = some.filter("doc_id <=> keep_id").groupBy("digest").agg(F.min("row").alias("first"))
+    return hot_join(some.select("row", "digest"), written(first), ["digest"], "inner").filter("row != first").select("row")
+
+
 ORACLE = r"""
 WITH d AS (SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS text_sha256
            FROM documents)

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skewmatch.llm.common import mix64, word_spans, scans, written
+from skewmatch.llm.common import mix64, numbered, scans, word_spans, written
 
 WEIGHTS = (5.0, 2.0, 1.0)
 MAX_SOURCES = 100_000
@@ -108,14 +108,15 @@ def count_words(batches):
         size = np.zeros(batch.num_rows, np.int64)
         for first, data, off in scans(batch["text"]):
             size[first:first + len(off) - 1] = np.diff(word_spans(data, off)[2])
-        yield pa.record_batch([batch["doc_id"], batch["source"], batch["content"], pa.array(size)],
-                              names=["doc_id", "source", "content", "size"])
+        names = [c for c in batch.schema.names if c != "text"]
+        yield pa.record_batch([*[batch[c] for c in names], pa.array(size)], names=[*names, "size"])
 
 
-def mix_plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", block: int = 128,
-             per_shard: int = 8192, buckets: int = 1024, seed: int = 11) -> tuple[DataFrame, DataFrame]:
+def mix_plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", row_col: str | None = None,
+             block: int = 128, per_shard: int = 8192, buckets: int = 1024, seed: int = 11) -> tuple[DataFrame, DataFrame]:
     """``(rows, takes)``. rows: ``row, doc_id, content, size, source_size, target`` per input row; takes:
-    ``row, low, high, copies``, the word ranges of a row that the mix takes and how often.
+    ``row, low, high, copies``, the word ranges of a row that the mix takes and how often. ``row`` is ``row_col``, which
+    must tell rows apart, or a number given here.
 
     A null text has no words, a null source is a source of its own (the last); rows that repeat are rows of
     their own; an empty table gives no rows; other columns are ignored. One total per source reaches the driver
@@ -124,9 +125,9 @@ def mix_plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", so
     spark = docs.sparkSession
     text = F.coalesce(F.col(text_col), F.lit(""))
     counted = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"),
-                          F.xxhash64(text).alias("content"), text.alias("text"))
-    rows = written(counted.mapInArrow(count_words, "doc_id long, source string, content long, size long")
-                   .withColumn("row", F.monotonically_increasing_id())
+                          F.xxhash64(text).alias("content"), text.alias("text"),
+                          (F.col(row_col) if row_col else F.monotonically_increasing_id()).alias("row"))
+    rows = written(counted.mapInArrow(count_words, "doc_id long, source string, content long, row long, size long")
                    .withColumn("bucket", F.pmod(F.xxhash64("doc_id", "content"), F.lit(buckets)).cast("int")))
     sums = rows.groupBy("source").agg(F.sum("size").alias("size")).limit(MAX_SOURCES + 1).collect()
     if len(sums) > MAX_SOURCES:
@@ -172,45 +173,43 @@ def mix(docs: DataFrame, **options) -> DataFrame:
                                                   F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
 
 
-def cut_texts(names: list[str], text_at: int, chars_at: int | None):
-    """Rows with ``_takes`` (sorted word ranges and copies): one row per copy, its text the ranges taken."""
+def cut_texts(names: list[str], text_col: str, chars_col: str):
+    """Rows ``doc, takes`` (sorted word ranges and copies): one row per copy, its text the ranges taken. Holds a scan's texts."""
     def run(batches):
         for batch in batches:
-            pick, texts = [], []
-            takes = batch["_takes"].to_pylist()
-            for first, data, off in scans(batch.column(text_at)):
+            docs, takes = batch["doc"], batch["takes"]
+            text = docs.field(names.index(text_col))
+            for first, data, off in scans(text.fill_null("")):
                 start, end, before = word_spans(data, off)
-                for k in range(len(off) - 1):
-                    for copy in range(max((t["copies"] for t in takes[first + k]), default=0)):
+                pick, texts = [], []
+                for k, ranges in enumerate(takes.slice(first, len(off) - 1).to_pylist()):
+                    for copy in range(max(t["copies"] for t in ranges)):
                         runs: list[list[int]] = []
-                        for t in takes[first + k]:
+                        for t in ranges:
                             if t["copies"] > copy:
                                 if runs and runs[-1][1] == t["low"]:
                                     runs[-1][1] = t["high"]
                                 else:
                                     runs.append([t["low"], t["high"]])
                         word = before[k]
-                        pick.append(first + k)
+                        pick.append(k)
                         texts.append("\n".join(data[start[word + a]:end[word + b - 1]].tobytes().decode() for a, b in runs))
-            out = [batch.column(k).take(pa.array(pick, pa.int64())) for k in range(len(names))]
-            out[text_at] = pa.array(texts, pa.string())
-            if chars_at is not None:
-                out[chars_at] = pa.array([len(t) for t in texts], pa.int64()).cast(batch.schema.field(chars_at).type)
-            yield pa.record_batch(out, names=names)
+                some = docs.slice(first, len(off) - 1)
+                out = {c: some.field(j).take(pa.array(pick, pa.int64())) for j, c in enumerate(names) if c != text_col}
+                out[text_col] = pa.array(texts, pa.string())
+                if chars_col in names:
+                    out[chars_col] = pa.array([len(t) for t in texts], pa.int64()).cast(docs.field(names.index(chars_col)).type)
+                yield pa.record_batch([out[c] for c in names], names=names)
     return run
 
 
-def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chars_col: str = "n_chars",
+def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", chars_col: str = "n_chars",
                     **options) -> DataFrame:
     """The mix itself: every row once per copy, with the columns of ``docs`` and the words that the copy takes
-    (``chars_col``, if there, is counted anew). Rows with equal id and text share the first one's ranges."""
-    rows, takes = mix_plan(docs, id_col=id_col, text_col=text_col, **options)
-    lists = takes.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("low", "high", "copies"))).alias("_takes"))
-    plan = (rows.select("row", F.col("doc_id").alias("_doc"), F.col("content").alias("_content")).join(lists, "row")
-            .groupBy("_doc", "_content").agg(F.min_by("_takes", "row").alias("_takes")))
-    names = docs.columns
-    keyed = docs.withColumn(text_col, F.coalesce(F.col(text_col), F.lit("")))
-    joined = keyed.join(plan, F.col(id_col).cast("long").eqNullSafe(F.col("_doc"))
-                        & (F.xxhash64(text_col) == F.col("_content"))).select(*names, "_takes")
-    chars = names.index(chars_col) if chars_col in names else None
-    return joined.mapInArrow(cut_texts(names, names.index(text_col), chars), docs.schema)
+    (``chars_col``, if there, is counted anew). Every row has its own ranges, also one that repeats another."""
+    rows = numbered(docs)
+    _, takes = mix_plan(rows.select("row", *[F.col(f"doc.`{c}`").alias(c) for c in dict.fromkeys((id_col, text_col, source_col))]),
+                        id_col=id_col, text_col=text_col, source_col=source_col, row_col="row", **options)
+    lists = takes.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("low", "high", "copies"))).alias("takes"))
+    return (rows.join(lists.hint("merge"), "row").select("doc", "takes")
+                .mapInArrow(cut_texts(docs.columns, text_col, chars_col), docs.schema))

@@ -240,7 +240,9 @@ def good_documents(docs: DataFrame, labels: DataFrame, text_col: str = "text", *
 
     def run(batches):
         for batch in batches:
-            good = scores(text_statistics(batch.column(at).cast(pa.string()).fill_null("")), model) >= THRESHOLD
-            yield batch.filter(pa.array(good, pa.bool_()))
+            for first in range(0, batch.num_rows, 1024):
+                part = batch.slice(first, 1024)
+                good = scores(text_statistics(part.column(at).cast(pa.string()).fill_null("")), model) >= THRESHOLD
+                yield part.filter(pa.array(good, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
