@@ -2,16 +2,18 @@
 
 All return ``(id_a, id_b, text_a, text_b, similarity)`` with ``id_a < id_b``
 (the two-source matcher returns words instead of ids). Every pair of a block
-is a candidate; pairs that provably cannot match skip the edit distance
-(see :func:`skewmatch.functions.similarity.match_similarity`).
-
-* :func:`basic_match` joins a block with itself; a hot block is salted
-  into groups and joined per pair of groups, so no task holds it whole.
-* :func:`split_match` and :func:`slice_match` plan the work by pair count:
-  blocks above the per-reducer target are cut into tasks, the tasks are
-  assigned to reducers by load, and each reducer's tasks are placed on one
-  partition before a co-partitioned join, so every reducer gets about
-  ``target`` comparisons.
+is a candidate. The one-source matchers score each distinct text once
+(:mod:`skewmatch.operators.distinct`), compare the groups of their plan inside tasks
+(:mod:`skewmatch.operators.pairs`), and expand the matches to the entities:
+
+* :func:`basic_match` deals a hot block over salts and compares it per pair of
+  salts, so no task holds it whole.
+* :func:`split_match` and :func:`slice_match` plan the work: blocks above the
+  per-reducer target are cut into tasks, the tasks are assigned to reducers
+  by load, and each reducer's tasks are placed on one partition. ``split_match``
+  weighs tasks by edit-distance cells, or by pairs as the block statistics do.
+* the tagged ``split_match`` keeps the task of each entity pair and joins the entities per
+  task; :func:`two_source_match` joins distinct words on a salted grid.
 """
 
 from __future__ import annotations
@@ -22,15 +24,18 @@ from pyspark.sql import functions as F
 from skewmatch.functions.keys import key_first_char, mark_empty, resolve_key
 from skewmatch.functions.similarity import (DEFAULT_THRESHOLD, is_match, match_similarity,
                                             with_match_features)
+from skewmatch.operators.distinct import length_band, member_pairs, representatives
 from skewmatch.operators.distribution import block_stats, keyed_entities, with_totals
 from skewmatch.operators.ordinal import materialize
-from skewmatch.operators.route import (entity_positions, place_by_reducer, slice_route,
-                                       split_route)
+from skewmatch.operators.pairs import LEFT, OWN, RIGHT, matching_pairs
+from skewmatch.operators.route import entity_positions, place_by_reducer, slice_copies, split_route
 from skewmatch.plans.assign import assign_reducers
 from skewmatch.plans.slicer import TASK_KEY as SLICE_KEY
 from skewmatch.plans.slicer import slice_plan
 from skewmatch.plans.split import TASK_KEY as SPLIT_KEY
 from skewmatch.plans.split import split_plan
+from skewmatch.plans.work import TASK_KEY as WORK_KEY
+from skewmatch.plans.work import work_plan, work_route, work_units
 
 MATCH_COLUMNS = ["id_a", "id_b", "text_a", "text_b", "similarity"]
 
@@ -70,46 +75,58 @@ def _placed(df: DataFrame, keys: list[str], partitions: int | None) -> DataFrame
     return df.repartition(n, *keys)
 
 
+def _keyed(entities: DataFrame, key) -> DataFrame:
+    return entities.select("id", "text", resolve_key(key)(F.col("text")).alias("block")).filter("block is not null")
+
+
+def _as_entities(reps: DataFrame, parts: int) -> DataFrame:
+    """Representatives in the columns of :func:`keyed_entities`, with what the comparison needs."""
+    return reps.select(F.col("rep").alias("id"), "block", F.pmod(F.xxhash64("rep"), F.lit(parts)).cast("int").alias("part"), *PAYLOAD)
+
+
+PAYLOAD = ("rep", "n", "low", "len")
+
+
 def basic_match(entities: DataFrame, key="prefix_lower", threshold: float = DEFAULT_THRESHOLD,
                 partitions: int | None = None) -> DataFrame:
     """All pairs inside a block, scored and filtered.
 
-    A hot block is salted into ``S`` groups by a hash of the id and the pairs
+    A hot block is salted into ``S`` groups by a hash of the text and the pairs
     are computed per pair of salts ``x <= y``. ``S`` follows from the block's
     share of all work, of the pairs or of the edit-distance cells (a pair costs
     about the product of its lengths), whichever is larger: ``S = ceil(sqrt(2 *
     partitions * share))``, so that its ``S(S+1)/2`` tasks hold about one
-    partition's work each. An entity has at most ``sqrt(2 * partitions) + 2``
+    partition's work each. A text has at most ``sqrt(2 * partitions) + 2``
     copies. Fewer than ``4 * partitions`` blocks have ``S > 1``: their table is
-    broadcast, and all others stay a plain block self-join.
+    broadcast, and all others stay one task each.
     """
-    key_fn = resolve_key(key)
-    keyed = entities.select("id", "text", key_fn(F.col("text")).alias("block"))
+    reps, members = representatives(_keyed(entities, key))
     width = partitions or int(entities.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    work = (keyed.groupBy("block").agg(F.count(F.lit(1)).cast("double").alias("n"),
-                                       F.sum(F.length("text")).cast("double").alias("chars"))
-                 .filter(F.col("n") > 1)
-                 .select("block", (F.col("n") * (F.col("n") - 1)).alias("pairs"),
-                         (F.col("chars") * F.col("chars")).alias("cells")))
+    work = (reps.groupBy("block").agg(F.count(F.lit(1)).cast("double").alias("texts"),
+                                      F.sum("llen").cast("double").alias("chars"))
+                .filter(F.col("texts") > 1)
+                .select("block", (F.col("texts") * (F.col("texts") - 1)).alias("pairs"),
+                        (F.col("chars") * F.col("chars")).alias("cells")))
     total = work.agg(F.sum("pairs").alias("_pairs"), F.sum("cells").alias("_cells"))
     share = F.greatest(F.try_divide("pairs", "_pairs"), F.try_divide("cells", "_cells"))
     hot = (with_totals(work, total)
            .select("block", F.ceil(F.sqrt(F.lit(2.0 * width) * share)).cast("int").alias("salts"))
            .filter(F.col("salts") > 1))
-    salted = (keyed.join(F.broadcast(hot), "block", "left")
-                   .withColumn("salts", F.coalesce("salts", F.lit(1)))
-                   .withColumn("salt", F.pmod(F.xxhash64("id"), F.col("salts")).cast("int")))
-    every = F.sequence(F.lit(0), F.col("salts") - 1)
-    # Left copy of an entity with salt s goes to tasks (s, y >= s), right copy to (x <= s, s).
-    left = salted.select("block", "id", "text", F.col("salt").alias("x"),
-                         F.explode(F.filter(every, lambda y: y >= F.col("salt"))).alias("y"))
-    right = salted.select("block", "id", "text", F.col("salt").alias("y"),
-                          F.explode(F.filter(every, lambda x: x <= F.col("salt"))).alias("x"))
-    task = ["block", "x", "y"]
-    a = _side(_placed(left, task, partitions), task, ["id", "text"], "_a")
-    b = _side(_placed(right, task, partitions), task, ["id", "text"], "_b")
-    joined = a.hint("merge").join(b, task).filter((F.col("x") != F.col("y")) | (F.col("id_a") < F.col("id_b")))
-    return _oriented(_scored(joined, threshold))
+    salted = (reps.join(F.broadcast(hot), "block", "left")
+                  .withColumn("salts", F.coalesce("salts", F.lit(1)))
+                  .withColumn("salt", F.pmod(F.xxhash64("rep"), F.col("salts")).cast("int")))
+
+    def task(other):
+        """A text with salt s is on the left of (s, y > s), on the right of (x < s, s), and on both sides of (s, s)."""
+        salt = F.col("salt")
+        return F.struct(F.least(salt, other).alias("x"), F.greatest(salt, other).alias("y"),
+                        F.when(salt == other, OWN).when(salt < other, LEFT).otherwise(RIGHT).alias("side"),
+                        (salt > other).cast("int").alias("place"))
+
+    tasks = F.explode(F.transform(F.sequence(F.lit(0), F.col("salts") - 1), task)).alias("t")
+    keys = ["block", "x", "y"]
+    placed = _placed(salted.select("block", *PAYLOAD, tasks).select("block", "t.*", *PAYLOAD), keys, partitions)
+    return _oriented(member_pairs(matching_pairs(placed, keys, threshold), reps, members, threshold))
 
 
 def planned_stats(keyed: DataFrame, reducers: int) -> DataFrame:
@@ -128,10 +145,50 @@ def split_plan_assigned(keyed: DataFrame, reducers: int):
     return stats, assign_reducers(split_plan(stats), reducers, SPLIT_KEY)
 
 
+def work_plan_assigned(reps: DataFrame, reducers: int, threshold: float = DEFAULT_THRESHOLD, grain: int = 8):
+    """``(banded, units, tasks)``: the representatives with their length band, the units, and the tasks by cells with their reducers."""
+    banded = reps.withColumn("band", length_band(F.col("llen"), threshold))
+    units = work_units(banded, reducers, grain)
+    tasks = materialize(assign_reducers(work_plan(banded, units), reducers, WORK_KEY, cost="cells"), "tasks")
+    return banded, units, tasks
+
+
 def split_match(entities: DataFrame, key="prefix", parts: int = 4, reducers: int = 4,
-                threshold: float = DEFAULT_THRESHOLD, tagged: bool = False) -> DataFrame:
-    """BlockSplit matching. With ``tagged`` the task of each match is kept:
-    ``reducer, block, i, j, part_a, part_b``."""
+                threshold: float = DEFAULT_THRESHOLD, tagged: bool = False, work: str = "cells") -> DataFrame:
+    """BlockSplit matching. ``work`` says how tasks are cut and weighed: by ``"cells"`` (length bands, as many parts as a band of a block needs) or
+    by ``"pairs"`` (``parts`` parts of every block above the target). With ``tagged`` the plan is by pairs of
+    entities and the task of each match is kept: ``reducer, block, i, j, part_a, part_b``."""
+    if tagged:
+        return _tagged_match(entities, key, parts, reducers, threshold)
+    reps, members = representatives(_keyed(entities, key))
+    if work == "cells":
+        keys = ["reducer", "rank"]
+        placed = place_by_reducer(work_route(*work_plan_assigned(reps, reducers, threshold)), reducers)
+    else:
+        keys = ["reducer", "block", "i", "j"]
+        keyed = _as_entities(reps, parts)
+        stats, assigned = split_plan_assigned(keyed, reducers)
+        routed = split_route(keyed, stats, assigned, PAYLOAD)
+        side = (F.when(~F.col("oversized") | (F.col("i") == F.col("j")), OWN)
+                 .when(F.col("part") == F.col("i"), LEFT).otherwise(RIGHT))
+        placed = place_by_reducer(routed.withColumn("side", side).withColumn("place", (side == RIGHT).cast("int")), reducers)
+    return _oriented(member_pairs(matching_pairs(placed, keys, threshold), reps, members, threshold))
+
+
+def distinct_match(reps: DataFrame, reducers: int = 4, threshold: float = DEFAULT_THRESHOLD) -> DataFrame:
+    """Matching pairs of distinct texts, ``block, low_a, low_b, similarity, n_a, n_b``, planned by cells; ``low_a`` is the smaller text (of
+    equal ones with two lengths before lower-casing, the shorter one's). With the members of each text (:func:`representatives`) this says the same as
+    the entity pairs, in a size that copies do not square."""
+    placed = place_by_reducer(work_route(*work_plan_assigned(reps, reducers, threshold)), reducers)
+    found = matching_pairs(placed, ["reducer", "rank"], threshold).select("rep_a", "rep_b", "similarity")
+    for side in "ab":
+        mine = reps.select(F.col("rep").alias(f"rep_{side}"), F.struct("low", "len", "n").alias(side), *(["block"] if side == "a" else []))
+        found = found.join(mine.hint("merge"), f"rep_{side}")
+    low, high = F.least("a", "b"), F.greatest("a", "b")
+    return found.select("block", low["low"].alias("low_a"), high["low"].alias("low_b"), "similarity", low["n"].alias("n_a"), high["n"].alias("n_b"))
+
+
+def _tagged_match(entities: DataFrame, key, parts: int, reducers: int, threshold: float) -> DataFrame:
     keyed = keyed_entities(entities, key, parts)
     stats, assigned = split_plan_assigned(keyed, reducers)
     routed = split_route(keyed, stats, assigned)
@@ -143,10 +200,7 @@ def split_match(entities: DataFrame, key="prefix", parts: int = 4, reducers: int
     # Inside a whole block or a self task both sides are the same rows: each
     # unordered pair once. A cross task pairs part i with part j: no test.
     joined = a.hint("merge").join(b, task).filter((F.col("i") != F.col("j")) | (F.col("id_a") < F.col("id_b")))
-    scored = _scored(joined, threshold)
-    if not tagged:
-        return _oriented(scored)
-    tags = scored.withColumn("_t", F.struct("reducer", "block", "i", "j"))
+    tags = _scored(joined, threshold).withColumn("_t", F.struct("reducer", "block", "i", "j"))
     return _oriented(tags, {"_t": ("part_a", "part_b")}).select(
         *MATCH_COLUMNS, "_t.reducer", "_t.block", "_t.i", "_t.j", "part_a", "part_b")
 
@@ -159,20 +213,21 @@ def slice_plan_assigned(keyed: DataFrame, reducers: int):
 
 def slice_match(entities: DataFrame, key="prefix", parts: int = 4, reducers: int = 4,
                 threshold: float = DEFAULT_THRESHOLD, show_empty: bool = False) -> DataFrame:
-    """BlockSlicer matching: own entities of a slice against every later
-    entity of the slice (own or copied). With ``show_empty`` an empty entity
+    """BlockSlicer matching: own texts of a reducer's slices against every later
+    text of them (own or copied), each text copied once per reducer. With ``show_empty`` an empty entity
     is compared and returned as ``<><><>``, in the block of its empty text."""
-    keyed = keyed_entities(entities, key, parts)
+    keyed = _keyed(entities, key)
     if show_empty:
         keyed = keyed.withColumn("text", mark_empty("text"))
+    reps, members = representatives(keyed)
+    keyed = _as_entities(reps, parts)
     stats, assigned = slice_plan_assigned(keyed, reducers)
-    routed = slice_route(entity_positions(keyed), stats, assigned)
-    task = ["reducer", "block", "slice"]
-    left = routed.filter(~F.col("replicated"))
-    a = _side(place_by_reducer(left, reducers), task, ["id", "text", "pos"], "_a")
-    b = _side(place_by_reducer(routed, reducers), task, ["id", "text", "pos"], "_b")
-    joined = a.hint("merge").join(b, task).filter(F.col("pos_a") < F.col("pos_b"))
-    return _oriented(_scored(joined, threshold))
+    pos = entity_positions(keyed.select("id", "block"))
+    placed = keyed.join(pos.select("id", "pos").hint("merge"), "id")
+    copies = slice_copies(placed, stats, assigned, PAYLOAD)
+    rows = copies.withColumn("side", F.when(F.col("own"), OWN).otherwise(RIGHT)).withColumnRenamed("pos", "place")
+    found = matching_pairs(place_by_reducer(rows, reducers), ["reducer", "block"], threshold)
+    return _oriented(member_pairs(found, reps, members, threshold))
 
 
 def two_source_match(left_words: DataFrame, right_words: DataFrame, reducers: int = 4,

@@ -239,6 +239,15 @@ ORACLE = {
         {_sim('a.word', 'b.word', 'a.low', 'b.low')} as similarity, a.n * b.n as occurrences
         from c1 a join c2 b on substring(lower(a.word), 1, 1) = substring(lower(b.word), 1, 1)) p
         where similarity >= 0.7""",
+    "length_distribution": _with(DOCS, KEYED) + """select block,
+        (case when length(lower(text)) = 0 then -9 else floor(ln(length(lower(text))::DOUBLE) / (ln(1 / 0.7) + 1e-6)) end)::BIGINT as band,
+        count(*) as n, sum(length(lower(text)) + 1)::BIGINT as chars, sum((length(lower(text)) + 1) ** 2)::BIGINT as squares
+        from keyed group by all""",
+    "distinct_match": _with(DOCS, LOW, KEYED, f"""reps as (select block, lower(text) as text, length(text) as len, {_low('text')} as low,
+        count(*) as n from keyed group by all)""") + """select * from (select a.block, a.text as low_a, b.text as low_b,
+        case when greatest(a.len, b.len) = 0 then 1.0
+             else (greatest(a.len, b.len) - levenshtein(a.low, b.low))::DOUBLE / greatest(a.len, b.len) end as similarity, a.n as n_a, b.n as n_b
+        from reps a join reps b on a.block = b.block and (a.text < b.text or (a.text = b.text and a.len < b.len))) p where similarity >= 0.7""",
     "plan_lookup": _with(DOCS, KEYED, STATS, SPLIT_PLAN, SPLIT_ASSIGNED, recursive=True) + """
         select k.doc_id, k.line_no, k.block, k.part, s.n, s.comps, s.oversized, coalesce(t.n_tasks, 0) as n_tasks
         from keyed k join stats s on s.block = k.block

@@ -21,12 +21,14 @@ from skewmatch.functions.keys import key_first_char, key_prefix, key_prefix_lowe
 from skewmatch.functions.similarity import DEFAULT_THRESHOLD, filter_similar, score_pairs, similarity
 from skewmatch.operators import distribution as dist
 from skewmatch.operators import match
+from skewmatch.operators.distinct import length_band, representatives
 from skewmatch.operators.route import (entity_positions, place_by_reducer, plan_lookup,
                                        slice_route, split_route, split_tasks_by_block)
 from skewmatch.plans.assign import reducer_load, tasks_by_cost
 from skewmatch.plans.slicer import slice_cost, slice_plan, slice_size
 from skewmatch.plans.split import TASK_KEY as SPLIT_KEY
 from skewmatch.plans.split import split_plan
+from skewmatch.plans.work import length_distribution
 from skewmatch.session import checkpoint_dir
 from skewmatch.sources.paths import new_output_path
 from skewmatch.sources.lines import (drop_empty_lines, entity_lines, read_matches,
@@ -270,8 +272,9 @@ def q_plan_lookup(spark, d):
 # --- 2.6 matchers ---------------------------------------------------------------
 
 def _width(spark) -> dict:
-    """Parts and reducers of a matcher whose result does not depend on them: at least one task per core."""
-    reducers = max(REDUCERS, spark.sparkContext.defaultParallelism)
+    """Parts and reducers of a matcher whose result does not depend on them: three reducers per core, so that the slowest one does
+    not set the time."""
+    reducers = max(REDUCERS, 3 * spark.sparkContext.defaultParallelism)
     return {"parts": max(PARTS, math.ceil(math.sqrt(2 * reducers))), "reducers": reducers}
 
 
@@ -297,6 +300,20 @@ def q_two_source_match(spark, d):
     return match.two_source_match(left, right, _width(spark)["reducers"], THRESHOLD)
 
 
+def q_length_distribution(spark, d):
+    """Entities and characters (one more per text) per block and length band."""
+    lines = document_lines(spark, d).select(key_prefix("text").alias("block"), F.length(F.lower("text")).alias("llen"))
+    banded = lines.withColumn("band", length_band(F.col("llen"), THRESHOLD))
+    return _long(length_distribution(banded), "band", "chars", "squares")
+
+
+def q_distinct_match(spark, d):
+    """Matching distinct texts of a block instead of matching lines: the scalable form of the matchers' result."""
+    reps, _ = representatives(dist.keyed_entities(document_lines(spark, d), "prefix", PARTS))
+    found = match.distinct_match(reps, _width(spark)["reducers"], THRESHOLD)
+    return found.select("block", "low_a", "low_b", "similarity", "n_a", "n_b")
+
+
 # --- the same operators on other inputs ------------------------------------------
 # pages: all urls share one block (the hottest possible key); parts: 8 blocks.
 
@@ -372,6 +389,8 @@ QUERIES = {
     "split_match_tagged": q_split_match_tagged,
     "slice_match": q_slice_match,
     "two_source_match": q_two_source_match,
+    "length_distribution": q_length_distribution,
+    "distinct_match": q_distinct_match,
     "plan_lookup": q_plan_lookup,
     "split_match_pages": q_split_match_pages,
     "slice_match_pages": q_slice_match_pages,
