@@ -28,7 +28,7 @@ from skewmatch.operators.distinct import length_band, member_pairs, representati
 from skewmatch.operators.distribution import block_stats, keyed_entities, with_totals
 from skewmatch.operators.ordinal import materialize
 from skewmatch.operators.pairs import LEFT, OWN, RIGHT, matching_pairs
-from skewmatch.operators.route import entity_positions, place_by_reducer, slice_copies, split_route
+from skewmatch.operators.route import entity_positions, place_by_reducer, plan_lookup, slice_copies, split_route
 from skewmatch.plans.assign import assign_reducers
 from skewmatch.plans.slicer import TASK_KEY as SLICE_KEY
 from skewmatch.plans.slicer import slice_plan
@@ -230,46 +230,67 @@ def slice_match(entities: DataFrame, key="prefix", parts: int = 4, reducers: int
     return _oriented(member_pairs(found, reps, members, threshold))
 
 
+def source_words(words: DataFrame, name: str) -> DataFrame:
+    """``word, n, block``: the distinct words of one source, written once; repeats are counted before the shuffle."""
+    return materialize(words.groupBy("word").agg(F.count(F.lit(1)).alias("n")).withColumn("block", key_first_char("word")), name)
+
+
+def two_source_grid(left: DataFrame, right: DataFrame, reducers: int, grain: int = 8) -> DataFrame:
+    """``block, rows, columns``: into how many parts the words of each source are cut in a block, so that its cells (part by part) have about
+    ``1 / grain`` of a reducer's share of all pairs; written once, one row per block of both sources."""
+    per_block = (left.groupBy("block").agg(F.count(F.lit(1)).alias("l")).join(
+        right.groupBy("block").agg(F.count(F.lit(1)).alias("r")).hint("merge"), "block").withColumn("pairs", F.col("l") * F.col("r")))
+    total = per_block.agg(F.sum("pairs").alias("_total"))
+    cells = F.ceil(F.col("pairs") * F.lit(float(reducers * grain)) / F.col("_total"))
+    # as square as the sides allow: parts of about equal size on both
+    return materialize(with_totals(per_block, total)
+                       .withColumn("rows", F.least(F.col("l"), F.greatest(F.lit(1), F.ceil(F.sqrt(cells * F.col("l") / F.col("r"))))))
+                       .withColumn("columns", F.least(F.col("r"), F.greatest(F.lit(1), F.ceil(cells / F.col("rows")))))
+                       .select("block", F.col("rows").cast("int").alias("rows"), F.col("columns").cast("int").alias("columns"),
+                               F.col("l").alias("n_l"), F.col("r").alias("n_r")), "grid")
+
+
+def two_source_plan(left: DataFrame, right: DataFrame, grid: DataFrame, reducers: int) -> DataFrame:
+    """``block, x, y, comps, cells, rank, reducer``: the cells of every block's grid, with exact pair counts and edit-distance cells, assigned by
+    falling cells."""
+    def parts(words: DataFrame, cut: str, part: str) -> DataFrame:
+        dealt = _dealt(words.select("block", "word"), grid, cut, part)
+        return dealt.groupBy("block", part).agg(F.count(F.lit(1)).alias(f"n_{part}"), F.sum(F.length("word") + 1).alias(f"c_{part}"))
+
+    cells = parts(left, "rows", "x").join(parts(right, "columns", "y").hint("merge"), "block")
+    product = lambda a, b: (F.col(a).cast("decimal(38,0)") * F.col(b).cast("decimal(38,0)")).cast("decimal(38,0)")
+    plan = cells.select("block", "x", "y", product("n_x", "n_y").alias("comps"), product("c_x", "c_y").alias("cells"))
+    return materialize(assign_reducers(plan, reducers, ["block", "x", "y"], cost="cells"), "tasks")
+
+
+def _dealt(words: DataFrame, grid: DataFrame, cut: str, part: str) -> DataFrame:
+    """``words`` of blocks that both sources have, with their part. A hot block (a letter may hold a third of all words) is dealt over salts."""
+    sizes = grid.select("block", F.col("n_l" if cut == "rows" else "n_r").alias("n"))
+    looked = plan_lookup(words, grid.select("block", cut), sizes, salt_by="word")
+    return looked.withColumn(part, F.pmod(F.xxhash64("word"), F.col(cut)).cast("int")).drop(cut)
+
+
 def two_source_match(left_words: DataFrame, right_words: DataFrame, reducers: int = 4,
                      threshold: float = DEFAULT_THRESHOLD, partitions: int | None = None) -> DataFrame:
     """Every word of one source against every word of the other with the same
     first character: ``(word_a, word_b, similarity, occurrences)``, one row per
     pair of distinct words; ``occurrences`` is the number of occurrence pairs.
 
-    Repeated words are counted before the shuffle. A block (one letter) with
-    more pairs than the per-reducer target is salted on both sides into a grid
-    of about ``pairs / target`` cells; fewer than ``reducers`` blocks are, so
-    their table is broadcast.
+    A block (one letter) is cut into a grid of cells on both sides, the cells are
+    assigned to ``reducers`` by load and placed on their partitions (``partitions``
+    is the older name of that number).
     """
-    def counted(words: DataFrame, side: str) -> DataFrame:
-        return (words.groupBy("word").agg(F.count(F.lit(1)).alias(f"n{side}"))
-                     .withColumn("block", key_first_char("word")))
-
-    wl, wr = counted(left_words, "_a"), counted(right_words, "_b")
-    per_block = (wl.groupBy("block").agg(F.count(F.lit(1)).alias("dl"))
-                   .join(wr.groupBy("block").agg(F.count(F.lit(1)).alias("dr")), "block")
-                   .withColumn("pairs", F.col("dl") * F.col("dr")))
-    total = per_block.agg(F.sum("pairs").alias("total"))
-    grid = (with_totals(per_block, total)
-            .withColumn("target", F.greatest(F.lit(1), F.ceil(F.col("total") / reducers)))
-            .withColumn("ga", F.least(F.col("dl"), F.ceil(F.sqrt(F.col("pairs") / F.col("target")))))
-            .withColumn("gb", F.least(F.col("dr"), F.ceil(F.col("pairs") / F.col("target") / F.col("ga"))))
-            .filter(F.col("pairs") > F.col("target"))
-            .select("block", F.col("ga").cast("int").alias("ga"), F.col("gb").cast("int").alias("gb")))
-    salt = lambda n: F.pmod(F.xxhash64("word"), n).cast("int")
-
-    def dealt(words: DataFrame) -> DataFrame:
-        return (words.join(F.broadcast(grid), "block", "left")
-                     .withColumns({g: F.coalesce(g, F.lit(1)) for g in ("ga", "gb")}))
-
-    a = (dealt(wl)
-         .select("block", F.col("word").alias("text_a"), "n_a", salt(F.col("ga")).alias("x"),
-                 F.explode(F.sequence(F.lit(0), F.col("gb") - 1)).alias("y")))
-    b = (dealt(wr)
-         .select("block", F.col("word").alias("text_b"), "n_b", salt(F.col("gb")).alias("y"),
-                 F.explode(F.sequence(F.lit(0), F.col("ga") - 1)).alias("x")))
-    a = with_match_features(_placed(a, ["block", "x", "y"], partitions), "text_a", "_a")
-    b = with_match_features(_placed(b, ["block", "x", "y"], partitions), "text_b", "_b")
-    scored = _scored(a.hint("merge").join(b, ["block", "x", "y"]), threshold)
+    reducers = partitions or reducers
+    left, right = source_words(left_words, "left"), source_words(right_words, "right")
+    grid = two_source_grid(left, right, reducers)
+    tasks = two_source_plan(left, right, grid, reducers).select("block", "x", "y", "reducer", "rank")
+    # per part the cells it is in: at most as many as the other side has parts
+    a = (_dealt(left, grid, "rows", "x").withColumnsRenamed({"word": "text_a", "n": "n_a"})
+         .join(tasks.hint("merge"), ["block", "x"]).select("reducer", "rank", "text_a", "n_a"))
+    b = (_dealt(right, grid, "columns", "y").withColumnsRenamed({"word": "text_b", "n": "n_b"})
+         .join(tasks.hint("merge"), ["block", "y"]).select("reducer", "rank", "text_b", "n_b"))
+    a = with_match_features(place_by_reducer(a, reducers), "text_a", "_a")
+    b = with_match_features(place_by_reducer(b, reducers), "text_b", "_b")
+    scored = _scored(a.hint("merge").join(b, ["reducer", "rank"]), threshold)
     return scored.select(F.col("text_a").alias("word_a"), F.col("text_b").alias("word_b"), "similarity",
                          (F.col("n_a") * F.col("n_b")).alias("occurrences"))

@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from skewmatch.session import checkpoint_dir
+from skewmatch.session import run_dir
 from skewmatch.sources.paths import new_output_path
 
 _ROW_BITS = 33  # monotonically_increasing_id keeps the row number in the low 33 bits
@@ -33,8 +33,8 @@ def _partitions(df: DataFrame, partitions: int | None) -> int:
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to a fresh folder under the shared checkpoint folder and read it back."""
-    path = new_output_path(checkpoint_dir(df.sparkSession), name)
+    """Write ``df`` to a fresh folder of the run and read it back; see :func:`skewmatch.session.run_dir`."""
+    path = new_output_path(run_dir(df.sparkSession), name)
     df.write.parquet(path)
     return df.sparkSession.read.parquet(path)
 

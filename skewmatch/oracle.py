@@ -165,6 +165,9 @@ SPLIT_ROUTE = """split_route as (
 ORACLE = {
     "entity_lines": _with(DOCS) + "select doc_id, line_no, text from docs",
     "drop_empty_lines": _with(PAGE_LINES) + "select page_id, line_no, text from pl where text <> ''",
+    "file_lines": """select (row_number() over (order by doc_id, i) - 1)::BIGINT as id, t[i] as text from
+        (select doc_id, string_split(regexp_replace(text, '\r\n?', chr(10), 'g'), chr(10)) as t from documents where text is not null) s,
+        unnest(range(1, len(t) + 1)) as u(i)""",
     "write_matches": PAGE_MATCHES,
     "block_key_prefix": _with(DOCS) + f"select doc_id, line_no, text, {KEY4} as block from docs",
     "block_key_prefix_lower": _with(DOCS) + f"select doc_id, line_no, text, {KEY5} as block from docs",

@@ -29,10 +29,10 @@ from skewmatch.plans.slicer import slice_cost, slice_plan, slice_size
 from skewmatch.plans.split import TASK_KEY as SPLIT_KEY
 from skewmatch.plans.split import split_plan
 from skewmatch.plans.work import length_distribution
-from skewmatch.session import checkpoint_dir
+from skewmatch.session import run_dir
 from skewmatch.sources.paths import new_output_path
-from skewmatch.sources.lines import (drop_empty_lines, entity_lines, read_matches,
-                                     write_matches)
+from skewmatch.sources.lines import (drop_empty_lines, entity_lines, read_lines, read_matches,
+                                     write_lines, write_matches)
 from skewmatch.sources.tables import (benchmark_sources, distinct_lines, document_lines, page_lines,
                                       page_urls, part_names, table, tokenize_words)
 
@@ -93,10 +93,17 @@ def q_drop_empty_lines(spark, d):
 
 def q_write_matches(spark, d):
     matches = match.split_match(page_urls(spark, d), "prefix", threshold=THRESHOLD, **_width(spark))
-    path = write_matches(matches, new_output_path(checkpoint_dir(spark)))
+    path = write_matches(matches, new_output_path(run_dir(spark)))
     return read_matches(spark, path)
 
 
+def q_file_lines(spark, d):
+    """The document texts as text files in doc_id order, read back as numbered lines in twice as many partitions as parts."""
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    path = write_lines(docs, new_output_path(run_dir(spark), "lines"), ["doc_id"])
+    return read_lines(spark, path, line_numbers=True, partitions=2 * PARTS)
+
+
 # --- 2.2 projections, scalars, filters --------------------------------------
 
 def q_block_key_prefix(spark, d):
@@ -354,6 +361,7 @@ def q_reducer_load_slices(spark, d):
 QUERIES = {
     "entity_lines": q_entity_lines,
     "drop_empty_lines": q_drop_empty_lines,
+    "file_lines": q_file_lines,
     "write_matches": q_write_matches,
     "block_key_prefix": q_block_key_prefix,
     "block_key_prefix_lower": q_block_key_prefix_lower,

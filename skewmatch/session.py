@@ -6,8 +6,11 @@ settings from it (see :func:`checkpoint_dir`).
 
 from __future__ import annotations
 
+import contextlib
+import contextvars
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -54,3 +57,59 @@ def checkpoint_dir(spark: SparkSession) -> str:
     scratch = tempfile.mkdtemp(prefix="skewmatch-ckpt-", dir="/tmp")
     sc.setCheckpointDir(scratch)
     return sc.getCheckpointDir() or scratch
+
+
+#: The folder of the run that is under way, if a run was opened.
+_run: contextvars.ContextVar[str | None] = contextvars.ContextVar("skewmatch_run", default=None)
+
+
+def _path(spark: SparkSession, folder: str):
+    """The Hadoop file system of ``folder`` and its path there."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()), path
+
+
+def remove(spark: SparkSession, folder: str) -> None:
+    """Delete a folder, wherever Spark's file systems have it; one that is not there is no error."""
+    fs, path = _path(spark, folder)
+    fs.delete(path, True)
+
+
+def move(spark: SparkSession, source: str, target: str) -> None:
+    fs, path = _path(spark, source)
+    if not fs.rename(path, spark._jvm.org.apache.hadoop.fs.Path(target)):
+        raise OSError(f"could not move {source} to {target}")
+
+
+def exists(spark: SparkSession, folder: str) -> bool:
+    fs, path = _path(spark, folder)
+    return fs.exists(path)
+
+
+def run_dir(spark: SparkSession) -> str:
+    """Where intermediate tables go: the folder of the open run, else one per application in the shared checkpoint folder, which
+    the driver's JVM removes when it ends."""
+    if _run.get():
+        return _run.get()
+    folder = f"{checkpoint_dir(spark).rstrip('/')}/skewmatch-{spark.sparkContext.applicationId}"
+    fs, path = _path(spark, folder)
+    if fs.mkdirs(path):
+        fs.deleteOnExit(path)
+    return folder
+
+
+@contextlib.contextmanager
+def run(spark: SparkSession):
+    """A run whose intermediate tables are removed when it ends, in whichever way. Its results must be written (or collected)
+    inside::
+
+        with run(spark):
+            write_matches(split_match(entities), "out/")
+    """
+    folder = f"{checkpoint_dir(spark).rstrip('/')}/run-{uuid.uuid4().hex}"
+    token = _run.set(folder)
+    try:
+        yield folder
+    finally:
+        _run.reset(token)
+        remove(spark, folder)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from conftest import entities
 from skewmatch.operators import distribution as dist
 from skewmatch.operators import match
-from skewmatch.session import checkpoint_dir
+from skewmatch.session import checkpoint_dir, exists, run
 from skewmatch.sources.lines import drop_empty_lines, entity_lines, read_lines, read_matches, write_matches
 from skewmatch.sources.paths import new_output_path
 from skewmatch.sources.tables import document_lines, page_lines
@@ -26,6 +26,67 @@ def test_read_lines_numbers_lines(spark):
     assert sorted(r.text for r in plain) == sorted(SAMPLE) and len({r.id for r in plain}) == len(SAMPLE)
 
 
+def test_line_numbers_over_many_splits_and_files(spark, tmp_path):
+    for k in range(3):
+        with open(tmp_path / f"f{k}.txt", "w") as f:
+            f.writelines(f"file {k} line {i} {'x' * (i % 50)}\n" for i in range(2000 + k))
+    want = [f"file {k} line {i} {'x' * (i % 50)}" for k in range(3) for i in range(2000 + k)]
+    old = {c: spark.conf.get(c) for c in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "9000")
+    spark.conf.set("spark.sql.files.openCostInBytes", "100")
+    try:
+        lines = read_lines(spark, str(tmp_path), line_numbers=True)
+        assert lines.rdd.getNumPartitions() > 10
+        plan = lines._jdf.queryExecution().executedPlan().toString()
+        assert [(r.id, r.text) for r in lines.orderBy("id").collect()] == list(enumerate(want))
+        assert "rangepartitioning" not in plan and "Exchange" not in plan.split("FileScan")[0].replace("BroadcastExchange", "")
+        assert read_lines(spark, str(tmp_path), line_numbers=True, partitions=5).rdd.getNumPartitions() == 5
+    finally:
+        for c, v in old.items():
+            spark.conf.set(c, v)
+
+
+def _folders(base):
+    return sorted(os.listdir(base.removeprefix("file:")))
+
+
+def test_nothing_is_left_of_a_run(spark, tmp_path):
+    base = checkpoint_dir(spark)
+    before = _folders(base)
+    ents = entities(spark, SAMPLE)
+    with run(spark) as folder:
+        out = write_matches(match.split_match(ents), str(tmp_path / "out"))
+        assert exists(spark, folder)
+    assert _folders(base) == before and read_matches(spark, out).count() > 0
+    try:
+        with run(spark) as folder:
+            match.split_match(ents).select(F.raise_error(F.lit("broken"))).collect()
+    except Exception as e:
+        assert "broken" in str(e)
+    assert not exists(spark, folder) and _folders(base) == before
+
+
+def test_results_are_written_whole_or_not_at_all(spark, tmp_path):
+    out = str(tmp_path / "result")
+    bad = entities(spark, ["a", "b"]).select(F.when(F.col("text") == "b", F.raise_error(F.lit("broken"))).otherwise(F.col("text")).alias("t"))
+    for attempt in range(2):
+        try:
+            write_matches(bad, out)
+            raise AssertionError
+        except Exception as e:
+            assert "broken" in str(e)
+        assert os.listdir(tmp_path) == []
+    good = entities(spark, ["a", "b"])
+    write_matches(good, out)
+    try:
+        write_matches(good, out)
+        raise AssertionError
+    except FileExistsError:
+        pass
+    write_matches(good.limit(1), out, mode="overwrite")
+    assert os.listdir(tmp_path) == ["result"] and read_matches(spark, out).count() == 1
+
+
 def test_entity_lines_of_a_column(spark):
     df = spark.createDataFrame([(1, "a\nb\n"), (2, ""), (3, "\n")], "rid long, text string")
     got = entity_lines(df, "rid", "text").select("id", "text", "rid", "line_no").collect()
@@ -89,3 +150,18 @@ def test_two_source_grid_salting(spark):
     base = sorted(tuple(r) for r in match.two_source_match(left, right, reducers=1).collect())
     salted = sorted(tuple(r) for r in match.two_source_match(left, right, reducers=500).collect())
     assert base == salted and len(base) > 100
+
+
+def test_two_source_cells_are_even(spark):
+    from skewmatch.plans.assign import reducer_load
+
+    words = spark.range(3000).select(F.concat(F.when(F.col("id") % 3 == 0, "a").otherwise(F.chr(F.col("id") % 20 + 98)), F.hex("id"),
+                                              F.repeat(F.lit("z"), (F.col("id") % 9).cast("int"))).alias("word"))
+    left, right = match.source_words(words, "l"), match.source_words(words.filter("length(word) < 9"), "r")
+    for reducers in (8, 64):
+        grid = match.two_source_grid(left, right, reducers)
+        tasks = match.two_source_plan(left, right, grid, reducers)
+        pairs = left.join(right.withColumnRenamed("word", "other"), "block").count()
+        assert tasks.agg(F.sum("comps")).first()[0] == pairs
+        loads = [float(r.cells) for r in reducer_load(tasks, "cells").collect()]
+        assert max(loads) <= 1.1 * sum(loads) / reducers
