@@ -69,5 +69,5 @@ QUERIES = {f.__name__: f for f in (
     op1_minhash_near_dedup, op2_exact_dedup, op3_fingerprints, op4_packing, op5_brown_ngrams, op6_quality_classifier,
     op7_license_scan, op8_secret_scan, op9_suffix_dedup, op10_mixing, op11_top_k_search, op12_ranked_search,
     op13_merkle_manifest)}
-ORACLE = {"op2_exact_dedup": exact.ORACLE, "op11_top_k_search": nra.ORACLE, "op12_ranked_search": balltree.ORACLE,
-          "op13_merkle_manifest": merkle.ORACLE}
+ORACLE = {"op1_minhash_near_dedup": minhash.ORACLE, "op2_exact_dedup": exact.ORACLE, "op9_suffix_dedup": suffix.ORACLE,
+          "op11_top_k_search": nra.ORACLE, "op12_ranked_search": balltree.ORACLE, "op13_merkle_manifest": merkle.ORACLE}

@@ -347,3 +347,20 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
            .select("doc_id", "n_bytes", "blob", "spans")
            .mapInArrow(remove, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"))
     return apart.unionByName(cut)
+
+
+#: Every window of 400 bytes by its MD5, the bytes that repeated ones cover, and what is left.
+ORACLE = """
+WITH raw AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, strlen(coalesce(text, '')) AS n_bytes FROM documents),
+windows AS (SELECT doc_id, p, md5_number(substring(h, 2 * p + 1, 800)) AS w FROM raw, unnest(range(0, n_bytes - 399)) AS u(p)),
+hits AS (SELECT doc_id, p FROM windows WHERE w IN (SELECT w FROM windows GROUP BY w HAVING count(*) > 1)),
+steps AS (SELECT *, coalesce(p > lag(p) OVER g + 400, true) AS new FROM hits WINDOW g AS (PARTITION BY doc_id ORDER BY p)),
+numbered AS (SELECT *, sum(new::INT) OVER (PARTITION BY doc_id ORDER BY p) AS run FROM steps),
+spans AS (SELECT doc_id, min(p) AS a, max(p) + 400 AS b FROM numbered GROUP BY doc_id, run),
+cuts AS (SELECT doc_id, list(a ORDER BY a) AS starts, list(b ORDER BY a) AS ends, sum(b - a) AS gone, count(*) AS n FROM spans GROUP BY doc_id)
+SELECT doc_id, n_bytes, coalesce(gone, 0)::BIGINT AS n_removed, coalesce(n, 0) AS n_spans,
+       sha256(unhex(CASE WHEN n IS NULL THEN h ELSE array_to_string(list_transform(range(1, n + 2), lambda k:
+           substring(h, 2 * (CASE WHEN k = 1 THEN 0 ELSE ends[k - 1] END) + 1,
+                     2 * (CASE WHEN k = n + 1 THEN n_bytes ELSE starts[k] END - CASE WHEN k = 1 THEN 0 ELSE ends[k - 1] END))), '') END)) AS kept_sha256
+FROM raw LEFT JOIN cuts USING (doc_id)
+"""
