@@ -1,8 +1,9 @@
 """Bench: headline queries at $BENCH_SF_DIR on local[$BENCH_CPUS].
 
-Prints one JSON line: total seconds, seconds per query, result rows, and for
-the balanced matchers the largest reducer load divided by the target
-(1.0 = perfectly even).
+Prints one JSON line: total seconds, seconds per query, result rows, and
+largest reducer load divided by the mean (1.0 = perfectly even): in pairs for the
+plans by pairs (``max_load_over_target``), in edit-distance cells for the plan that the split
+matcher runs, and the pairs that it compares (``compared``).
 """
 
 from __future__ import annotations
@@ -18,6 +19,7 @@ from pyspark.sql import functions as F  # noqa: E402
 
 from skewmatch.operators import distribution as dist  # noqa: E402
 from skewmatch.operators import match  # noqa: E402
+from skewmatch.operators.distinct import representatives  # noqa: E402
 from skewmatch.plans.assign import reducer_load  # noqa: E402
 from skewmatch.registry import QUERIES  # noqa: E402
 from skewmatch.session import local_session  # noqa: E402
@@ -32,12 +34,28 @@ def _matcher(kind: str, source):
         ents = source(spark, d)
         if kind == "basic":
             return match.basic_match(ents, "prefix")
+        width = 3 * spark.sparkContext.defaultParallelism
         if kind == "split":
-            return match.split_match(ents, "prefix", PARTS, REDUCERS)
-        return match.slice_match(ents, "prefix", PARTS, REDUCERS)
+            return match.split_match(ents, "prefix", PARTS, width)
+        return match.slice_match(ents, "prefix", PARTS, width)
     return run
 
 
+def _cells(spark, d) -> dict:
+    """The plan by cells over the document lines: balance for three numbers of reducers, and the pairs left after each step."""
+    keyed = dist.keyed_entities(document_lines(spark, d))
+    reps, _ = representatives(keyed)
+    pairs = lambda df: int(dist.block_sizes(dist.block_partition_counts(df)).agg(F.sum("comps")).first()[0])
+    out = {"pairs": pairs(keyed), "of_distinct_texts": pairs(reps.withColumn("part", F.lit(0)))}
+    balance = {}
+    for reducers in (24, 64, 512):
+        banded, units, tasks = match.work_plan_assigned(reps, reducers)
+        top, total = reducer_load(tasks, "cells").agg(F.max("cells"), F.sum("cells")).first()
+        balance[str(reducers)] = round(float(top) * reducers / float(total), 4)
+        out["in_bands"] = int(tasks.agg(F.sum("comps")).first()[0])
+    return {"max_cells_over_mean": balance, "compared": out}
+
+
 def _balance(spark, d, kind: str, source) -> float:
     keyed = dist.keyed_entities(source(spark, d), "prefix", PARTS)
     plan = match.split_plan_assigned if kind == "split" else match.slice_plan_assigned
@@ -53,7 +71,10 @@ BENCH = {
     "pages_slice_match": _matcher("slice", page_urls),
     "parts_split_match": _matcher("split", part_names),
     "parts_slice_match": _matcher("slice", part_names),
+    "documents_basic_match": QUERIES["basic_match"],
     "documents_split_match": QUERIES["split_match"],
+    "documents_slice_match": QUERIES["slice_match"],
+    "documents_distinct_match": QUERIES["distinct_match"],
     "two_source_match": QUERIES["two_source_match"],
     "documents_block_distribution_matrix": QUERIES["block_distribution_matrix"],
     "documents_split_plan_assigned": QUERIES["assign_reducers"],
@@ -81,7 +102,7 @@ def main() -> None:
     sf = os.path.basename(sf_dir.rstrip("/")).replace("sf", "")
     print(json.dumps({"metric": "total_query_seconds", "value": round(sum(times.values()), 3), "unit": "sec",
                       "queries": times, "rows": rows, "max_load_over_target": balance,
-                      "reducers": REDUCERS, "parts": PARTS, "sf": sf}))
+                      **_cells(spark, sf_dir), "reducers": REDUCERS, "parts": PARTS, "sf": sf}))
     spark.stop()
 
 

@@ -28,7 +28,7 @@ from skewmatch.operators.distinct import length_band, member_pairs, representati
 from skewmatch.operators.distribution import block_stats, keyed_entities, with_totals
 from skewmatch.operators.ordinal import materialize
 from skewmatch.operators.pairs import LEFT, OWN, RIGHT, matching_pairs
-from skewmatch.operators.route import entity_positions, place_by_reducer, plan_lookup, slice_copies, split_route
+from skewmatch.operators.route import entity_positions, place_by_reducer, slice_copies, split_route
 from skewmatch.plans.assign import assign_reducers
 from skewmatch.plans.slicer import TASK_KEY as SLICE_KEY
 from skewmatch.plans.slicer import slice_plan
@@ -246,8 +246,7 @@ def two_source_grid(left: DataFrame, right: DataFrame, reducers: int, grain: int
     return materialize(with_totals(per_block, total)
                        .withColumn("rows", F.least(F.col("l"), F.greatest(F.lit(1), F.ceil(F.sqrt(cells * F.col("l") / F.col("r"))))))
                        .withColumn("columns", F.least(F.col("r"), F.greatest(F.lit(1), F.ceil(cells / F.col("rows")))))
-                       .select("block", F.col("rows").cast("int").alias("rows"), F.col("columns").cast("int").alias("columns"),
-                               F.col("l").alias("n_l"), F.col("r").alias("n_r")), "grid")
+                       .select("block", F.col("rows").cast("int").alias("rows"), F.col("columns").cast("int").alias("columns")), "grid")
 
 
 def two_source_plan(left: DataFrame, right: DataFrame, grid: DataFrame, reducers: int) -> DataFrame:
@@ -264,9 +263,9 @@ def two_source_plan(left: DataFrame, right: DataFrame, grid: DataFrame, reducers
 
 
 def _dealt(words: DataFrame, grid: DataFrame, cut: str, part: str) -> DataFrame:
-    """``words`` of blocks that both sources have, with their part. A hot block (a letter may hold a third of all words) is dealt over salts."""
-    sizes = grid.select("block", F.col("n_l" if cut == "rows" else "n_r").alias("n"))
-    looked = plan_lookup(words, grid.select("block", cut), sizes, salt_by="word")
+    """``words`` of blocks that both sources have, with their part. A block is a character, so the broadcast grid has at most as many rows
+    as there are characters (about 1.1 million, 30 bytes each), whatever the words."""
+    looked = words.join(F.broadcast(grid.select("block", cut)), "block")
     return looked.withColumn(part, F.pmod(F.xxhash64("word"), F.col(cut)).cast("int")).drop(cut)
 
 

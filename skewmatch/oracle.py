@@ -168,7 +168,8 @@ ORACLE = {
     "file_lines": """select (row_number() over (order by doc_id, i) - 1)::BIGINT as id, t[i] as text from
         (select doc_id, string_split(regexp_replace(text, '\r\n?', chr(10), 'g'), chr(10)) as t from documents where text is not null) s,
         unnest(range(1, len(t) + 1)) as u(i)""",
-    "write_matches": PAGE_MATCHES,
+    "write_matches": _with(PAGES.replace(KEY4, "regexp_extract(text, '//([^/]+)', 1)"))
+        + "select * from (" + _pairs_by_block("pages_e") + ") p where similarity >= 0.7",
     "block_key_prefix": _with(DOCS) + f"select doc_id, line_no, text, {KEY4} as block from docs",
     "block_key_prefix_lower": _with(DOCS) + f"select doc_id, line_no, text, {KEY5} as block from docs",
     "block_key_first_char": _with(BENCH) + """select word, substring(lower(word), 1, 1) as block

@@ -91,8 +91,13 @@ def q_drop_empty_lines(spark, d):
     return drop_empty_lines(page_lines(spark, d)).drop("id")
 
 
+def _host(url):
+    """The blocking key of urls: the host."""
+    return F.regexp_extract(url, "//([^/]+)", 1)
+
+
 def q_write_matches(spark, d):
-    matches = match.split_match(page_urls(spark, d), "prefix", threshold=THRESHOLD, **_width(spark))
+    matches = match.split_match(page_urls(spark, d), _host, threshold=THRESHOLD, **_width(spark))
     path = write_matches(matches, new_output_path(run_dir(spark)))
     return read_matches(spark, path)
 
