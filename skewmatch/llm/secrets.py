@@ -1,11 +1,8 @@
 """Secret scans: fixed patterns, and assignment-aware lexing.
 
-The lexer reads ``name = literal``, ``name: literal``, ``"name": "literal"`` and ``name => literal`` as pairs of source and
-configuration syntax. A literal is quoted (of any length, with escapes), or a bare run of token characters. The text
-of a quoted literal is read for pairs of its own, with its own names. Names bound to a literal are constants:
-``other = NAME`` passes the literal's place on to ``other``, in the order of the text. A literal scores by the sensitive
-words in the names that it is bound to and by its own look (length, classes of characters, entropy); from
-``THRESHOLD`` on its place is reported (kind ``lexed``).
+:mod:`skewmatch.llm.lexer` reads the pairs of names and literals of source and configuration syntax and resolves constants. A literal
+scores by the sensitive words in the names that it is bound to and by its own look (length, classes of
+characters, entropy); from ``THRESHOLD`` on its place is reported (kind ``lexed``), each piece of a joined literal as a find of its own.
 """
 
 from __future__ import annotations
@@ -19,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from skewmatch.llm.common import id_text
+from skewmatch.llm.lexer import pairs
 
 # fixed values: the base patterns
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -26,13 +24,12 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{32,}")
 KINDS = ("assign", "access", "hex", "lexed")
 
-PAIR = re.compile(r"""(?<![\w.-])["']?([A-Za-z_][\w.-]*)["']?[ \t]*(?:=>|:=|=|:)[ \t]*"""
-                  r"""(?:"((?:[^"\\\n]++|\\.)++)"|'((?:[^'\\\n]++|\\.)++)'|([A-Za-z0-9+/_=$.-]+))""", re.A)
 NAME_WORDS = {"password": 3, "passwd": 3, "pwd": 3, "passphrase": 3, "secret": 3, "token": 3, "apikey": 3, "credential": 3,
               "credentials": 3, "privatekey": 3, "accesskey": 3, "secretkey": 3, "authtoken": 3, "auth": 2, "bearer": 2,
               "key": 1, "salt": 1, "signature": 1, "private": 1, "access": 1, "api": 1, "client": 1, "session": 1}
 THRESHOLD = 5
 _ARMOR = re.compile(r"-----(?:BEGIN|END) [A-Z0-9 ]+-----")  # of PEM keys
+_BREAK = re.compile(r"[ \t]*+\n\s*+")  # lines of a block
 _SPLIT = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|\d+")
 _DULL = re.compile(r"(?:x+|\*+|\.+|<.*>|\$\{?.*|true|false|null|none|changeme|example|your.*)$", re.I)
 
@@ -44,38 +41,24 @@ def name_score(name: str) -> int:
     return sum(NAME_WORDS.get(w, 0) for w in [*words, *joined])
 
 
-def literal_score(text: str) -> int:
-    """How much a literal looks like a secret rather than a word or a placeholder (-3 to 3)."""
-    text = _ARMOR.sub("", text)
+def literal_score(text: str, quoted: bool = False) -> int:
+    """How much a literal looks like a secret rather than a word or a placeholder (-3 to 3). A bare word of one class is a word."""
+    text = _BREAK.sub("", _ARMOR.sub("", text)).strip()
     if len(text) < 8 or " " in text or _DULL.match(text):
         return -3
     classes = sum(any(f(c) for c in text) for f in (str.islower, str.isupper, str.isdigit))
     n = len(text)
     entropy = -sum(k / n * math.log2(k / n) for k in Counter(text).values())
-    return (classes >= 2) + (entropy >= 3) + (n >= 16) - 3 * (classes == 1 and not text.isdigit())
-
-
-def pairs(text: str, at: int, end: int, best: dict[tuple[int, int], int]) -> None:
-    """Add to ``best`` the places of the literals in a part of a text, with the best score of their names."""
-    bound: dict[str, tuple[int, int]] = {}
-    while match := PAIR.search(text, at, end):
-        name = match[1]
-        which = 2 if match[2] is not None else 3 if match[3] is not None else 4
-        place = match.span(which)
-        if which < 4:
-            pairs(text, *place, best)
-        elif match[4] in bound:
-            place = bound[match[4]]  # a constant: the literal it stands for
-        bound[name] = place
-        best[place] = max(best.get(place, 0), name_score(name))
-        at = match.end()
+    return (classes >= 2) + (entropy >= 3) + (n >= 16) - 3 * (classes == 1 and not quoted and not text.isdigit())
 
 
 def lexed(text: str) -> list[tuple[int, int]]:
     """Places of the literals whose names (direct, or through constants) are sensitive enough."""
-    best: dict[tuple[int, int], int] = {}
-    pairs(text, 0, len(text), best)
-    return sorted(p for p, score in best.items() if score >= 3 and score + literal_score(text[slice(*p)]) >= THRESHOLD)
+    best: dict[tuple[tuple[int, int], ...], tuple[int, bool]] = {}
+    for name, places, quoted in pairs(text):
+        best[places] = max(best.get(places, (0, quoted)), (name_score(name), quoted))
+    return sorted({p for places, (score, quoted) in best.items() if score >= 3
+                   and score + literal_score("".join(text[slice(*p)] for p in places), quoted) >= THRESHOLD for p in places})
 
 
 def spans(text: str) -> list[tuple[int, int, int]]:
@@ -87,7 +70,7 @@ def spans(text: str) -> list[tuple[int, int, int]]:
     if "AKIA" in text:
         found += [(m.start(), 1, m.end()) for m in ACCESS.finditer(text) if len(m[0]) >= 16]
     found += [(m.start(), 2, m.end()) for m in HEX.finditer(text)]
-    if "=" in text or ":" in text:
+    if "=" in text or ":" in text or "(" in text or "</" in text:
         found += [(a, 3, b) for a, b in lexed(text)]
     return sorted(found)
 
