@@ -2,10 +2,11 @@
 
 Every word's inverse document frequency is counted over all texts. The parts of a text are its lines, every run of as
 many words as a statement template has (across line ends, at each word), and the whole text; the first two are compared
-with the statements, the whole also with full licence texts. Runs are pruned by an upper bound of their cosine from sliding
-sums (repeated words only make a norm larger); what passes is scored exactly. A text is looked at if it has one of the
-statements' leading words, or one of the full texts' rarest ones: without any of them no part's cosine can reach
-the threshold (the other words' share of a template's squared weight is below its square), so nothing is lost. A file's licence is the full text that it is, or else
+with the statements, the whole also with full licence texts. A part's squared cosine to a template is at most the
+squared weight of the template's words in it (Cauchy and Schwarz). So only texts with one of a template's rarest words are
+looked at, and of these only the lines, the stretches of a statement's length and the whole texts that hold enough of
+a template's weight; the idf of all other words is joined to those alone. Runs are pruned once more by sliding sums (repeated
+words only make a norm larger); what passes is scored exactly, so nothing is lost. A file's licence is the full text that it is, or else
 its best statement; a file without one inherits from the nearest ancestor directory that holds a licence file, by joins on
 directory paths. Only DataFrame functions are used.
 """
@@ -84,39 +85,93 @@ def line_words(line: Column) -> Column:
     return F.filter(F.split(F.lower(line), _BREAK), lambda w: w != "")
 
 
+def known_words(files: DataFrame, vectors, idf: dict[str, float]) -> DataFrame:
+    """``(file, pos, line_no, place, many, term, weights, idf)`` of the words in ``files`` that some template has, with their weight
+    in every template; ``place`` is that in the line, ``many`` the line's number of words."""
+    terms = sorted({t for *_, v in vectors for t in v})
+    table = files.sparkSession.createDataFrame([(t, [float(v.get(t, 0.0)) for *_, v in vectors], idf[t]) for t in terms],
+                                               "term string, weights array<double>, idf double")
+    return files.select("file", F.posexplode("at").alias("pos", "x")).select("file", "pos", "x.*").join(F.broadcast(table), "term")
+
+
+def stretches(files: DataFrame, vectors, idf: dict[str, float], other: float, threshold: float) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Where a part may reach the threshold: ``(texts, lines, stretches)`` with ``file``, ``file, line_no`` and ``file, low, high``
+    (disjoint; they cover the texts, the lines and all runs).
+
+    A part's squared cosine is at most the squared weight of the template's words in it. For a whole text its norm is bounded too: words
+    outside the templates have at least the idf ``other``."""
+    least = threshold * threshold - 1e-9
+    known = written(known_words(files, vectors, idf))
+    brief = [(k, n) for k, (_, full, n, _) in enumerate(vectors) if not full]
+
+    def covered(k):
+        return F.sum(F.col("weights")[k] * F.col("weights")[k])
+
+    def some(tests):
+        return F.exists(F.array(*tests), lambda x: x)
+
+    once = known.groupBy("file", "term").agg(F.first("weights").alias("weights"), F.first("idf").alias("idf"), F.count(F.lit(1)).alias("n"))
+    value = F.col("n") * F.col("idf")
+    whole = once.groupBy("file").agg(F.sum("n").alias("n"), F.sum(value * value).alias("norm"), *[
+        F.when(covered(k) >= least, F.sum(value * F.col("weights")[k])).alias(f"dot{k}") for k in range(len(vectors))])
+    norm = F.col("norm") + (F.col("size") - F.col("n")) * other * other
+    dot = F.array_max(F.array(*[f"dot{k}" for k in range(len(vectors))]))
+    texts = written(whole.join(files.select("file", F.size("at").alias("size")), "file")
+                    .filter(dot >= (threshold - 1e-9) * F.sqrt(norm)).select("file", "size"))
+    lines = written(known.groupBy("file", "line_no", "term").agg(F.first("weights").alias("weights"), F.min(F.col("pos") - F.col("place")).alias("low"),
+                                                                 F.first("many").alias("many"))
+                    .groupBy("file", "line_no", "low", "many").agg(some([covered(k) >= least for k, _ in brief]).alias("may"))
+                    .filter("may").select("file", "line_no", "low", (F.col("low") + F.col("many") - 1).alias("high")))
+    ordered = Window.partitionBy("file").orderBy("pos")
+    marks = (known.select("file", "pos", F.array_max(F.array(*[
+        F.when(covered(k).over(ordered.rangeBetween(0, n - 1)) >= least, F.lit(n)).otherwise(F.lit(0)) for k, n in brief])).alias("n"))
+        .filter("n > 0").select("file", F.greatest(F.lit(0), F.col("pos") - F.col("n") + 1).alias("low"), (F.col("pos") + F.col("n") - 1).alias("high")))
+    spans = marks.unionByName(lines.select("file", "low", "high")).unionByName(
+        texts.select("file", F.lit(0).alias("low"), (F.col("size") - 1).alias("high")))
+    by_low = Window.partitionBy("file").orderBy("low", "high")
+    before = F.max("high").over(by_low.rowsBetween(Window.unboundedPreceding, -1))
+    opens = F.when(F.col("low") <= before, F.lit(0)).otherwise(F.lit(1))
+    merged = (spans.withColumn("opens", opens).withColumn("island", F.sum("opens").over(by_low.rowsBetween(Window.unboundedPreceding, 0)))
+              .groupBy("file", "island").agg(F.min("low").alias("low"), F.max("high").alias("high")).drop("island"))
+    return texts.select("file"), lines.select("file", "line_no"), merged
+
+
 def runs(valued: DataFrame, vectors, threshold: float) -> DataFrame:
     """``(file, start, words)`` of the runs of words that may reach the threshold, each as long as a statement.
 
-    ``valued``: ``file, pos, term, idf`` per word. The dot product and a lower bound of the squared norm are sliding sums."""
-    spark = valued.sparkSession
-    terms = sorted({t for _, _, v in vectors for t in v})
-    table = spark.createDataFrame([(t, [float(v.get(t, 0.0)) for _, _, v in vectors]) for t in terms], "term string, weights array<double>")
-    ordered = Window.partitionBy("file").orderBy("pos")
+    ``valued``: ``file, low, pos, term, idf`` per word. The dot product and a lower bound of the squared norm are sliding sums. A run that
+    the end of a stretch cuts short has too little of a statement's squared weight (else the stretch would go on) and fails when scored."""
+    brief = [(k, n) for k, (_, full, n, _) in enumerate(vectors) if not full]
+    terms = sorted({t for _, full, _, v in vectors if not full for t in v})
+    table = valued.sparkSession.createDataFrame([(t, [float(vectors[k][3].get(t, 0.0)) for k, _ in brief]) for t in terms],
+                                                "term string, weights array<double>")
+    ordered = Window.partitionBy("file", "low").orderBy("pos")
     tests = []
-    for k, (_, n, _) in enumerate(vectors):
+    for j, (_, n) in enumerate(brief):
         frame = ordered.rowsBetween(0, n - 1)
-        dot = F.sum(F.coalesce(F.col("weights")[k], F.lit(0.0)) * F.col("idf")).over(frame)
+        dot = F.sum(F.coalesce(F.col("weights")[j], F.lit(0.0)) * F.col("idf")).over(frame)
         norm = F.sum(F.col("idf") * F.col("idf")).over(frame)
         tests.append(F.when(dot >= (threshold - 1e-9) * F.sqrt(norm), F.lit(n)))
     return (valued.join(F.broadcast(table), "term", "left").select("file", F.col("pos").alias("start"), F.array(*tests).alias("tests"))
             .select("file", "start", F.explode(F.array_distinct(F.filter("tests", lambda x: x.isNotNull()))).alias("words")))
 
 
-def statements(valued: DataFrame, statement_vectors, full_vectors, threshold: float) -> DataFrame:
+def statements(valued: DataFrame, texts: DataFrame, lines: DataFrame, vectors, threshold: float) -> DataFrame:
     """``(file, full, start, stop, line_no, license, cosine)`` of the parts that reach the threshold, from ``valued``: ``file,
-    near, pos, line_no, term, idf`` per word (``near``: its file has a leading word of a statement)."""
-    spark = valued.sparkSession
-    sized = [(name, sum(1 for _ in words(text)), v) for (name, v), text in statement_vectors]
-    table = spark.createDataFrame(
-        [(k, name, full, t, float(x)) for k, (name, full, v) in enumerate(
-            [(name, False, v) for (name, v), _ in statement_vectors] + [(name, True, v) for (name, v), _ in full_vectors])
-         for t, x in v.items()], "template int, license string, full boolean, term string, weight double")
-    near = valued.filter("near")
-    found = written(runs(near, sized, threshold))
+    low, pos, line_no, term, idf`` per word of the stretches; ``texts`` and ``lines`` are the parts of these kinds to score."""
+    table = valued.sparkSession.createDataFrame(
+        [(k, name, full, t, float(x)) for k, (name, full, _, v) in enumerate(vectors) for t, x in v.items()],
+        "template int, license string, full boolean, term string, weight double")
+    found = written(runs(valued, vectors, threshold))
     reach = found.select("file", "start", "words", F.explode(F.sequence("start", F.col("start") + F.col("words") - 1)).alias("pos"))
-    parts = (reach.join(near, ["file", "pos"]).select("file", F.lit(2).alias("kind"), F.struct("start", "words").alias("part"), "pos", "line_no", "term", "idf")
-             .unionByName(near.select("file", F.lit(1).alias("kind"), F.struct(F.col("line_no").alias("start"), F.lit(0).alias("words")).alias("part"), "pos", "line_no", "term", "idf"))
-             .unionByName(valued.select("file", F.lit(0).alias("kind"), F.struct(F.lit(0).alias("start"), F.lit(0).alias("words")).alias("part"), "pos", "line_no", "term", "idf")))
+    word = ["pos", "line_no", "term", "idf"]
+
+    def kind(number, start, count):
+        return "file", F.lit(number).alias("kind"), F.struct(start.alias("start"), count.alias("words")).alias("part"), *word
+
+    parts = (reach.join(valued, ["file", "pos"]).select(*kind(2, F.col("start"), F.col("words")))
+             .unionByName(valued.join(lines, ["file", "line_no"], "left_semi").select(*kind(1, F.col("line_no"), F.lit(0))))
+             .unionByName(valued.join(texts, "file", "left_semi").select(*kind(0, F.lit(0), F.lit(0)))))
     part = ["file", "kind", "part"]
     counted = parts.groupBy(*part, "term").agg((F.count(F.lit(1)) * F.first("idf")).alias("value"), F.min("pos").alias("first"),
                                                F.max("pos").alias("last"), F.min("line_no").alias("line_no"))
@@ -170,27 +225,38 @@ def scan_licenses(docs: DataFrame, path: Column, stands: Column | None = None, i
     total = plain.count()
     counts = written(plain.select(F.explode(F.array_distinct(line_words(F.col("text")))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n")))
     vocabulary = sorted({w for group in (templates, full) for texts in group.values() for t in texts for w in words(t)})
-    ours = plain.sparkSession.createDataFrame([(t,) for t in vocabulary], "term string")
-    seen = dict(counts.join(F.broadcast(ours), "term").select("term", "n").collect())
+    ours = F.broadcast(plain.sparkSession.createDataFrame([(t,) for t in vocabulary], "term string"))
+    seen = dict(counts.join(ours, "term").select("term", "n").collect())
     idf = {t: math.log((1 + total) / (1 + seen.get(t, 0))) + 1 for t in vocabulary}
-    vectors, full_vectors = ([*zip(weights(group, idf), (t for name in sorted(group) for t in group[name]))] for group in (templates, full))
-    leads = leading([v for v, _ in vectors], threshold)
-    rare = [t for t in leading([v for v, _ in full_vectors], threshold, idf) if t in seen]
-    wanted = F.arrays_overlap(line_words(F.col("text")), F.array(*map(F.lit, rare))) if rare else F.lit(False)
-    files = written(plain.withColumn("near", has_any(F.col("text"), leads)).select(
-        "doc_id", "path", "near", F.when(F.col("near") | wanted, F.col("text")).alias("text"))
-        .withColumn("file", F.monotonically_increasing_id()))
-    at = F.flatten(F.transform(F.split("text", "\n"), lambda x, k: F.transform(line_words(x), lambda w: F.struct(k.alias("line_no"), w.alias("term")))))
-    tokens = written(files.filter("text is not null").select("file", "near", F.posexplode(at).alias("pos", "at")).select("file", "near", "pos", "at.*"))
+    often = counts.join(ours, "term", "left_anti").agg(F.max("n")).first()[0] or 0
+    other = math.log((1 + total) / (1 + often)) + 1
+    vectors = [(name, group is full, len(words(t)), v) for group in (templates, full)
+               for (name, v), t in zip(weights(group, idf), (t for name in sorted(group) for t in group[name]))]
+    leads, rare = ([t for t in leading([(name, v) for name, whole, _, v in vectors if whole == kind], threshold, idf) if t in seen]
+                   for kind in (False, True))
+    wanted = has_any(F.col("text"), leads) if leads else F.lit(False)
+    if rare:
+        wanted = wanted | F.arrays_overlap(line_words(F.col("text")), F.array(*map(F.lit, rare)))
+    files = written(plain.select("doc_id", "path", F.when(wanted, F.col("text")).alias("text"))
+                    .withColumn("file", F.monotonically_increasing_id()))
+    at = F.flatten(F.transform(F.transform(F.split("text", "\n"), line_words), lambda ws, k: F.transform(
+        ws, lambda w, j: F.struct(k.alias("line_no"), j.alias("place"), F.size(ws).alias("many"), w.alias("term")))))
+    held = files.filter("text is not null").select("file", at.alias("at"))
+    texts, lines, spans = stretches(held, vectors, idf, other, threshold)
+    listed = written(spans.groupBy("file").agg(F.collect_list(F.struct("low", "high")).alias("spans")))
+    cut = F.flatten(F.transform("spans", lambda s: F.transform(
+        F.slice("at", s["low"] + 1, s["high"] - s["low"] + 1), lambda x, j: F.struct(
+            s["low"].alias("low"), (s["low"] + j).alias("pos"), x["line_no"].alias("line_no"), x["term"].alias("term")))))
+    tokens = written(held.join(listed, "file").select("file", F.explode(cut).alias("x")).select("file", "x.*"))
     measured = counts.select("term", (F.log((1 + total) / (1 + F.col("n"))) + 1).alias("idf"))
     valued = written(hot_join(tokens, measured, ["term"]))
-    found = written(statements(valued, vectors, full_vectors, threshold))
+    found = written(statements(valued, texts, lines, vectors, threshold))
     before = F.max("stop").over(Window.partitionBy("file").orderBy("start", "stop", "license", "full", "cosine").rowsBetween(Window.unboundedPreceding, -1))
     own = found.withColumn("opens", F.coalesce((F.col("start") >= before).cast("int"), F.lit(1))).groupBy("file").agg(
         F.min(F.struct((~F.col("full")).alias("part"), (-F.col("cosine")).alias("down"), "start", "license")).alias("best"),
         F.sum("opens").alias("n_statements"), F.min("line_no").alias("first_line"))
     rule = F.coalesce(F.col("path").rlike(LICENCE_FILE) if stands is None else stands, F.lit(False))
-    marked = written(files.drop("text", "near").join(own, "file", "left").select(
+    marked = written(files.drop("text").join(own, "file", "left").select(
         "file", "doc_id", "path", parent(F.col("path")).alias("directory"), F.col("best.license").alias("license"),
         (-F.col("best.down")).alias("cosine"), F.coalesce("n_statements", F.lit(0)).cast("long").alias("n_statements"),
         rule.alias("stands")))
