@@ -237,6 +237,14 @@ def test_licenses(spark):
                    4: (None, None, None), 5: (None, None, None), 6: (None, None, None)}
 
 
+def test_licenses_in_long_repeated_and_missing_texts(spark):
+    long = "released under\nthe mit license. " + "w " * 50_000
+    rows = [(1, None, "a/x"), (2, "", None), (3, long, "a/LICENSE"), (3, long, "a/LICENSE"), (4, "nothing", "a/b/c"), (5, "MIT " * 3000, "q")]
+    table = spark.createDataFrame(rows, "doc_id long, text string, p string")
+    got = sorted((r.doc_id, r.license, r.n_statements, r.inherited) for r in licenses.scan_licenses(table, F.col("p")).collect())
+    assert got == [(1, None, 0, "MIT"), (2, None, 0, None), (3, "MIT", 1, None), (3, "MIT", 1, None), (4, None, 0, "MIT"), (5, None, 0, None)]
+
+
 def test_license_query_inherits_as_brute_force(spark, sf_dir):
     from skewmatch.llm.queries import op7_license_scan
 
