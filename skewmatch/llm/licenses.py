@@ -216,7 +216,8 @@ def scan_licenses(docs: DataFrame, path: Column, stands: Column | None = None, i
     first statement) that says which files with a licence license their directory (by default: named like a licence file). A null or empty text
     has no statement, a null path no directory; ties go to the licence that sorts first; repeated rows
     are files of their own; an empty table gives no rows; other columns are ignored. ``n_statements`` counts stretches of overlapping
-    finds. The template words' document counts (a fixed number of rows) reach the driver.
+    finds. A text of any length is scanned whole, its words as one array in a task. The template words' document counts
+    (a fixed number of rows) and the largest count of any other word reach the driver.
     """
     full = FULL if templates is None else {}
     templates = TEMPLATES if templates is None else templates
