@@ -360,10 +360,71 @@ def test_mixing(docs, rows):
     assert {d: n for d, n in words.items() if n} == {d: r.taken for d, r in got.items() if r.taken}
 
 
-def test_targets_reshare_the_excess():
-    assert mixing.targets([10, 1000, 1000]) == pytest.approx([20.0, 2995 * 2 / 3 - 2 / 3, 3015 - 20 - (2995 * 2 / 3 - 2 / 3)], rel=1e-2)
-    assert mixing.targets([100, 100]) == [200.0, 100.0]
-    assert mixing.targets([]) == [] and mixing.targets([0, 0]) == [0.0, 0.0]
+def plain_targets(sizes, weights=mixing.WEIGHTS, share=1.5, most=2.0):
+    left, free, out = share * sum(sizes), set(range(len(sizes))), [0.0] * len(sizes)
+    while free:
+        unit = left / sum(weights[k % 3] for k in free)
+        over = [k for k in free if unit * weights[k % 3] > most * sizes[k]]
+        for k in over or free:
+            out[k] = most * sizes[k] if over else unit * weights[k % 3]
+        left -= sum(out[k] for k in over)
+        free = free - set(over) if over else set()
+    return out
+
+
+def _targets(spark, sizes):
+    table = spark.createDataFrame(list(enumerate(sizes)), "source_no long, size long")
+    return [r.target for r in mixing.with_targets(table).orderBy("source_no").collect()]
+
+
+def test_targets_reshare_the_excess(spark):
+    assert _targets(spark, [10, 1000, 1000]) == pytest.approx([20.0, 2995 * 2 / 3 - 2 / 3, 3015 - 20 - (2995 * 2 / 3 - 2 / 3)], rel=1e-2)
+    assert _targets(spark, [100, 100]) == [200.0, 100.0]
+    assert _targets(spark, []) == [] and _targets(spark, [0, 0]) == [0.0, 0.0]
+    rng = random.Random(9)
+    for sizes in ([int(2 ** rng.uniform(0, 20)) for _ in range(300)], [3 ** k for k in range(20)], [0, 7, 0, 10 ** 12]):
+        assert _targets(spark, sizes) == pytest.approx(plain_targets(sizes), rel=1e-9)
+
+
+def test_slots_of_all_groups_add_up():
+    """The tree of sources: every shard is full, every source gets its quota, and ranges of shards give what all of them give."""
+    rng = np.random.default_rng(4)
+    quotas = [rng.integers(0, 60, 5), np.array([9000]), rng.integers(0, 3, 40), np.array([0]), np.array([700, 0, 1])]
+    sums, per = [int(q.sum()) for q in quotas] + [0] * 3, 64
+    shards = -(-sum(sums) // per)
+    filled = np.zeros(shards, np.int64)
+    for g, quota in enumerate(quotas):
+        others = [sum(sums[n << level:(n + 1) << level]) for level in (2, 1, 0) for n in ((g >> level) ^ 1,)]
+        found = list(mixing.shard_counts(g, quota, others, 0, shards, shards, per, 5))
+        some = [x for a, b in ((0, 9), (9, 40), (40, shards)) for x in mixing.shard_counts(g, quota, others, a, b, shards, per, 5)]
+        assert all(a == x and (b == y).all() and (c == z).all() for (a, b, c), (x, y, z) in zip(found, some, strict=True))
+        so_far = np.zeros_like(quota)
+        for shard, count, before in found:
+            assert (before == so_far).all()
+            filled[shard] += count.sum()
+            so_far = so_far + count
+        assert (so_far == quota).all()
+    assert (filled[:-1] == per).all() and filled.sum() == sum(sums)
+
+
+def test_mixing_many_sources(spark):
+    """More sources than a list on the driver should hold, one of them with a third of all rows, one null."""
+    n = 200_000
+    name = F.when(F.col("id") % 3 == 0, F.lit("hot")).when(F.col("id") == 1, F.lit(None)).otherwise(F.concat(F.lit("s"), F.col("id").cast("string")))
+    docs = spark.range(3 * n // 2).select(F.col("id").alias("doc_id"), name.alias("source"),
+                                          F.array_join(F.array_repeat(F.lit("w"), (F.col("id") % 7).cast("int")), " ").alias("text"))
+    got = {r.doc_id: r for r in mixing.mix(docs, block=2, per_shard=4096).collect()}
+    assert len(got) == 3 * n // 2 and all(r.size == d % 7 and r.taken <= 2 * r.size for d, r in got.items())
+    names = sorted({f"s{d}" for d in got if d % 3 and d != 1} | {"hot"})
+    hot = sum(d % 7 for d in got if d % 3 == 0)
+    sizes = [hot if s == "hot" else int(s[1:]) % 7 for s in names] + [1]
+    want = dict(zip([*names, None], plain_targets(sizes)))
+    source = {d: "hot" if d % 3 == 0 else None if d == 1 else f"s{d}" for d in got}
+    assert all(r.target == pytest.approx(want[source[d]], rel=1e-9) for d, r in got.items())
+    taken = Counter()
+    for d, r in got.items():
+        taken[source[d]] += r.taken
+    assert all(abs(taken[s] - t) <= 4 for s, t in want.items())
 
 
 def test_permutation_is_one():
