@@ -4,7 +4,8 @@
 2. Frequent words, those with at least ``share`` of all training tokens (so at most 1/``share`` of them at any
    size), are clustered: sweeps over the blocks sum, for each frequent word, the classes on its left and right (rarer words
    are one class, ends another); each sweep moves a word to the class in which the class bigrams are
-   likeliest (words take turns, half of them in a sweep).
+   likeliest, its own counts taken out of its class (words take turns, half of them in a sweep). The sweeps end when the
+   mutual information of neighbouring classes has not risen for either half; the best classes stay.
 3. Every other word is exchanged once, over the whole corpus: each training occurrence votes for the class that is
    likeliest between its neighbours, and the word joins the class with most votes (smallest number on a tie).
 4. With all words classed, transitions and class sizes are counted over the training tokens.
@@ -29,6 +30,7 @@ CLASSES = 64  # 0 is the end of a text, the last one is for words not placed yet
 END = 0x1F3D5B79A1C2E3F4  # the end token's number
 BLOCK_TOKENS = 2_500_000
 DISCOUNT = 0.75
+RISE = 1e-3  # a sweep that raises the mutual information by a smaller share counts as idle
 
 
 def held_out(doc_id) -> F.Column:
@@ -159,18 +161,36 @@ def _sum_row(word, total):
     return pa.record_batch([pa.array([word], pa.int32()), pa.array([total.tobytes()], pa.binary())], names=["word", "sums"])
 
 
+def class_sums(near: np.ndarray, classes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``into[c, x]``: tokens of class x before a word of class c; ``out[c, x]``: those after one."""
+    into, out = np.zeros((CLASSES, CLASSES)), np.zeros((CLASSES, CLASSES))
+    np.add.at(into, classes, near[:, :CLASSES])
+    np.add.at(out, classes, near[:, CLASSES:])
+    return into, out
+
+
+def information(near: np.ndarray, classes: np.ndarray) -> float:
+    """Mutual information of a frequent word's class and the next token's, in nats a token: what the exchange raises."""
+    _, out = class_sums(near, classes)
+    total = max(1.0, out.sum())
+    free = np.outer(out.sum(axis=1), out.sum(axis=0)) / total
+    some = out > 0
+    return float((out[some] * np.log(out[some] / free[some])).sum() / total)
+
+
 def exchanged(near: np.ndarray, classes: np.ndarray, turn: int) -> np.ndarray:
     """One sweep of moves: each word whose turn it is takes the class that raises the class-bigram
-    log-likelihood most, all other words as they are."""
+    log-likelihood most, all other words as they are; its own class is judged without the word."""
     left, right = near[:, :CLASSES].astype(float), near[:, CLASSES:].astype(float)
     n = left.sum(axis=1)
-    into, out = np.zeros((CLASSES, CLASSES)), np.zeros((CLASSES, CLASSES))
-    np.add.at(into, classes, left)   # into[c, x]: x before a word of class c
-    np.add.at(out, classes, right)   # out[c, x]: x after a word of class c
+    into, out = class_sums(near, classes)
     size = np.bincount(classes, weights=n, minlength=CLASSES)
     log = lambda x: np.log(x + 0.1)
     # gain of a word per class: its neighbours under the class's own neighbour shares
     gain = left @ (log(into) - log(size)[:, None]).T + right @ (log(out) - log(size)[:, None]).T
+    alone = log(size[classes] - n)[:, None]
+    gain[np.arange(len(classes)), classes] = (left * (log(into[classes] - left) - alone)).sum(axis=1) + (
+        right * (log(out[classes] - right) - alone)).sum(axis=1)
     gain[:, [0, CLASSES - 1]] = -np.inf
     new = gain.argmax(axis=1)
     mine = (np.arange(len(classes)) * 2654435761 >> 7) % 2 == turn % 2
@@ -314,13 +334,14 @@ def likelihoods(counts: np.ndarray, types: np.ndarray):
     return np.log10(step), np.log10(np.maximum(size, 1.0)), np.log10(step @ spare)
 
 
-def language_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", share: float = 2e-5, sweeps: int = 6,
+def language_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", share: float = 2e-5, sweeps: int = 24,
                     block_tokens: int = BLOCK_TOKENS) -> DataFrame:
     """One row per input row: ``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score``.
 
     A null or empty text is its end token alone; a row without ``doc_id`` trains and is scored; repeated rows
     count each; an empty table, or one without training rows, gives finite scores for whatever rows it has; other
-    columns are ignored. At most 1/``share`` words, their class vectors and one class matrix reach the driver.
+    columns are ignored. A text of any length is scored whole; words that tie for a class take the one with the smallest number. There are
+    at most ``sweeps`` sweeps. At most 1/``share`` words, their class vectors and one class matrix reach the driver.
     """
     spark = docs.sparkSession
     blocks = written(id_text(docs, id_col, text_col).withColumn("held", held_out("doc_id"))
@@ -336,18 +357,21 @@ def language_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     classes = 1 + rank % (CLASSES - 2)
     classes[words == np.uint64(END)] = 0
 
-    near = np.zeros((len(words), 2 * CLASSES), np.int64)
+    near, best, most, idle = np.zeros((len(words), 2 * CLASSES), np.int64), (classes, None), -1.0, 0
     for turn in range(sweeps if frequent else 0):
         summed = (plain.mapInArrow(neighbour_classes(words, classes), "word int, sums binary")
                        .repartition("word").sortWithinPartitions("word").mapInArrow(add_sums, "word int, sums binary"))
         for row in summed.collect():  # one vector per frequent word
             near[row["word"]] = np.frombuffer(row["sums"], "<i8")
-        if turn < sweeps - 1:
-            classes = exchanged(near, classes, turn)
-    step = np.zeros((CLASSES, CLASSES))
-    np.add.at(step, classes, near[:, CLASSES:])
-    to = np.zeros((CLASSES, CLASSES))
-    np.add.at(to, classes, near[:, :CLASSES])
+        now = information(near, classes)
+        idle = 0 if now > most * (1 + RISE) else idle + 1
+        if now > most:
+            best, most = (classes, near.copy()), now
+        if idle == 2:
+            break
+        classes = exchanged(near, classes, turn)
+    classes, near = best[0], near if best[1] is None else best[1]
+    to, step = class_sums(near, classes)
     size = np.maximum(1.0, step.sum(axis=1))
     # the class c between a and b: P(c | a) P(b | c), from the neighbours of the classed words
     enter, leave = np.log((to.T + 0.5) / (size + 0.5 * CLASSES)), np.log((step + 0.5) / (size + 0.5 * CLASSES)[:, None])
