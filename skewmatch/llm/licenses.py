@@ -3,8 +3,8 @@
 Every word's inverse document frequency is counted over all texts. The parts of a text are its lines, every run of as
 many words as a statement template has (across line ends, at each word), and the whole text; the first two are compared
 with the statements, the whole also with full licence texts. A part's squared cosine to a template is at most the
-squared weight of the template's words in it (Cauchy and Schwarz). So only texts with one of a template's rarest words are
-looked at, and of these only the lines, the stretches of a statement's length and the whole texts that hold enough of
+squared weight of the template's words in it (Cauchy and Schwarz). So only texts with one of a template's rarest words, and
+with enough of a template's weight in all, are looked at, and of these only the lines, the stretches of a statement's length and the whole texts that hold enough of
 a template's weight; the idf of all other words is joined to those alone. Runs are pruned once more by sliding sums (repeated
 words only make a norm larger); what passes is scored exactly, so nothing is lost. A file's licence is the full text that it is, or else
 its best statement; a file without one inherits from the nearest ancestor directory that holds a licence file, by joins on
@@ -13,6 +13,7 @@ directory paths. Only DataFrame functions are used.
 
 from __future__ import annotations
 
+import json
 import math
 import re
 from collections import Counter
@@ -81,6 +82,15 @@ def has_any(text: Column, terms: list[str]) -> Column:
     return F.lower(text).rlike("(?<![a-z0-9])(?:" + "|".join(terms) + ")(?![a-z0-9])")
 
 
+def has_weight(text: Column, vectors: list[tuple[str, dict[str, float]]], threshold: float) -> Column:
+    """Whether the words of ``text`` hold enough of one template's squared weight for some part to reach ``threshold``."""
+    terms = sorted({t for _, v in vectors for t in v})
+    squares = F.from_json(F.lit(json.dumps({t: [v.get(t, 0.0) ** 2 for _, v in vectors] for t in terms})), "map<string,array<double>>")
+    held = F.aggregate(F.array_intersect(line_words(text), F.array(*map(F.lit, terms))), F.array_repeat(F.lit(0.0), len(vectors)),
+                       lambda sums, t: F.zip_with(sums, F.element_at(squares, t), lambda x, y: x + y))
+    return F.exists(held, lambda x: x >= threshold * threshold - 1e-9)
+
+
 def line_words(line: Column) -> Column:
     return F.filter(F.split(F.lower(line), _BREAK), lambda w: w != "")
 
@@ -235,7 +245,8 @@ def scan_licenses(docs: DataFrame, path: Column, stands: Column | None = None, i
                for (name, v), t in zip(weights(group, idf), (t for name in sorted(group) for t in group[name]))]
     leads, rare = ([t for t in leading([(name, v) for name, whole, _, v in vectors if whole == kind], threshold, idf) if t in seen]
                    for kind in (False, True))
-    wanted = has_any(F.col("text"), leads) if leads else F.lit(False)
+    brief = [(name, v) for name, whole, _, v in vectors if not whole]
+    wanted = F.when(has_any(F.col("text"), leads), has_weight(F.col("text"), brief, threshold)).otherwise(F.lit(False)) if leads else F.lit(False)
     if rare:
         wanted = wanted | F.arrays_overlap(line_words(F.col("text")), F.array(*map(F.lit, rare)))
     files = written(plain.select("doc_id", "path", F.when(wanted, F.col("text")).alias("text"))
