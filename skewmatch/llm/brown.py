@@ -191,6 +191,7 @@ def exchanged(near: np.ndarray, classes: np.ndarray, turn: int) -> np.ndarray:
     alone = log(size[classes] - n)[:, None]
     gain[np.arange(len(classes)), classes] = (left * (log(into[classes] - left) - alone)).sum(axis=1) + (
         right * (log(out[classes] - right) - alone)).sum(axis=1)
+    gain[:, size == 0] = -np.inf  # an empty class stays empty, and a class's only word stays in it
     gain[:, [0, CLASSES - 1]] = -np.inf
     new = gain.argmax(axis=1)
     mine = (np.arange(len(classes)) * 2654435761 >> 7) % 2 == turn % 2

@@ -200,6 +200,31 @@ def test_language_scores(docs, rows):
     assert sum(r.score for r in got.values()) > sum(r.base_score for r in got.values())
 
 
+def test_exchange_mends_planted_classes():
+    """Words of two kinds that alternate, a fifth of them in the other's class: a local search from there parts the kinds, and the
+    information rises to that of two classes."""
+    rng, kind = np.random.default_rng(1), np.arange(60) % 2
+    text = [int(rng.choice(np.flatnonzero(kind == k % 2))) for k in range(20_000)]
+    classes, seen = 1 + np.where(np.arange(60) % 5 == 0, 1 - kind, kind), []
+    for turn in range(4):
+        cls, near = classes[text], np.zeros((60, 2 * brown.CLASSES), np.int64)
+        np.add.at(near, (text[1:], cls[:-1]), 1)
+        np.add.at(near, (text[:-1], brown.CLASSES + cls[1:]), 1)
+        seen.append(brown.information(near, classes))
+        classes = brown.exchanged(near, classes, turn)
+    assert seen[0] < 0.5 < 0.99 * np.log(2) < max(seen)
+    assert not set(classes[kind == 0]) & set(classes[kind == 1])
+
+
+def test_licence_weight_bound(spark):
+    """A text passes if the words of one template that it holds have enough of its squared weight, wherever they stand."""
+    vectors = [("A", {"red": 0.8, "cat": 0.6}), ("B", {"cat": 0.6, "dog": 0.8})]
+    texts = {"a cat": False, "Red": True, "cat, bird\nDOG": True, "reddish cat": False, "": False, "cat cat cat": False}
+    table = spark.createDataFrame([(t,) for t in texts], "text string")
+    got = dict(table.select("text", licenses.has_weight(F.col("text"), vectors, 0.8)).collect())
+    assert got == texts
+
+
 def test_class_model_sums_to_one():
     rng = np.random.default_rng(1)
     counts, types = rng.integers(0, 50, (brown.CLASSES, brown.CLASSES)).astype(float), rng.integers(1, 9, brown.CLASSES).astype(float)
