@@ -165,3 +165,11 @@ def test_two_source_cells_are_even(spark):
         assert tasks.agg(F.sum("comps")).first()[0] == pairs
         loads = [float(r.cells) for r in reducer_load(tasks, "cells").collect()]
         assert max(loads) <= 1.1 * sum(loads) / reducers
+
+
+def test_written_matches_reach_across_hosts(spark, tmp_path):
+    from skewmatch.registry import q_write_matches
+
+    urls = ["http://a.example.com/en/1", "http://b.example.com/en/1", "http://b.example.com/en/1?ref=a&page=22&utm_source=feed", "ftp://a.example.com/en/1"]
+    spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").write.parquet(str(tmp_path / "pages.parquet"))
+    assert [(r.id_a, r.id_b) for r in q_write_matches(spark, str(tmp_path)).collect()] == [(0, 1)]
