@@ -87,6 +87,28 @@ def test_member_groups_are_cut(spark, monkeypatch):
     assert len(pairs) == len({frozenset(p) for p in pairs}) == 49 * 48 // 2
 
 
+
+def test_pooled_pairs_find_what_tiles_find():
+    from skewmatch.operators.pairs import Pool, collect
+
+    rng = random.Random(11)
+    texts = ["", "z"]
+    for k in range(150):
+        base = [rng.choice("abcé") for _ in range(rng.choice([1, 20, 63, 64, 65, 128, 190, 700, 5000 if k < 3 else 90]))]
+        for _ in range(2):
+            texts.append("".join(c for c in base if rng.random() > 0.1) + rng.choice(["", "a" * len(base), "\U0001f600"]))
+    rows = {"rep": list(range(len(texts))), "n": [1] * len(texts), "place": [0] * len(texts), "len": [len(t) for t in texts], "side": [3] * len(texts), "low": texts}
+    group, work, again = Texts(rows), Work(), Work()
+    packed = distance.tiles(group.points, group.starts, np.arange(len(texts)))
+    want = {(int(group.rep[a]), int(group.rep[b]), s) for left, right, score in compare(group, group, packed, 0.7, work) for a, b, s in zip(left, right, score)}
+    for pairs in (1, 500, 1 << 16):
+        pool = Pool(0.7, pairs)
+        again = Work()
+        found = [*collect(group, group, pool, again), *pool.matches()]
+        got = [(int(a), int(b), s) for rep_a, rep_b, _, _, score in found for a, b, s in zip(rep_a, rep_b, score)]
+        assert len(got) == len(set(got)) and set(got) == want and vars(again) == vars(work) and len(want) > 150
+
+
 @pytest.mark.parametrize("reducers", [1, 5, 64])
 def test_plan_by_cells_covers_every_pair_once(spark, sf_dir, reducers):
     reps, _ = representatives(keyed_entities(document_lines(spark, sf_dir)))
