@@ -179,3 +179,12 @@ def test_slice_copies_at_most_one_per_reducer(spark):
     a, b = copies.filter("own").alias("a"), copies.alias("b")
     pairs = a.join(b, ["reducer", "block"]).filter("a.pos < b.pos").select(F.col("a.id").alias("x"), F.col("b.id").alias("y")).collect()
     assert len(pairs) == len(set(pairs)) == 200 * 199 // 2 + 1
+
+
+def test_members_of_few_bytes_are_expanded_by_many_tasks(spark):
+    reps, members = representatives(entities(spark, [f"text number {k % 3}" for k in range(90)]).withColumn("block", F.lit("k")))
+    rows = {r.rep: r.n for r in reps.collect()}
+    found = spark.createDataFrame([(a, b, rows[a], rows[b], 0.9) for a in rows for b in rows if a < b], "rep_a long, rep_b long, n_a long, n_b long, similarity double")
+    pairs = member_pairs(found, reps, members)
+    assert pairs.rdd.getNumPartitions() > int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert pairs.count() == pairs.select("id_a", "id_b").distinct().count() == 90 * 89 // 2
