@@ -144,6 +144,21 @@ def test_tagged_split_match(spark, sf_dir):
             assert r.part_a == r.part_b == r.i
 
 
+def test_tagged_matches_are_not_left_to_the_planned_reducers(spark):
+    texts = ["the same text"] * 30 + ["the same tent"] * 20 + ["another text", "ab", "AB"]
+    ents = entities(spark, texts)
+    tagged = match.split_match(ents, tagged=True, parts=3, reducers=2)
+    assert tagged.rdd.getNumPartitions() > 2
+    plan = {(r.block, r.i, r.j): r.reducer for r in match.split_plan_assigned(match.keyed_entities(ents, "prefix", 3), 2)[1].collect()}
+    rows = tagged.collect()
+    assert len(rows) == 50 * 49 // 2 + 1
+    for r in rows:
+        a, b = r.id_a % 3, r.id_b % 3
+        cut = r.block == "THE"
+        assert r.id_a < r.id_b and (r.part_a, r.part_b) == (a, b) and (r.i, r.j) == ((max(a, b), min(a, b)) if cut else (0, 0))
+        assert r.reducer == plan[r.block, r.i, r.j]
+
+
 def test_basic_match_salted_hot_blocks(spark, sf_dir):
     # Many partitions salt many blocks into groups: same pairs.
     from skewmatch.functions.keys import key_prefix_lower
