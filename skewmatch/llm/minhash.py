@@ -208,8 +208,8 @@ def likely(pairs: DataFrame, nodes: DataFrame, floor: float) -> DataFrame:
     pairs = written(pairs.distinct())
     half = hot_join(pairs.withColumnRenamed("a", "node"), sigs, ["node"], "inner").select(
         F.col("node").alias("a"), F.col("b").alias("node"), "sig")
-    return hot_join(half, sigs.withColumnRenamed("sig", "sig_b"), ["node"], "inner").withColumnRenamed(
-        "node", "b").mapInArrow(estimates(floor), "a long, b long")
+    both = hot_join(half, sigs.withColumnRenamed("sig", "sig_b"), ["node"], "inner", like=pairs.select(F.col("b").alias("node")))
+    return both.withColumnRenamed("node", "b").mapInArrow(estimates(floor), "a long, b long")
 
 
 def full_sets(texts: DataFrame, wanted: DataFrame, shingle: int, slots: int = 1 << 20) -> DataFrame:
@@ -226,7 +226,7 @@ def confirm(near: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs ``(a, b)`` that are links on their full sets."""
     half = hot_join(near.withColumnRenamed("a", "node"), sets, ["node"], "inner").select(
         F.col("node").alias("a"), F.col("b").alias("node"), "shingles")
-    both = hot_join(half, sets.withColumnRenamed("shingles", "shingles_b"), ["node"], "inner")
+    both = hot_join(half, sets.withColumnRenamed("shingles", "shingles_b"), ["node"], "inner", like=near.select(F.col("b").alias("node")))
     return both.select("a", F.col("node").alias("b"), "shingles", "shingles_b").mapInArrow(
         exact_links(percent), "a long, b long")
 
@@ -289,7 +289,8 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         dealt = hot_join(written(dealt), sets, ["node"], "inner")
         more = written(dealt.groupBy("bucket", "i", "j").applyInPandas(block_links(floor, percent), "a long, b long"))
         if not more.isEmpty():
-            joined = written(components(links.unionByName(more), "a", "b"))
+            known = joined.select(F.col("node").alias("a"), F.col("component").alias("b"))
+            joined = written(components(known.unionByName(more), "a", "b"))
 
     labels = (nodes.select("digest", "node").join(joined, "node", "left")
               .select("digest", F.coalesce("component", "node").alias("component_id")))

@@ -12,8 +12,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from skewmatch.llm import components as cc
 from skewmatch.llm import brown, exact, fingerprint, licenses, minhash, mixing, packing, quality, secrets, suffix
-from skewmatch.llm.common import shingle_hashes, word_hashes
+from skewmatch.llm.common import shingle_hashes, word_hashes, written
 from skewmatch.llm.components import components
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, kept string, node int, row int, _slot string"
@@ -98,6 +99,30 @@ def test_components_of_a_path_and_a_star(spark):
     assert components(spark.createDataFrame([], "u long, v long")).count() == 0
 
 
+@pytest.mark.parametrize("chunk", [1 << 17, 7])
+def test_components_of_a_long_path_take_few_tables(spark, monkeypatch, chunk):
+    """Each task contracts its edges, so the rounds that write tables are few; before, this path took 23 tables."""
+    rng, tables = np.random.default_rng(5), []
+    name = rng.permutation(3000)
+    path = list(zip(name[:-1].tolist(), name[1:].tolist()))
+    monkeypatch.setattr(cc, "CHUNK", chunk)
+    monkeypatch.setattr(cc, "written", lambda df: tables.append(1) or written(df))
+    got = dict(cc.components(spark.createDataFrame(path + [(5000, 5001), (5001, 5000)], "u long, v long").coalesce(2)).collect())
+    assert got == {k: 0 for k in range(3000)} | {5000: 5000, 5001: 5000}
+    assert chunk == 7 or len(tables) <= 7
+
+
+def test_local_stars_keep_components():
+    rng = np.random.default_rng(6)
+    u, v = rng.integers(0, 900, 400), rng.integers(0, 900, 400)
+    low = {int(x): int(x) for x in np.concatenate((u, v))}
+    for _ in range(len(low)):
+        for a, b in zip(u.tolist(), v.tolist()):
+            low[a] = low[b] = min(low[a], low[b])
+    a, b = cc.stars(u, v)
+    assert dict(zip(a.tolist(), b.tolist())) == {x: y for x, y in low.items() if x != y}
+
+
 def test_block_links_join_a_chain_once():
     import pandas as pd
     sets = [np.sort(np.arange(k, k + 100).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) for k in (0, 5, 10, 500)]
