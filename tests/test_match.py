@@ -216,3 +216,39 @@ def test_hot_block_is_never_grouped_whole(spark, sf_dir):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     joins = [line for line in plan.split("\n") if "SortMergeJoin" in line]
     assert joins and not [j for j in joins if "SortMergeJoin [block" in j and "_salt" not in j]
+
+
+def _above(df):
+    """What stands above the comparison in the plan, from the result down."""
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return plan[:plan.index("MapInArrow")]
+
+
+@pytest.mark.parametrize("find", [match.basic_match, match.split_match, match.slice_match])
+def test_pairs_of_distinct_texts_are_not_shuffled(spark, find):
+    # The pairs grow with the square of the texts: they leave the tasks that compare them as rows of the result.
+    got = find(entities(spark, ["some text %03d" % i for i in range(60)]), bring=True)
+    above = _above(got)
+    assert "Exchange" not in above and "Join" not in above
+    assert got.count() == 60 * 59 // 2
+
+
+@pytest.mark.parametrize("kind", ["plain", "struct"])
+def test_texts_with_few_and_with_many_members(spark, kind):
+    # Copies within and beyond what travels with a text, in both cases of the letters, and one text alone.
+    from skewmatch.operators.pairs import FEW
+
+    texts = []
+    for k, copies in enumerate([1, 2, FEW, FEW + 1, 3 * FEW, 1]):
+        texts += [("Member of a text %d" if c % 2 else "member of a TEXT %d") % k for c in range(copies)]
+    texts += ["quite another line"] + ["xy"] * (FEW + 2) + ["xz", ""]
+    ents = entities(spark, texts)
+    want = sorted((i, j, texts[i], texts[j], _py_sim(texts[i], texts[j])) for i in range(len(texts)) for j in range(i + 1, len(texts))
+                  if _py_key(texts[i]) == _py_key(texts[j]) and _py_sim(texts[i], texts[j]) >= 0.7)
+    field = lambda c: F.col(c)
+    if kind == "struct":
+        ents = ents.select(F.struct(F.lit("r").alias("record"), F.col("id").alias("line")).alias("id"), "text")
+        field = lambda c: F.col(c)["line"]
+    for find, more in ((match.split_match, {}), (match.slice_match, {}), (match.split_match, {"work": "pairs"})):
+        got = find(ents, bring=True, **more).select(field("id_a"), field("id_b"), "text_a", "text_b", "similarity")
+        assert sorted(tuple(r) for r in got.collect()) == want

@@ -188,3 +188,24 @@ def test_members_of_few_bytes_are_expanded_by_many_tasks(spark):
     pairs = member_pairs(found, reps, members)
     assert pairs.rdd.getNumPartitions() > int(spark.conf.get("spark.sql.shuffle.partitions"))
     assert pairs.count() == pairs.select("id_a", "id_b").distinct().count() == 90 * 89 // 2
+
+
+def test_members_come_in_bounded_batches():
+    import pyarrow as pa
+
+    from skewmatch.operators.pairs import OWN, WITH_MEMBERS, Pool, Texts, Work, collect
+
+    kind = pa.list_(pa.struct([("id", pa.int64()), ("text", pa.string())]))
+    low = [f"the same words {k}" for k in range(40)]
+    members = list(pa.array([[{"id": 10 * k + c, "text": t} for c in range(1 + k % 4)] for k, t in enumerate(low)], kind))
+    texts = Texts({"rep": list(range(40)), "low": low, "n": [1 + k % 4 for k in range(40)], "place": [0] * 40, "len": [len(t) for t in low],
+                   "side": [OWN] * 40, "members": members})
+    want = sorted((10 * i + a, 10 * j + b) for i in range(40) for j in range(i) for a in range(1 + i % 4) for b in range(1 + j % 4))
+    for limits in ({"most": 50}, {"room": 2000}, {}):
+        pool, got, largest = Pool(0.7, which=WITH_MEMBERS, **limits), [], 0
+        for batch in [*collect(texts, texts, pool, Work()), *pool.matches()]:
+            ids = [c.to_pylist() for c in batch[:2]]
+            got += [(max(p), min(p)) for p in zip(*ids)]
+            assert [low[i // 10] for i in ids[0]] == batch[2].to_pylist()
+            largest = max(largest, len(ids[0]))
+        assert sorted(got) == want and largest <= 50 + 16 or not limits
