@@ -387,6 +387,21 @@ def test_suffix_dedup_equals_brute_force(docs, rows, limit):
     assert got == want
 
 
+def test_suffix_dedup_keeps_shared_passages_shorter_than_400_bytes(spark):
+    letters, rng = np.frombuffer(b"abcdefghijklmnopqrstuvwxyz", np.uint8), np.random.default_rng(9)
+    filler = lambda n: rng.choice(letters, n).tobytes().decode()
+    words = " ".join(filler(5) for _ in range(60))  # 60 words of 359 bytes
+    parts = [(words, 0), (filler(399), 0), (filler(400), 400), (" ".join(filler(5) for _ in range(90)), 539)]
+    rows, want = [], {}
+    for part, gone in parts:
+        for edge in "01":  # the bytes beside the passage differ, so the shared string is the passage alone
+            before, after = filler(700) + edge, edge + filler(700)
+            want[len(rows)] = (gone, int(gone > 0), hashlib.sha256((before + ("" if gone else part) + after).encode()).hexdigest())
+            rows.append((len(rows), before + part + after))
+    found = suffix.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id: (r.n_removed, r.n_spans, r.kept_sha256) for r in found} == want
+
+
 def test_mixing(docs, rows):
     size = {r[0]: len(WORD.findall(r[1] or "")) for r in rows}
     got = {r.doc_id: r for r in mixing.mix(docs, block=16, per_shard=8).collect()}
