@@ -29,7 +29,10 @@ from skewmatch.llm.common import id_text, scans, word_hashes, written
 CLASSES = 64  # 0 is the end of a text, the last one is for words not placed yet
 END = 0x1F3D5B79A1C2E3F4  # the end token's number
 BLOCK_TOKENS = 2_500_000
+PIECE = 1 << 18  # tokens of a block that are worked on at once
 DISCOUNT = 0.75
+#: A row group for every block: a reader holds a whole row group, and blocks are large.
+ROW_GROUP = {"parquet.block.row.count.limit": 1}
 RISE = 1e-3  # a sweep that raises the mutual information by a smaller share counts as idle
 
 
@@ -37,20 +40,29 @@ def held_out(doc_id) -> F.Column:
     return F.coalesce(F.pmod(F.crc32(F.col(doc_id).cast("string").cast("binary")), F.lit(7)) == 2, F.lit(False))
 
 
+def blobs(rows: np.ndarray) -> pa.Array:
+    """The bytes of each row of a matrix as a binary value, without a copy."""
+    rows = np.ascontiguousarray(rows)
+    ends = np.arange(len(rows) + 1, dtype=np.int32) * np.int32(rows.itemsize * rows.shape[1])
+    return pa.Array.from_buffers(pa.binary(), len(rows), [None, pa.py_buffer(ends), pa.py_buffer(rows)])
+
+
 def to_blocks(limit: int):
     """Documents in blocks of about ``limit`` tokens (a longer one alone): ``(block, doc ids, held, sizes, tokens, vocabulary,
     training counts)``; a token is its word's place in the sorted vocabulary of the block."""
     def close(number, docs, held, sizes, words):
-        every = np.concatenate(words)
-        words.clear()
-        vocabulary, tokens = np.unique(every, return_inverse=True)
-        every, tokens = None, tokens.astype("<i4")
+        vocabulary = np.unique(np.concatenate([np.unique(w) for w in words]))
         train = np.repeat(~np.array(held, bool), sizes)
-        counts = np.bincount(tokens[train], minlength=len(vocabulary))
+        tokens, counts, at = np.empty(len(train), "<i4"), np.zeros(len(vocabulary), "<i8"), 0
+        words.reverse()
+        while words:  # each piece is let go as soon as it is numbered
+            some = np.searchsorted(vocabulary, words.pop())
+            counts += np.bincount(some[train[at:at + len(some)]], minlength=len(vocabulary))
+            tokens[at:at + len(some)] = some
+            at += len(some)
         return pa.record_batch([
             pa.array([number]), pa.array([docs], pa.list_(pa.int64())), pa.array([held], pa.list_(pa.bool_())),
-            pa.array([sizes], pa.list_(pa.int64())), pa.array([tokens.tobytes()], pa.binary()),
-            pa.array([vocabulary.tobytes()], pa.binary()), pa.array([counts.astype("<i8").tobytes()], pa.binary())],
+            pa.array([sizes], pa.list_(pa.int64())), blobs(tokens[None]), blobs(vocabulary[None]), blobs(counts[None])],
             names=["block", "docs", "held", "sizes", "tokens", "vocabulary", "counts"])
 
     def run(batches):
@@ -80,13 +92,12 @@ BLOCK = "block long, docs array<long>, held array<boolean>, sizes array<long>, t
 
 class Block:
     def __init__(self, row: dict):
-        self.number = row["block"]
-        self.docs = row["docs"]
-        self.held = np.array(row["held"], bool)
-        self.sizes = np.array(row["sizes"], np.int64)
-        self.tokens = np.frombuffer(row["tokens"], "<i4")
-        self.vocabulary = np.frombuffer(row["vocabulary"], "<u8")
-        self.counts = np.frombuffer(row["counts"], "<i8")
+        """Columns that a step has no use for may be left out."""
+        self.number = row.get("block")
+        self.docs = row.get("docs")
+        self.held = np.array(row.get("held", ()), bool)
+        self.sizes = np.array(row.get("sizes", ()), np.int64)
+        self.tokens, self.vocabulary, self.counts = (np.frombuffer(row.get(c, b""), t) for c, t in (("tokens", "<i4"), ("vocabulary", "<u8"), ("counts", "<i8")))
 
     def train(self) -> np.ndarray:
         return np.repeat(~self.held, self.sizes)
@@ -94,9 +105,9 @@ class Block:
 
 def blocks_of(batches):
     for batch in batches:
-        names = batch.schema.names
         for k in range(batch.num_rows):
-            yield Block({c: batch.column(c)[k].as_py() for c in names})
+            row = {c: batch.column(c)[k] for c in batch.schema.names}
+            yield Block({c: x.as_buffer() if pa.types.is_binary(x.type) else x.as_py() for c, x in row.items()})
 
 
 def local_counts(batches):
@@ -113,15 +124,19 @@ def place(vocabulary: np.ndarray, words: np.ndarray) -> np.ndarray:
 
 
 def token_classes(b: Block, words: np.ndarray, classes: np.ndarray):
-    """Of a block's training tokens: their places in its vocabulary and in ``words``, and their class and those on
+    """Of a block's training tokens, ``PIECE`` at a time: their places in its vocabulary and in ``words``, and their class and those on
     the left and right, in small types (a block has millions of tokens)."""
     train = b.train()
-    tokens = b.tokens[train]
-    word = place(b.vocabulary, words)[tokens]
+    where = place(b.vocabulary, words)
     small = np.append(classes, CLASSES - 1).astype(np.uint8)  # -1: a word not placed yet
-    cls = small[word]
-    edge = np.zeros(1, np.uint8)
-    return tokens, word, cls, np.concatenate((edge, cls[:-1])), np.concatenate((cls[1:], edge))
+    cls = np.zeros(int(train.sum()) + 2, np.uint8)  # between two edges
+    cls[1:-1] = small[where].take(b.tokens)[train]
+    at = 0
+    for low in range(0, len(train), PIECE):
+        tokens = b.tokens[low:low + PIECE][train[low:low + PIECE]]
+        high = at + len(tokens)
+        yield tokens, where[tokens], cls[at + 1:high + 1], cls[at:high], cls[at + 2:high + 2]
+        at = high
 
 
 def neighbour_classes(words: np.ndarray, classes: np.ndarray):
@@ -129,15 +144,15 @@ def neighbour_classes(words: np.ndarray, classes: np.ndarray):
     def run(batches):
         total = np.zeros((len(words), 2 * CLASSES), np.int64)
         for b in blocks_of(batches):
-            _, word, _, left, right = token_classes(b, words, classes)
-            known = word >= 0
-            word, left, right = word[known] * np.int32(CLASSES), left[known], right[known]
-            size = len(words) * CLASSES
-            for near, cols in ((left, slice(0, CLASSES)), (right, slice(CLASSES, 2 * CLASSES))):
-                total[:, cols] += np.bincount(word + near, minlength=size).reshape(-1, CLASSES)
+            for _, word, _, left, right in token_classes(b, words, classes):
+                known = word >= 0
+                row = word[known].astype(np.int64) * (2 * CLASSES)
+                np.add.at(total.reshape(-1), row + left[known], 1)
+                np.add.at(total.reshape(-1), row + right[known] + CLASSES, 1)
         some = np.flatnonzero(total.any(axis=1))
-        yield pa.record_batch([pa.array(some.astype(np.int32)), pa.array([total[k].astype("<i8").tobytes() for k in some], pa.binary())],
-                              names=["word", "sums"])
+        for low in range(0, len(some), 1 << 12):
+            part = some[low:low + (1 << 12)]
+            yield pa.record_batch([pa.array(part.astype(np.int32)), blobs(total[part].astype("<i8"))], names=["word", "sums"])
     return run
 
 
@@ -206,11 +221,11 @@ def votes(words: np.ndarray, classes: np.ndarray, between: np.ndarray):
 
     def run(batches):
         for b in blocks_of(batches):
-            tokens, word, cls, left, right = token_classes(b, words, classes)
-            cast = np.where(word >= 0, cls, likeliest[left, right])
-            key = tokens.astype(np.int64)
-            key *= CLASSES
-            key += cast
+            key, at = np.empty(int(b.train().sum()), np.int32 if len(b.vocabulary) * CLASSES < 1 << 31 else np.int64), 0
+            for tokens, word, cls, left, right in token_classes(b, words, classes):
+                cast = np.where(word >= 0, cls, likeliest[left, right])
+                key[at:at + len(tokens)] = tokens * key.dtype.type(CLASSES) + cast
+                at += len(tokens)
             key.sort()
             start = np.flatnonzero(np.concatenate((np.ones(min(1, len(key)), bool), key[1:] != key[:-1])))
             n = np.diff(np.append(start, len(key)))
@@ -280,13 +295,22 @@ def classed(all_tokens: int, types: int):
         known = count > 0
         code = np.where(known, cls, 255).astype(np.uint8)[tokens]
         ends = np.cumsum(b.sizes)
-        sums = lambda x: np.diff(np.concatenate(([0.0], np.cumsum(x)))[np.concatenate(([0], ends))])
+        cuts = np.concatenate(([0], np.searchsorted(ends, np.arange(PIECE, len(tokens), PIECE)), [len(ends)]))  # whole documents, about PIECE tokens
+
+        def sums(of_word):
+            parts = [np.zeros(0)]
+            for low, high in zip(cuts[:-1], cuts[1:]):
+                if low < high:  # no document is without its end token
+                    first = ends[low:high] - b.sizes[low:high]
+                    parts.append(np.add.reduceat(of_word[tokens[first[0]:ends[high - 1]]], first - first[0]))
+            return np.concatenate(parts)
+
         plain = np.log10(count + 1.0) - base
         emit = np.where(known, np.log10(np.maximum(count - DISCOUNT, 1e-9)), 0.0)
         return pd.DataFrame({
             "doc_id": pd.array(b.docs, dtype="Int64"), "held": b.held, "n_tokens": b.sizes,
-            "n_known": sums(known[tokens].astype(float)).round().astype(np.int64), "base_score": sums(plain[tokens]),
-            "emit": sums(emit[tokens]), "classes": [c.tobytes() for c in np.split(code, ends[:-1])]})
+            "n_known": sums(known.astype(float)).round().astype(np.int64), "base_score": sums(plain),
+            "emit": sums(emit), "classes": [c.tobytes() for c in np.split(code, ends[:-1])]})
     return run
 
 
@@ -346,9 +370,9 @@ def language_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     spark = docs.sparkSession
     blocks = written(id_text(docs, id_col, text_col).withColumn("held", held_out("doc_id"))
-                     .mapInArrow(to_blocks(block_tokens), BLOCK))
-    plain = blocks.select("vocabulary", "counts", "block", "docs", "held", "sizes", "tokens")
-    totals = plain.mapInArrow(local_counts, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
+                     .mapInArrow(to_blocks(block_tokens), BLOCK), **ROW_GROUP)
+    plain = blocks.select("vocabulary", "held", "sizes", "tokens")
+    totals = blocks.select("vocabulary", "counts").mapInArrow(local_counts, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
     totals = written(totals)
     tokens, types = (int(x or 0) for x in totals.agg(F.sum("n"), F.count(F.lit(1))).first())
     frequent = totals.filter(F.col("n") >= max(1.0, share * tokens)).collect() if tokens else []
@@ -380,7 +404,7 @@ def language_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     odds[:, [0, CLASSES - 1], :] = -np.inf
     between = odds.argmax(axis=1)
 
-    told = (plain.mapInArrow(votes(words, classes, between), "word long, block long, cls byte, n long")
+    told = (blocks.select("block", "vocabulary", "counts", "held", "sizes", "tokens").mapInArrow(votes(words, classes, between), "word long, block long, cls byte, n long")
                  .repartition("word").sortWithinPartitions("word", "block").mapInArrow(
                      elect, "block long, word long, cls byte, count long, first boolean"))
     told = written(told)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import glob
 import hashlib
 import random
 import re
@@ -9,6 +10,8 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -538,3 +541,36 @@ def test_pipeline_stages(spark, tmp_path, docs, rows):
             texts = [re.sub(r"[\x20\x09-\x0D]+", " ", r.text or "") for r in table.collect()]
             assert len(texts) == len(set(texts)) == len({re.sub(r"[\x20\x09-\x0D]+", " ", r[1] or "") for r in rows})
     assert table.count() and corpus_pipeline.run(spark, str(tmp_path)).count() == table.count()
+
+
+def test_brown_blocks_are_read_one_by_one_and_worked_on_in_pieces(spark, monkeypatch):
+    """A reader holds a row group: one block, however many a partition has. Pieces of a block give the counts of the whole block."""
+    rng = np.random.default_rng(3)
+    texts = [(i, " ".join(f"w{x}" for x in rng.integers(0, 60, 40))) for i in range(40)]
+    seen = []
+    written = brown.written
+    monkeypatch.setattr(brown, "written", lambda df, *a, **k: (out := written(df, *a, **k), seen.append(out))[0])
+    long = spark.range(0, 5, 1, 1).select(F.col("id").alias("doc_id"), F.expr("repeat(concat('a', id, ' b c '), 75000)").alias("text"))  # a scan each
+    brown.language_scores(long, share=1e-3, sweeps=1, block_tokens=200).collect()
+    files = [pq.ParquetFile(f).metadata for f in glob.glob(seen[0].inputFiles()[0].rsplit("/", 1)[0].removeprefix("file:") + "/*.parquet")]
+    assert [m.num_rows for m in files] == [m.num_row_groups for m in files] and max(m.num_rows for m in files) > 3
+
+    task = type("Task", (), {"partitionId": lambda self: 0})
+    monkeypatch.setattr(brown, "TaskContext", type("Context", (), {"get": staticmethod(task)}))
+    row = next(b for b in pa.Table.from_batches(brown.to_blocks(10**6)(pa.table(
+        {"doc_id": [i for i, _ in texts], "held": [i % 5 == 0 for i, _ in texts], "text": [t for _, t in texts]}).to_batches())).to_batches())
+    words = np.sort(next(brown.blocks_of([row])).vocabulary[::3])
+    classes = 1 + np.arange(len(words)) % 7
+    whole = [b.to_pydict() for b in brown.neighbour_classes(words, classes)([row])]
+    monkeypatch.setattr(brown, "PIECE", 37)
+    assert [b.to_pydict() for b in brown.neighbour_classes(words, classes)([row])] == whole
+    block = next(brown.blocks_of([row]))
+    tokens = block.tokens[block.train()]
+    assert np.concatenate([t for t, *_ in brown.token_classes(block, words, classes)]).tolist() == tokens.tolist()
+    near = np.zeros((len(words), 2 * brown.CLASSES), np.int64)
+    cls = np.append(classes, brown.CLASSES - 1)[brown.place(block.vocabulary, words)][tokens]
+    for k, w in enumerate(brown.place(block.vocabulary, words)[tokens]):
+        if w >= 0:
+            near[w, cls[k - 1] if k else 0] += 1
+            near[w, brown.CLASSES + (cls[k + 1] if k + 1 < len(cls) else 0)] += 1
+    assert [np.frombuffer(s, "<i8").tolist() for b in whole for s in b["sums"]] == near.tolist()
