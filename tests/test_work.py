@@ -209,3 +209,68 @@ def test_members_come_in_bounded_batches():
             assert [low[i // 10] for i in ids[0]] == batch[2].to_pylist()
             largest = max(largest, len(ids[0]))
         assert sorted(got) == want and largest <= 50 + 16 or not limits
+
+
+def _plain_distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        before, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            before, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, before + (x != y))
+    return row[-1]
+
+
+def test_a_large_left_side_does_not_empty_the_pool_at_every_row(monkeypatch):
+    """Distances are pooled over many right rows, however many characters the left side has; the matches are those of a plain scan."""
+    from skewmatch.operators import pairs
+
+    rng = np.random.default_rng(8)
+    words = ["the", "and", "tion", "of", "er", "los", "é", "zu"]
+    texts = [" ".join(rng.choice(words, rng.integers(6, 14))) for _ in range(260)]
+    texts += [t[:7] + "x" + t[9:] for t in texts[:30]]
+    rows = lambda some, first: {"rep": list(range(first, first + len(some))), "n": [1] * len(some), "place": [int(first > 0)] * len(some),
+                                "len": [len(t) for t in some], "side": [1] * len(some), "low": some}
+    left, right = pairs.Texts(rows(texts[:220], 0)), pairs.Texts(rows(texts[220:], 220))
+    calls, distances = [], pairs.pair_distances
+    monkeypatch.setattr(pairs, "pair_distances", lambda *a: (calls.append(len(a[1])), distances(*a))[1])
+    pool, work = pairs.Pool(0.7, characters=1000), pairs.Work()
+    found = [*pairs.collect(left, right, pool, work), *pool.matches()]
+    got = {(int(a), int(b)) for f in found for a, b in zip(f[0], f[1])}
+    want = {(a, b) for a in range(220) for b in range(220, 290)
+            if _plain_distance(texts[a], texts[b]) <= int(0.3 * max(len(texts[a]), len(texts[b])) + 1e-9)}
+    assert got == want and want and work.pairs == 220 * 70
+    assert len(calls) <= 2
+
+
+def test_letters_to_come_rule_out_no_match():
+    """Long texts, some near to each other, some with letters that stand only at one end: every distance within its limit is exact."""
+    from skewmatch.functions.distance import BOUNDED, LETTERS, Letters, code_points, letter_counts, pair_distances
+
+    rng = np.random.default_rng(4)
+    base = ["".join(rng.choice(list("abcde éß\t"), rng.integers(90, 200))) for _ in range(14)]
+    texts = []
+    for t in base:
+        cut = list(t)
+        for _ in range(int(rng.integers(5, 60))):
+            at = int(rng.integers(0, len(cut)))
+            cut[at:at + int(rng.integers(0, 2))] = ["z"] * int(rng.integers(0, 2))
+        texts += [t, "".join(cut), t[40:] + "q" * 20, "w" * 25 + t]
+    points, starts = code_points(texts)
+    size = np.diff(starts)
+    a, b = (x.ravel() for x in np.meshgrid(np.arange(len(texts)), np.arange(len(texts))))
+    limit = np.floor(0.3 * np.maximum(size[a], size[b]) + 1e-9).astype(np.int64)
+    got = pair_distances(points, starts[a], size[a], starts[b], size[b], limit)
+    for x, y, k, d in zip(a.tolist(), b.tolist(), limit.tolist(), got.tolist()):
+        if x < y:
+            real = _plain_distance(texts[x], texts[y])
+            assert d == real if real <= k else d > k
+    assert size.max() > BOUNDED and ((got <= limit) & (a < b)).sum() > 10
+
+    table = Letters(points, starts[:-1], size)
+    whole = letter_counts(points, starts)
+    assert (table.counts[table.base + table.blocks] - table.counts[table.base] == whole).all() and whole.shape[1] == len(LETTERS) + 1
+    one, two = np.array([0, 5]), np.array([1, 9])
+    row = np.array([32, 17])
+    for k, lacks in enumerate(table(one, two, table.wholes(one, two), row, 48).tolist()):
+        rest = letter_counts(*code_points([texts[one[k]][-(-row[k] // 16) * 16:], texts[two[k]][48:]]))
+        assert lacks == np.maximum(rest[0] - rest[1], 0).sum()
